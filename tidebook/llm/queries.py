@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontamination
+from tidebook.llm import decontamination, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     """Name to query, each over its whole table."""
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op3_quality": quality.op3_quality,
     }
 
 
