@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontamination, packing, quality
+from tidebook.llm import decontamination, packing, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op3_quality": quality.op3_quality,
+        "op4_sharding": sharding.op4_sharding,
         "op7_packing": packing.op7_packing,
+        "op8_simhash": simhash.op8_simhash,
     }
 
 
@@ -24,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the operator."""
     return {
         "op1_decontamination": decontamination.ORACLE_SQL,
+        "op4_sharding": sharding.ORACLE_SQL,
     }
