@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontamination, packing, pii, quality, sharding, simhash
+from tidebook.llm import decontamination, packing, pii, quality, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_sharding": sharding.op4_sharding,
         "op7_packing": packing.op7_packing,
         "op8_simhash": simhash.op8_simhash,
+        "op9_urls": urls.op9_urls,
         "op10_pii": pii.op10_pii,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.ORACLE_SQL,
         "op4_sharding": sharding.ORACLE_SQL,
+        "op9_urls": urls.ORACLE_SQL,
     }
