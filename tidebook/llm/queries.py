@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontamination, packing, pii, quality, sharding, simhash, urls
+from tidebook.llm import decontamination, language, packing, pii, quality, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_decontamination": decontamination.op1_decontamination,
         "op3_quality": quality.op3_quality,
         "op4_sharding": sharding.op4_sharding,
+        "op6_language": language.op6_language,
         "op7_packing": packing.op7_packing,
         "op8_simhash": simhash.op8_simhash,
         "op9_urls": urls.op9_urls,
