@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontamination, language, packing, pii, quality, sharding, simhash, urls
+from tidebook.llm import decontamination, language, packing, pii, quality, secrets, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     """Name to query, each over its whole table."""
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_secrets": secrets.op2_secrets,
         "op3_quality": quality.op3_quality,
         "op4_sharding": sharding.op4_sharding,
         "op6_language": language.op6_language,
