@@ -30,7 +30,7 @@ SEQUENCE = 2048
 #: Hash buckets in which the pieces of one length are numbered.
 BUCKETS = 256
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 
 PIECE = T.StructType(
     [
@@ -43,11 +43,23 @@ PIECE = T.StructType(
 )
 
 
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 up."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 class WordEncoder:
     """Token ids of texts, remembered by white-space-separated word.
 
     The tokeniser replaces white space by single spaces and never joins across them, so a text's ids are its
     words' ids in a row.  Only ASCII white space separates here; any other stays inside a word for the tokeniser.
+    It also ignores case and never joins a letter and a comma or full stop, so words are remembered in lower case and
+    without such an ending; texts that may hold a special token keep their case.
     """
 
     def __init__(self, path: str):
@@ -55,22 +67,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.endings = {c: self._ids([c])[0] for c in (b",", b".")}
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of words that are not known yet."""
+        ended = [w for w in words if w[-1:] in self.endings and w[-2:-1].isalnum()]
+        stems = dict.fromkeys(w[:-1] for w in ended)
+        ended_set = set(ended)
+        plain = [w for w in words if w not in ended_set and w not in stems]
+        plain += [w for w in stems if w not in self.known]
+        odd = []
+        for w in plain:
+            text = w.decode("utf-8", "replace")
+            if text.isalpha() and text.islower() and max(text) <= "\u00ff":  # one word to the tokeniser: straight to its model
+                tokens = self.model.tokenize(w.decode("latin-1").translate(_BYTE_SIGNS))
+                self.known[w] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            else:
+                odd.append(w)
+        self.known.update(zip(odd, self._ids(odd), strict=True))
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.endings[w[-1:]]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without the closing id."""
         found = []
         for text in texts:
-            words = text.split() if text else []
+            words = (text if b"<|" in text else text.lower()).split() if text else []
             missing = [w for w in dict.fromkeys(words) if w not in self.known]
-            if len(self.known) + len(missing) > CACHE_WORDS:
+            if missing and len(self.known) + len(missing) > CACHE_WORDS:
                 self.known.clear()
                 missing = list(dict.fromkeys(words))
-            for a in range(0, len(missing), 4096):
-                part = missing[a : a + 4096]
-                ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                for w, x in zip(part, ids, strict=True):
-                    self.known[w] = np.array(x.ids, dtype="<u4").tobytes()
+            self._learn(missing)
             found.append(b"".join(map(self.known.__getitem__, words)))
         return found
 
