@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontamination, language, packing, pii, quality, secrets, sharding, simhash, urls
+from tidebook.llm import decontamination, language, neighbours, packing, pii, quality, secrets, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op2_secrets": secrets.op2_secrets,
         "op3_quality": quality.op3_quality,
         "op4_sharding": sharding.op4_sharding,
+        "op5_neighbours": neighbours.op5_neighbours,
         "op6_language": language.op6_language,
         "op7_packing": packing.op7_packing,
         "op8_simhash": simhash.op8_simhash,
