@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidebook.plans import indicators
+from tidebook.plans import indicators, rules
 
-FAMILIES = (indicators,)
+FAMILIES = (indicators, rules)
 
 
 def queries() -> dict:
