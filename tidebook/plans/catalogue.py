@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidebook.plans import indicators, rules
+from tidebook.plans import indicators, pointintime, relational, rules
 
-FAMILIES = (indicators, rules)
+FAMILIES = (indicators, relational, rules, pointintime)
 
 
 def queries() -> dict:

@@ -34,7 +34,7 @@ def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "r01_sma_crossover": _query("sma_crossover"),
-    "r02_rsi_threshold": _query("rsi_threshold", high=60.0, low=40.0),
+    "r02_rsi_threshold": _query("rsi_threshold", high=52.0, low=48.0),
     "r03_breakout": _query("breakout"),
     "r04_ema_crossover": _query("ema_crossover"),
     "r05_adx_trend": _query("adx_trend"),
@@ -100,7 +100,7 @@ _NEVER = "false"
 
 ORACLES = {
     "r01_sma_crossover": f"{_SMA_EVENTS} " + _select("z", "sma_crossover", *_CROSS, "x"),
-    "r02_rsi_threshold": _RSI + _lagged("x") + _select("z", "rsi_threshold", "NOT (px > 60 AND x <= 60) AND px < 40 AND x >= 40", "px > 60 AND x <= 60", "x"),
+    "r02_rsi_threshold": _RSI + _lagged("x") + _select("z", "rsi_threshold", "NOT (px > 52 AND x <= 52) AND px < 48 AND x >= 48", "px > 52 AND x <= 52", "x"),
     "r03_breakout": _BREAK + _select("y", "breakout", "c > top", "c < bottom", "c"),
     "r04_ema_crossover": _EMA + _lagged("x") + _select("z", "ema_crossover", *_CROSS, "x"),
     "r05_adx_trend": I.SQL_ADX + " " + _select("adx", "adx_trend", "adx > 25", _NEVER, "adx"),

@@ -83,7 +83,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "period_start",
         "period_end",
         F.date_add("first_filed", 365).alias("filed_at"),
-        F.round(F.col("value") * 1.01, 2).alias("value"),
+        F.round(F.col("value") * 1.01, 4).alias("value"),
         F.lit("sec").alias("provider"),
     )
     vendor = filed.where(F.col("sid") % 10 == 3).select(
@@ -136,11 +136,11 @@ SQL_FACTS = """months AS (SELECT l_suppkey AS sid, CAST(date_trunc('month', l_sh
  SELECT sid, period_start, last_day(period_start) AS period_end, last_day(period_start) + CAST(20 + sid % 25 AS INTEGER) AS first_filed, concept, value
  FROM (SELECT *, 'revenue' AS concept, revenue AS value FROM months UNION ALL SELECT *, 'quantity', quantity FROM months)), facts AS (
  SELECT sid, concept, period_start, period_end, first_filed AS filed_at, value, CASE WHEN sid % 10 = 7 THEN 'vendor' ELSE 'sec' END AS provider FROM filed
- UNION ALL SELECT sid, concept, period_start, period_end, first_filed + 365, round(value * 1.01, 2), 'sec' FROM filed
+ UNION ALL SELECT sid, concept, period_start, period_end, first_filed + 365, round(value * 1.01, 4), 'sec' FROM filed
    WHERE month(period_end) % 3 = 0 AND sid % 4 = 1 AND sid % 10 <> 7
  UNION ALL SELECT sid, concept, period_start, period_end, first_filed, value * 2, 'vendor' FROM filed WHERE sid % 10 = 3)"""
 SQL_INSTRUMENTS = """instruments AS (SELECT s_suppkey AS sid, s_name AS name, n_name AS country, r_name AS region FROM supplier
  JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
-SQL_ACTIONS = "actions AS (SELECT column0 AS symbol, CAST(column1 AS DATE) AS ex_date, column2 AS action_type, CAST(column3 AS DOUBLE) AS split_ratio, CAST(column4 AS DOUBLE) AS dividend FROM (VALUES " + ", ".join(
+SQL_ACTIONS = "actions AS (SELECT a AS symbol, CAST(b AS DATE) AS ex_date, c AS action_type, CAST(e AS DOUBLE) AS split_ratio, CAST(f AS DOUBLE) AS dividend FROM (VALUES " + ", ".join(
     "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in ACTIONS
-) + "))"
+) + ") t(a, b, c, e, f))"
