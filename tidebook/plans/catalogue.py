@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidebook.plans import indicators, pointintime, relational, rules
+from tidebook.plans import books, indicators, pointintime, relational, rules
 
-FAMILIES = (indicators, relational, rules, pointintime)
+FAMILIES = (indicators, relational, rules, pointintime, books)
 
 
 def queries() -> dict:
