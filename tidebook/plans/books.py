@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import rules as S
+from tidebook.operators import allocation as A
 from tidebook.operators import performance as B
+from tidebook.operators import simulator as X
 from tidebook.plans import rules as RS
 from tidebook.plans.relational import _SIGNALS
-from tidebook.plans.strategy import Component, Strategy, compose
+from tidebook.plans.strategy import TEMPLATES, Component, Strategy, compose
 from tidebook.sources import views as V
 
 QUERIES: dict = {}
@@ -89,24 +91,31 @@ for _name, _strategy in STRATEGIES.items():
     ORACLES[_name] = _compose_sql(_strategy)
 
 
-_TRADES = f"""WITH {_SIGNALS}, pr AS (SELECT s.symbol, s.d, direction, c FROM signals s JOIN bars_d USING (symbol, d)),
+# Trades are taken at closes lifted by a constant: the raw ones jump many times over, which no return survives.
+LIFT = 1_000_000.0
+
+_TRADES = f"""WITH {_SIGNALS}, px AS (SELECT symbol, d, c + {LIFT} AS c FROM bars_d), pr AS (SELECT s.symbol, s.d, direction, px.c FROM signals s JOIN px USING (symbol, d)),
  turns AS (SELECT * FROM (SELECT *, lag(direction) OVER (PARTITION BY symbol ORDER BY d) AS before FROM pr) WHERE direction IS DISTINCT FROM before),
  pairs AS (SELECT * FROM (SELECT *, lead(d) OVER w AS exit_d, lead(c) OVER w AS exit_c FROM turns WINDOW w AS (PARTITION BY symbol ORDER BY d)) WHERE direction = 1),
  trades AS (SELECT symbol, d AS entry_d, c AS entry_price, exit_d, coalesce(exit_c, lc) AS exit_price, coalesce(exit_c, lc) / c - 1 AS return_pct, exit_d IS NULL AS is_open
-  FROM pairs JOIN (SELECT symbol, arg_max(c, d) AS lc FROM bars_d GROUP BY ALL) USING (symbol)),
- grid AS (SELECT dd.d, s.symbol FROM (SELECT DISTINCT d FROM bars_d) dd, (SELECT DISTINCT symbol FROM bars_d) s),
- held AS (SELECT b.symbol, b.d, CASE WHEN t.entry_price IS NOT NULL THEN b.c / t.entry_price ELSE 1.0 END AS ratio FROM bars_d b LEFT JOIN trades t ON t.symbol = b.symbol AND b.d >= t.entry_d AND (t.exit_d IS NULL OR b.d <= t.exit_d)),
- real AS (SELECT b.symbol, b.d, coalesce(product(t.exit_price / t.entry_price), 1.0) AS realised FROM bars_d b LEFT JOIN trades t ON t.symbol = b.symbol AND t.exit_d < b.d AND NOT t.is_open GROUP BY ALL),
+  FROM pairs JOIN (SELECT symbol, arg_max(c, d) AS lc FROM px GROUP BY ALL) USING (symbol)),
+ grid AS (SELECT dd.d, s.symbol FROM (SELECT DISTINCT d FROM px) dd, (SELECT DISTINCT symbol FROM px) s),
+ held AS (SELECT b.symbol, b.d, CASE WHEN t.entry_price IS NOT NULL THEN b.c / t.entry_price ELSE 1.0 END AS ratio FROM px b LEFT JOIN trades t ON t.symbol = b.symbol AND b.d >= t.entry_d AND (t.exit_d IS NULL OR b.d <= t.exit_d)),
+ real AS (SELECT b.symbol, b.d, coalesce(product(t.exit_price / t.entry_price), 1.0) AS realised FROM px b LEFT JOIN trades t ON t.symbol = b.symbol AND t.exit_d < b.d AND NOT t.is_open GROUP BY ALL),
  sleeve AS (SELECT symbol, d, ratio * realised AS value FROM held JOIN real USING (symbol, d)),
  filled AS (SELECT g.d, g.symbol, coalesce(s.value, 1.0) AS value FROM grid g ASOF LEFT JOIN sleeve s ON g.symbol = s.symbol AND g.d >= s.d),
  equity AS (SELECT d, 100000.0 * sum(value) / count(*) AS equity FROM filled GROUP BY ALL),
- hold AS (SELECT symbol, d, c / first_value(c) OVER (PARTITION BY symbol ORDER BY d) AS value FROM bars_d),
+ hold AS (SELECT symbol, d, c / first_value(c) OVER (PARTITION BY symbol ORDER BY d) AS value FROM px),
  bench AS (SELECT g.d, 100000.0 * sum(coalesce(s.value, 1.0)) / count(*) AS equity FROM grid g ASOF LEFT JOIN hold s ON g.symbol = s.symbol AND g.d >= s.d GROUP BY ALL)"""
 
 
+def _lifted(spark, sf_dir):
+    return V.daily_bars(spark, sf_dir).withColumn("c", F.col("c") + LIFT)
+
+
 def _trades(spark, sf_dir):
-    bars = V.daily_bars(spark, sf_dir)
-    return B.pair_trades(S.events(bars, "breakout"), bars), bars
+    bars = _lifted(spark, sf_dir)
+    return B.pair_trades(S.events(V.daily_bars(spark, sf_dir), "breakout"), bars), bars
 
 
 @query("e23_pair_trades", f"{_TRADES} SELECT symbol, entry_d, entry_price, exit_d, exit_price, round(return_pct, 8) AS return_pct, is_open FROM trades")
@@ -131,13 +140,13 @@ def b02(spark, sf_dir):
 @query("b03_benchmark", f"{_TRADES} SELECT d, round(equity, 3) AS equity FROM bench")
 def b03(spark, sf_dir):
     """Buying and holding the same symbols."""
-    return B.combine(B.buy_and_hold(V.daily_bars(spark, sf_dir))).withColumn("equity", F.round("equity", 3))
+    return B.combine(B.buy_and_hold(_lifted(spark, sf_dir))).withColumn("equity", F.round("equity", 3))
 
 
 @query("a17_drawdown", f"{_TRADES} SELECT d, round(least(equity / greatest(max(equity) OVER (ORDER BY d), 100000.0) - 1, 0.0), 8) AS drawdown FROM bench")
 def a17(spark, sf_dir):
     """Fall from the highest mark so far."""
-    held = B.combine(B.buy_and_hold(V.daily_bars(spark, sf_dir)))
+    held = B.combine(B.buy_and_hold(_lifted(spark, sf_dir)))
     return B.drawdowns(held).select("d", F.round("drawdown", 8).alias("drawdown"))
 
 
@@ -147,7 +156,7 @@ _RETURNS = """, rs AS (SELECT d, equity / coalesce(lag(equity) OVER (ORDER BY d)
 @query("b05_returns", f"{_TRADES}{_RETURNS} SELECT d, round(r, 8) AS r FROM rb")
 def b05(spark, sf_dir):
     """Daily returns of the benchmark."""
-    return B.returns(B.combine(B.buy_and_hold(V.daily_bars(spark, sf_dir)))).withColumn("r", F.round("r", 8))
+    return B.returns(B.combine(B.buy_and_hold(_lifted(spark, sf_dir)))).withColumn("r", F.round("r", 8))
 
 
 @query(
@@ -171,12 +180,12 @@ def b04(spark, sf_dir):
 )
 def a18(spark, sf_dir):
     """The book's returns regressed on the benchmark's."""
-    held = B.combine(B.buy_and_hold(V.daily_bars(spark, sf_dir)))
+    held = B.combine(B.buy_and_hold(_lifted(spark, sf_dir)))
     r = B.regression(B.combine(B.sleeves(*_trades(spark, sf_dir))), held)
     return r.select("n", *[F.round(c, 6).alias(c) for c in r.columns if c != "n"])
 
 
-_REPLAY = f"""{_TRADES}, ev AS (SELECT d, symbol, 'bar' AS event, 0 AS k, c AS value FROM bars_d UNION ALL SELECT d, symbol, 'signal', 1, CAST(direction AS DOUBLE) FROM signals
+_REPLAY = f"""{_TRADES}, ev AS (SELECT d, symbol, 'bar' AS event, 0 AS k, c AS value FROM px UNION ALL SELECT d, symbol, 'signal', 1, CAST(direction AS DOUBLE) FROM signals
  UNION ALL SELECT entry_d, symbol, 'fill', 2, entry_price FROM trades UNION ALL SELECT exit_d, symbol, 'fill', 2, exit_price FROM trades WHERE NOT is_open)"""
 
 
@@ -185,7 +194,7 @@ def _replay(spark, sf_dir):
     kind = lambda df, name, k, value, d="d": df.select(F.col(d).alias("d"), "symbol", F.lit(name).alias("event"), F.lit(k).alias("k"), value.cast("double").alias("value"))
     return (
         kind(bars, "bar", 0, F.col("c"))
-        .unionByName(kind(S.events(bars, "breakout"), "signal", 1, F.col("direction")))
+        .unionByName(kind(S.events(V.daily_bars(spark, sf_dir), "breakout"), "signal", 1, F.col("direction")))
         .unionByName(kind(trades, "fill", 2, F.col("entry_price"), "entry_d"))
         .unionByName(kind(trades.where("NOT is_open"), "fill", 2, F.col("exit_price"), "exit_d"))
     )
@@ -209,3 +218,97 @@ def rp02(spark, sf_dir):
     marked = e.withColumn("busy", F.max("k").over(day) > 0).where("k = 0")
     i = F.row_number().over(Window.partitionBy("symbol").orderBy("d"))
     return marked.withColumn("i", i).where("(i - 1) % 10 = 0 OR busy").select("symbol", "d", "value")
+
+
+_ALLOC = f"""WITH {V.SQL_BARS_D}, m AS (SELECT symbol, date_trunc('month', d) AS month, max(d) AS d, avg(c) AS mean, stddev_pop(c) AS volatility, max(h) - min(l) AS span FROM bars_d GROUP BY ALL),
+ sg AS (SELECT CAST(month AS DATE) AS d, symbol, CASE WHEN mean > 250000 THEN 1 ELSE -1 END AS direction, round(least(span / 600000, 1.0), 6) AS score, CASE WHEN volatility > 0 THEN volatility END AS volatility FROM m)"""
+
+
+def _allocation_signals(spark, sf_dir):
+    m = V.daily_bars(spark, sf_dir).groupBy("symbol", F.date_trunc("month", "d").cast("date").alias("d")).agg(
+        F.avg("c").alias("mean"), F.stddev_pop("c").alias("volatility"), (F.max("h") - F.min("l")).alias("span")
+    )
+    return m.select(
+        "d",
+        "symbol",
+        F.when(F.col("mean") > 250000, 1).otherwise(-1).alias("direction"),
+        F.round(F.least(F.col("span") / 600000, F.lit(1.0)), 6).alias("score"),
+        F.when(F.col("volatility") > 0, F.col("volatility")).alias("volatility"),
+    )
+
+
+def _alloc_sql(raw: str, extra: str, top: int) -> str:
+    """The capped split by repeated pinning, as the definition has it (four rounds are enough for four names)."""
+    rounds = "".join(
+        f""", p{i} AS (SELECT *, CASE WHEN pin THEN false WHEN raw > 0 THEN left_ * raw / sum(CASE WHEN pin THEN 0 ELSE raw END) OVER (PARTITION BY d) > 0.35 ELSE false END AS new
+ FROM (SELECT *, greatest(1.0 - 0.35 * sum(CAST(pin AS INT)) OVER (PARTITION BY d), 0) AS left_ FROM q{i})), q{i + 1} AS (SELECT d, symbol, direction, raw, pin OR new AS pin FROM p{i})"""
+        for i in range(5)
+    )
+    return f"""{_ALLOC}, j AS (SELECT *, CASE WHEN score IS NULL OR score <= 0 OR score > 1 THEN 'invalid_score' WHEN score < 0.2 THEN 'min_score' {extra} END AS why FROM sg),
+ k AS (SELECT *, CASE WHEN why IS NULL AND row_number() OVER (PARTITION BY d ORDER BY why IS NOT NULL, score DESC, symbol) > {top} THEN 'max_positions' ELSE why END AS excluded FROM j),
+ q0 AS (SELECT d, symbol, direction, {raw} AS raw, false AS pin FROM k WHERE excluded IS NULL){rounds}
+ SELECT d, symbol, round(direction * CASE WHEN pin THEN 0.35 ELSE greatest(1.0 - 0.35 * sum(CAST(pin AS INT)) OVER (PARTITION BY d), 0) * raw / sum(CASE WHEN pin THEN 0 ELSE raw END) OVER (PARTITION BY d) END, 8) AS weight, CAST(NULL AS VARCHAR) AS excluded FROM q5
+ UNION ALL SELECT d, symbol, NULL, excluded FROM k WHERE excluded IS NOT NULL"""
+
+
+_ALLOCATIONS = {
+    "e15_equal_active": ("equal_active", _alloc_sql("1.0", "", 4)),
+    "e15_signal_strength": ("signal_strength", _alloc_sql("score", "", 4)),
+    "e16_inverse_volatility_capped": ("signal_inverse_volatility", _alloc_sql("score / volatility", "WHEN volatility IS NULL THEN 'no_volatility'", 4)),
+}
+for _name, (_mode, _text) in _ALLOCATIONS.items():
+    QUERIES[_name] = lambda spark, sf_dir, m=_mode: A.target_weights(_allocation_signals(spark, sf_dir), m, 1.0, 0.2, 4, 0.35).withColumn("weight", F.round("weight", 8))
+    ORACLES[_name] = _text
+
+
+@query(
+    "e17_rebalance",
+    f"""{_ALLOC}, t AS (SELECT d, symbol, CAST(direction * 0.2 AS DOUBLE) AS weight FROM sg WHERE score >= 0.5), hd AS (SELECT d, symbol, CAST(direction * 0.15 AS DOUBLE) AS held FROM sg WHERE score < 0.9),
+ bo AS (SELECT d, symbol, coalesce(weight, 0.0) AS w, coalesce(held, 0.0) AS h FROM t FULL JOIN hd USING (d, symbol)), mv AS (SELECT d, symbol, w - h AS delta, w = 0 AND h <> 0 AS closing FROM bo),
+ wa AS (SELECT * FROM mv WHERE (closing OR abs(delta) >= 0.1) AND delta <> 0), sc AS (SELECT *, sum(CASE WHEN closing THEN abs(delta) ELSE 0 END) OVER (PARTITION BY d) AS must, sum(CASE WHEN closing THEN 0 ELSE abs(delta) END) OVER (PARTITION BY d) AS free FROM wa)
+ SELECT d, symbol, round(CASE WHEN closing THEN delta WHEN free > 0 THEN delta * least(1.0, greatest(0.0, 0.4 - must) / free) ELSE delta END, 8) AS delta, closing FROM sc""",
+)
+def e17(spark, sf_dir):
+    """Trades toward targets, above a threshold and within a turnover."""
+    s = _allocation_signals(spark, sf_dir)
+    targets = s.where("score >= 0.5").select("d", "symbol", (F.col("direction") * 0.2).alias("weight"))
+    held = s.where("score < 0.9").select("d", "symbol", (F.col("direction") * 0.15).alias("held"))
+    return A.rebalance(targets, held, 0.1, 0.4).withColumn("delta", F.round("delta", 8))
+
+
+@query("e18_weekly_schedule", f"WITH {V.SQL_BARS_D} SELECT symbol, d, date_trunc('week', d) IS DISTINCT FROM lag(date_trunc('week', d)) OVER (PARTITION BY symbol ORDER BY d) AS due FROM bars_d")
+def e18(spark, sf_dir):
+    """The first trading day of each ISO week."""
+    return A.schedule(V.daily_bars(spark, sf_dir).select("symbol", "d"), "weekly")
+
+
+RUNS = {
+    "plain": X.Execution(participation=None),
+    "costly": X.Execution(participation=None, commission_bps=5, slippage_bps=10, timing="next_open", sizing="fixed_fraction", sizing_value=0.2, max_positions=3),
+    "protected": X.Execution(participation=None, sizing="volatility_target", sizing_value=0.1, stop_pct=0.3, trail_pct=0.4, target_pct=0.5, max_days=40, cooldown=3),
+    "two_sided": X.Execution(participation=None, sizing="fixed_notional", sizing_value=10_000, shorts=True, borrow_bps=50, timing="next_typical", stop_atr=2.0),
+}
+
+
+def _simulated(spark, sf_dir):
+    lifted = V.daily_bars(spark, sf_dir).select("symbol", "d", *[(F.col(x) + LIFT).alias(x) for x in "ohlc"], "v")
+    decisions = compose(V.daily_bars(spark, sf_dir), TEMPLATES["channel"])
+    return X.simulate(X.prepared(lifted, decisions), RUNS)
+
+
+def _simulation(spark, sf_dir):
+    """Every event of four runs over one strategy."""
+    return _simulated(spark, sf_dir)
+
+
+def _reasons(spark, sf_dir):
+    """Exit reasons and results of the four runs."""
+    return X.exit_reasons(_simulated(spark, sf_dir)).withColumn("pnl", F.round("pnl", 4))
+
+
+def _costs(spark, sf_dir):
+    """Costs of the four runs."""
+    return X.costs(_simulated(spark, sf_dir)).withColumn("commission", F.round("commission", 4)).withColumn("traded", F.round("traded", 4))
+
+
+QUERIES |= {"e21_simulate": _simulation, "a13_exit_reasons": _reasons, "a14_costs": _costs}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidebook.plans import books, indicators, pointintime, relational, rules
+from tidebook.plans import books, indicators, pointintime, relational, rules, streams
 
-FAMILIES = (indicators, relational, rules, pointintime, books)
+FAMILIES = (indicators, relational, rules, pointintime, books, streams)
 
 
 def queries() -> dict:
