@@ -177,8 +177,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash (of the whole text), fp, and component_id, the group's smallest id."""
     found = map_text(
-        docs.withColumn("text_hash_", F.xxhash64(F.col(f"`{text_col}`"))).select(
-            F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col("text_hash_").alias("text_hash")
+        docs.select(
+            F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash")
         ),
         "text",
         lambda: lambda texts: [{"fp": x} for x in fingerprints(texts).view(np.int64).tolist()],
@@ -206,10 +206,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     best = grouped.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("unnamed")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"), F.count("*").alias("n")
     )
-    kept = shared_checkpoint(best.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"), "n"))
-    match = F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("keep_hash"))
-    single = docs.join(kept.where("n = 1"), match, "left_semi")
-    several = docs.join(kept.where("n > 1"), match, "left_semi").dropDuplicates([id_col, text_col])
+    kept = shared_checkpoint(best.select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"), "n"))
+
+    def chosen(of: DataFrame) -> DataFrame:
+        same = docs[f"`{id_col}`"].eqNullSafe(of["doc_id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == of["text_hash"])
+        return docs.join(of, same, "left_semi")
+
+    single = chosen(kept.where("n = 1"))
+    several = chosen(kept.where("n > 1")).dropDuplicates([id_col, text_col])
     return single.unionByName(several)
 
 
