@@ -32,6 +32,8 @@ SEED = 42
 #: Nodes in a tile, and in the small tiles that are compared at once.
 TILE = 16_384
 SMALL = 256
+#: A fingerprint that over one in so many rows have is joined by broadcast, as its rows would all meet in one task.
+HOT_SHARE = 1000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _FINGERPRINT = T.StructType([T.StructField("fp", T.LongType())])
@@ -188,13 +190,16 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         True,
     )
     prints = shared_checkpoint(found.select("doc_id", "text_hash", F.col("print.fp").alias("fp")))
-    nodes = shared_checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = shared_checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     linked = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     rooted = linked.join(nodes, "fp")
     lowest = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "component").select("fp", "component_id")
-    known = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    known = shared_checkpoint(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"))
+    hot = F.col("n") * HOT_SHARE > (nodes.agg(F.sum("n")).first()[0] or 0)
+    common = F.broadcast(known.where(hot).drop("n"))  # fewer than HOT_SHARE fingerprints can be that common
+    rare = prints.join(common, "fp", "left_anti").join(known.where(~hot).drop("n"), "fp")
+    return prints.join(common, "fp").unionByName(rare).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
