@@ -242,7 +242,9 @@ def search(
     merged = (
         tops.select("query_id", pairs.alias("p"))
         .groupBy("query_id")
-        .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))), 1, nearest).alias("p"))
+        .agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+        # a pair comes from each table once at most, with one score: the first nearest * tables hold the nearest
+        .select("query_id", F.slice(F.array_distinct(F.slice("p", 1, nearest * tables)), 1, nearest).alias("p"))
     )
     return merged.select("query_id", F.posexplode("p").alias("at", "x")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score")
