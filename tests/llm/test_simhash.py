@@ -60,7 +60,9 @@ def test_query(spark, small):
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in rows), key=str) == groups(docs)
 
 
-def test_edge_cases(spark):
+@pytest.mark.parametrize("hot_share", [1, 12, 1000])  # no fingerprint is joined by broadcast, some, all
+def test_edge_cases(spark, monkeypatch, hot_share):
+    monkeypatch.setattr(S, "HOT_SHARE", hot_share)
     rng = random.Random(6)
     words = [f"w{i}" for i in range(50)]
     base = [rng.choices(words, k=rng.randint(1, 400)) for _ in range(20)]
