@@ -96,3 +96,30 @@ def test_clashing_columns(spark):
     rows = [(i, [float(i + 1), 1.0], 5, "x") for i in range(10)]
     df = spark.createDataFrame(rows, f"{VECTORS}, v int, bucket string")
     assert N.search(df, F.col("vec_id") == 0, nearest=3, mass=0.999999).count() == 3
+
+
+def test_recall_with_skewed_norms(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 32))
+    x[0] *= 100  # one very long vector must not stretch the index of all others
+    x[1:40] *= 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_query(N.search(df, F.col("vec_id") % 100 == 0).collect())
+    want = brute(list(range(len(x))), x, range(0, len(x), 100), 20)
+    assert all(len(got[q]) == 20 for q in want)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_too_few_candidates_are_made_up_by_all_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.normal(size=(3000, 8)) * 0.01 + np.eye(8)[0], -np.eye(8)[:1] + 0.01))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_query(N.search(df, F.col("vec_id") == 3000).collect())
+    assert [i for i, _ in got[3000]] == [i for i, _ in brute(list(range(3001)), x, [3000], 20)[3000]]
+
+
+@pytest.mark.parametrize("n", [10**7, 10**9])
+def test_mass_is_reached_at_any_size(n):
+    x = np.random.default_rng(9).normal(size=(1000, 64))
+    index = N.fit(x, n, float(np.linalg.norm(x, axis=1).max()))
+    assert all(reached for found in index.visits(x[:10], N.MASS) for _, reached in found)

@@ -7,15 +7,20 @@ each projection, so the chance that it lies in a bucket is a product of normal i
 order of that chance until the visited ones hold ``mass`` of it.  Visited candidates are ranked by exact inner products
 on the original vectors, tables are merged per query.
 
+Vectors longer than ``LONG`` of the 99th percentile of norms would stretch the added component of all others, so the
+vectors beyond that percentile then fall into bands of doubling norm.  Every band has its own tables, or is scanned if
+it is not larger than a block; a query visits all bands.
+
 Projections, their widths and *R* are fitted on a bounded sample (``SAMPLE`` vectors); every vector is indexed.  The
-number of projections follows the number of vectors, so that buckets hold about ``BUCKET_ROWS``.  Buckets beyond
-``BLOCK`` vectors are split into blocks that a query visits one by one, so a bucket that a third of all vectors share
-is spread over tasks, and no candidate is left out.  Of equal vectors only the ``k`` + 1 smallest ids can be among the
+number of projections follows the number of vectors, so that buckets hold about ``BUCKET_ROWS``, but is never so large
+that ``PROBES`` buckets miss the mass.  A query that misses it nevertheless, or finds fewer than ``k`` candidates, is
+compared with all vectors.  Buckets beyond ``BLOCK`` vectors are split into blocks that a query visits one by one, so
+a bucket that a third of all vectors share is spread over tasks, and no candidate is left out.  Of equal vectors only the ``k`` + 1 smallest ids can be among the
 nearest ``k``; the others leave the index without changing any result.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids or
 vectors of another length than most; a repeated id counts once, with the largest of its vectors; with fewer than
-``k`` candidates all visited ones are returned; an empty table gives no rows; other columns are ignored.
+``k`` other vectors all are returned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +41,12 @@ MASS = 0.62
 SAMPLE = 4000
 BUCKET_ROWS = 600
 BLOCK = 8192
-#: Buckets that a query may visit in a table; the mass is reached far below it for the fitted number of projections.
+#: Queries that are compared with a block of all vectors at once.
+SLICE = 4096
+#: Buckets that a query may visit in a table; with more to visit it is compared with all vectors.
 PROBES = 4096
+#: Norms up to so many times their 99th percentile share one index.
+LONG = 1.5
 SEED = 11
 
 
@@ -69,7 +78,11 @@ class Index:
         return self._keys(np.floor(self._projected(v, extra) / self.width).astype(np.int64))
 
     def probes(self, q: np.ndarray, mass: float) -> list[list[np.ndarray]]:
-        """For each query and table, the buckets to visit, likeliest first."""
+        """For each query and table, the buckets to visit."""
+        return [[buckets for buckets, _ in found] for found in self.visits(q, mass)]
+
+    def visits(self, q: np.ndarray, mass: float) -> list[list[tuple[np.ndarray, bool]]]:
+        """For each query and table, the buckets to visit, and whether they hold the mass."""
         scaled = q * (self.norm / np.linalg.norm(q, axis=1, keepdims=True))  # a query's length does not change its order
         at = self._projected(scaled, np.zeros(len(q))) / self.width
         spread = self.radius / self.width
@@ -79,7 +92,7 @@ class Index:
         chance = _normal((low + 1 - at[..., None]) / spread) - _normal((low - at[..., None]) / spread)
         return [[self._ordered(low[i, t], chance[i, t], mass) for t in range(at.shape[1])] for i in range(len(q))]
 
-    def _ordered(self, cells: np.ndarray, chance: np.ndarray, mass: float) -> np.ndarray:
+    def _ordered(self, cells: np.ndarray, chance: np.ndarray, mass: float) -> tuple[np.ndarray, bool]:
         """Buckets by falling product of chances: the best prefixes are all that the best buckets can begin with."""
         best, chosen = np.ones(1), np.zeros((1, 0), dtype=np.int64)
         for j in range(len(cells)):
@@ -88,7 +101,7 @@ class Index:
             best = product[keep]
             chosen = np.concatenate((chosen[keep // len(cells[j])], cells[j][keep % len(cells[j])].astype(np.int64)[:, None]), axis=1)
         enough = int(np.searchsorted(np.cumsum(best), mass)) + 1
-        return np.unique(self._keys(chosen[:enough]))
+        return np.unique(self._keys(chosen[:enough])), enough <= len(best)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -99,7 +112,7 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.sign(x) * erf)
 
 
-def fit(sample: np.ndarray, n: int, norm: float, nearest: int = NEAREST, tables: int = TABLES, seed: int = SEED) -> Index:
+def fit(sample: np.ndarray, n: int, norm: float, nearest: int = NEAREST, tables: int = TABLES, seed: int = SEED, mass: float = MASS) -> Index:
     """An index for ``n`` vectors from a bounded sample of them."""
     rng = np.random.default_rng(seed)
     extra = np.sqrt(np.maximum(norm**2 - (sample**2).sum(1), 0))
@@ -116,8 +129,12 @@ def fit(sample: np.ndarray, n: int, norm: float, nearest: int = NEAREST, tables:
     width = radius
     cells = max(1.5, deviation * math.sqrt(2 * math.pi * math.e) / width)
     hashes = int(min(max(2, round(math.log(max(1.0, n / BUCKET_ROWS)) / math.log(cells))), 24))
-    projections = rng.normal(size=(tables, hashes, full.shape[1]))
-    return Index(projections, rng.uniform(0, width, (tables, hashes)), width, radius, norm)
+    while True:
+        projections = rng.normal(size=(tables, hashes, full.shape[1]))
+        index = Index(projections, rng.uniform(0, width, (tables, hashes)), width, radius, norm)
+        if hashes == 1 or all(reached for found in index.visits(asked[:8], mass) for _, reached in found):
+            return index
+        hashes -= 1
 
 
 def _matrix(column) -> np.ndarray:
@@ -176,44 +193,75 @@ def search(
         return spark.createDataFrame([], schema)
     d, n, top = max(((r["d"], r["n"], r["m"]) for r in sizes), key=lambda r: (r[1], r[0]))
     one = one.where(F.size("v") == d)
-    sample = np.array([r["v"] for r in one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()], dtype=np.float64)
-    index = spark.sparkContext.broadcast(fit(sample, n, math.sqrt(top), nearest, tables))
+
+    def sampled(rows: DataFrame) -> np.ndarray:
+        taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+        return np.array([r["v"] for r in taken], dtype=np.float64)
+
+    sample = sampled(one)
+    edge = float(np.quantile((sample**2).sum(1), 0.99))
+    if top <= LONG**2 * edge:
+        bands = {0: (0, fit(sample, n, math.sqrt(top), nearest, tables, mass=mass))}
+        one = one.withColumn("band", F.lit(0))
+    else:
+        doublings = F.floor(F.log2(squared / edge) / 2).cast("int")
+        one = one.withColumn("band", F.when(squared <= edge, 0).otherwise(1 + F.greatest(doublings, F.lit(0))))
+        bands = {}
+        for r in one.groupBy("band").agg(F.count("*").alias("n"), F.max(squared).alias("m")).orderBy("band").collect():
+            hashes = r["band"] == 0 or r["n"] > BLOCK
+            within = fit(sampled(one.where(F.col("band") == r["band"])), r["n"], math.sqrt(r["m"]), nearest, tables, mass=mass) if hashes else None
+            bands[r["band"]] = (len(bands) * tables, within)
+    index = spark.sparkContext.broadcast(bands)  # the first table of each band, and its index unless it is scanned
 
     alike = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
     kept = one.withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= nearest + 1).drop("copy")
     kind = one.schema["v"].dataType
     head = [T.StructField("t", T.IntegerType()), T.StructField("bucket", T.LongType())]
 
-    def hashed(batches):
+    def placed(batch, t, keys, at):
         import pyarrow as pa
 
+        for a in range(0, len(at), 8192):
+            part = batch.take(pa.array(at[a : a + 8192]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), t, np.int32)), pa.array(keys[a : a + 8192]), part.column(0), part.column(1)],
+                names=["t", "bucket", "vec_id", "v"],
+            )
+
+    def hashed(batches):
         for batch in batches:
-            x = _matrix(batch.column(1))
-            keys = index.value.buckets(x) if len(x) else np.zeros((0, tables), np.int64)
-            for t in range(tables):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), t, np.int32)), pa.array(keys[:, t]), *batch.columns], names=["t", "bucket", "vec_id", "v"]
-                )
+            own = batch.column(2).to_numpy()
+            for band in np.unique(own):
+                first, within = index.value[int(band)]
+                at = np.flatnonzero(own == band)
+                if within is None:
+                    yield from placed(batch, first, np.zeros(len(at), np.int64), at)
+                    continue
+                keys = within.buckets(_matrix(batch.column(1))[at])
+                for t in range(tables):
+                    yield from placed(batch, first + t, keys[:, t], at)
 
     def probed(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                visits = index.value.probes(_matrix(part.column(1)), mass)
-                for t in range(tables):
-                    keys = [q[t] for q in visits]
-                    who = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-                    taken = part.take(pa.array(who))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(who), t, np.int32)), pa.array(np.concatenate(keys)), *taken.columns],
-                        names=["t", "bucket", "vec_id", "v"],
-                    )
+                q = _matrix(part.column(1))
+                visits = {first: within.visits(q, mass) for first, within in index.value.values() if within is not None}
+                reached = np.array([all(ok for v in visits.values() for _, ok in v[i]) for i in range(len(q))], dtype=bool)
+                sure = np.flatnonzero(reached)
+                for first, within in index.value.values():
+                    if within is None:
+                        yield from placed(part, first, np.zeros(len(sure), np.int64), sure)
+                        continue
+                    for t in range(tables):
+                        keys = [visits[first][i][t][0] for i in sure]
+                        if keys:
+                            yield from placed(part, first + t, np.concatenate(keys), np.repeat(sure, [len(x) for x in keys]))
 
     shape = T.StructType([*head, T.StructField("vec_id", T.LongType()), T.StructField("v", kind)])
-    entries = shared_checkpoint(kept.select("vec_id", "v").mapInArrow(hashed, shape))
-    visits = one.where(is_query).select("vec_id", "v").mapInArrow(probed, shape)
+    entries = shared_checkpoint(kept.select("vec_id", "v", "band").mapInArrow(hashed, shape))
+    queries = one.where(is_query).select("vec_id", "v")
+    visits = queries.mapInArrow(probed, shape)
     blocks = entries.groupBy("t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = entries.join(blocks, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     asked = visits.join(blocks, ["t", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -231,22 +279,35 @@ def search(
         lists = [pa.ListArray.from_arrays(bounds, pa.array(c)) for c in (ids.astype(np.int64), scores.astype(np.float64))]
         return pa.table([pa.array(query_ids), *lists], names=["query_id", "ids", "scores"])
 
-    places = ("t", "bucket", "block")
-    tops = (
-        dealt.select(*places, "vec_id", "v")
-        .groupBy(*places)
-        .cogroup(asked.select(*places, "vec_id", "v").groupBy(*places))
-        .applyInArrow(ranked, "query_id long, ids array<long>, scores array<double>")
-    )
-    pairs = F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))
-    merged = (
-        tops.select("query_id", pairs.alias("p"))
-        .groupBy("query_id")
-        .agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
-        # a pair comes from each table once at most, with one score: the first nearest * tables hold the nearest
-        .select("query_id", F.slice(F.array_distinct(F.slice("p", 1, nearest * tables)), 1, nearest).alias("p"))
-    )
-    return merged.select("query_id", F.posexplode("p").alias("at", "x")).select(
+    def nearest_of(stored: DataFrame, asking: DataFrame, places: tuple, times: int) -> DataFrame:
+        """query_id and p, the sorted nearest of all groups of ``places``; a pair meets in ``times`` groups at most."""
+        tops = (
+            stored.select(*places, "vec_id", "v")
+            .groupBy(*places)
+            .cogroup(asking.select(*places, "vec_id", "v").groupBy(*places))
+            .applyInArrow(ranked, "query_id long, ids array<long>, scores array<double>")
+        )
+        pairs = F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))
+        return (
+            tops.select("query_id", pairs.alias("p"))
+            .groupBy("query_id")
+            .agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+            # a pair has one score wherever it is found: the first nearest * times hold the nearest
+            .select("query_id", F.slice(F.array_distinct(F.slice("p", 1, nearest * times)), 1, nearest).alias("p"))
+        )
+
+    found = shared_checkpoint(nearest_of(dealt, asked, ("t", "bucket", "block"), tables))
+    enough = found.where(F.size("p") >= nearest)
+    apart = queries.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"))  # other attributes than the stored side's
+    missed = shared_checkpoint(apart.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti"))
+    left = missed.count()
+    if left:
+        n_blocks, n_slices = -(-n // BLOCK), -(-left // SLICE)
+        block, part = (F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int") for k in (n_blocks, n_slices))
+        stored = kept.withColumn("block", block).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
+        asking = missed.withColumn("slice", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        enough = enough.unionByName(nearest_of(stored, asking, ("block", "slice"), 1))
+    return enough.select("query_id", F.posexplode("p").alias("at", "x")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score")
     )
 
