@@ -81,3 +81,13 @@ def test_empty_table_and_main_path(spark, tmp_path, small):
     assert P.op10_pii(spark, str(tmp_path)).count() == 0
     plan = P.op10_pii(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_spans_of_a_document_do_not_depend_on_the_corpus(spark, tmp_path):
+    planted = "SSN: 123-45-6789, then Tel 555-010-1234, then GB82 WEST 1234 5698 7654 32"
+    spans = {f"{k}:{planted.index(x)}:{planted.index(x) + len(x)}" for k, x in (("identity", "123-45-6789"), ("local_phone", "555-010-1234"), ("account", "GB82 WEST 1234 5698 7654 32"))}
+    others = [f"part 555-{i % 900 + 100}-{i:04d} or 123-45-{i:04d} and GB82 WEST 1234 5698 {i:04d} 33" for i in range(1, 1500)]
+    for name, texts in (("small", [planted]), ("large", [planted, *others])):
+        spark.createDataFrame(list(enumerate(texts)), DOCS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        row = P.op10_pii(spark, f"{tmp_path}/{name}").where("doc_id = 0").first()
+        assert set(row.spans.split(",")) == spans, name

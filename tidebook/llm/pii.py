@@ -4,14 +4,16 @@ Generators with high recall propose spans, which may overlap: mail addresses and
 quads, long digit chains, phone numbers with and without a leading plus, national identity numbers and account
 numbers.  Each candidate has format features (kind, length, digits, separators) and context features (characters
 around it, a telling word before it), all cut into few levels.  Validators that the features do not contain - the
-base rules' checks, the Luhn and mod-97 sums, a telling word for formats without a check - label the candidates.
+base rules' checks, the Luhn and mod-97 sums, a telling word for formats without a check, where it is no feature -
+label the candidates.
 Counting candidates by features and label over the whole corpus gives a table whose size is bounded by the number
 of feature levels; boosted trees are fitted to that table on the driver and written back as CASE expressions.  Per
-kind, the threshold is the lowest score that keeps the wanted precision on candidates left out of the fit; a kind
-without enough candidates selects nothing.
+kind, the threshold is the lowest score that keeps the wanted precision on candidates left out of the fit; a kind with
+fewer than ``LEAST`` of these has the threshold ``PRIOR``, the log odds of that precision.
 
-A candidate that passes its base rule is always a span; the model adds candidates that reach their kind's threshold
-and overlap no base span.
+A candidate that passes its validator is always a span, whatever the number of its kind, unless it is of a kind
+without a base rule and overlaps a base span; the model adds candidates that reach their kind's threshold and overlap
+no base span.
 
 Offsets are code points.  A pattern's matches and the gaps between them are two arrays of one row, and the starts
 are running sums of their lengths, taken in blocks so that texts with very many matches stay cheap.
@@ -50,12 +52,16 @@ PATTERNS = {
 #: A cheap test that a text without a match of the kind usually fails.
 GUARDS = {"email": "@", "handle": "@", "phone": "+"}
 HINT = r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|card|account|iban|ssn|social|address|born|passport|konto|telefon|tarjeta|carte)[^A-Za-z]{0,12}$"
+#: Kinds that the telling word labels, so that it is no feature of theirs.
+HINTED = ("local_phone", "identity")
 #: Characters of context on either side.
 CONTEXT = 24
 #: Feature levels: kind, length, digits, separators, before, after, hint.
 LEVELS = (len(KINDS), 8, 8, 4, 5, 5, 2)
 PRECISION = 0.98
+#: Candidates left out of the fit that a kind needs for a threshold of its own.
 LEAST = 50
+PRIOR = float(np.log(PRECISION / (1 - PRECISION)))
 _BLOCK = 256
 
 
@@ -174,7 +180,7 @@ def candidates(text: Column) -> Column:
                     F.least(seps, F.lit(3)),
                     _char_class(F.right(m["before"], F.lit(1))),
                     _char_class(m["after"]),
-                    hint.cast("int"),
+                    F.lit(0) if kind in HINTED else hint.cast("int"),
                 ).alias("x"),
             )
 
@@ -271,7 +277,9 @@ def train(found: DataFrame) -> BoostedTrees:
         seen, right = np.cumsum(good + bad), np.cumsum(good)
         last = np.append(scores[:-1] != scores[1:], True) if len(scores) else np.zeros(0, bool)
         ok = np.flatnonzero(last & (seen >= LEAST) & (right >= PRECISION * seen))
-        if len(ok):
+        if good.sum() + bad.sum() < LEAST:
+            model.thresholds[kind] = PRIOR
+        elif len(ok):
             model.thresholds[kind] = float(scores[ok[-1]])
     return model
 
@@ -283,13 +291,14 @@ def _select(cands: Column, model: BoostedTrees) -> tuple[Column, Column]:
         return F.array_sort(F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))
 
     base = F.filter(cands, lambda c: c["valid"] & (c["kind"] < BASE))
-    if not model.thresholds:
-        return sorted_spans(base), sorted_spans(base)
-    limits = F.create_map(*[F.lit(v) for item in sorted(model.thresholds.items()) for v in item])
+    learned = lambda c: F.lit(False)
+    if model.thresholds:
+        limits = F.create_map(*[F.lit(v) for item in sorted(model.thresholds.items()) for v in item])
+        learned = lambda c: F.coalesce(model.column(c["x"]) >= limits[c["kind"]], F.lit(False))
 
     def added(c: Column, own: Column) -> Column:
         clear = ~F.exists(own, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return ~(c["valid"] & (c["kind"] < BASE)) & F.coalesce(model.column(c["x"]) >= limits[c["kind"]], F.lit(False)) & clear
+        return ~(c["valid"] & (c["kind"] < BASE)) & clear & (c["valid"] | learned(c))
 
     every = let(base, lambda own: F.concat(own, F.filter(cands, lambda c: added(c, own))))
     return sorted_spans(base), sorted_spans(every)
