@@ -73,3 +73,19 @@ def test_long_texts_clashes_and_empty_tables(spark):
     rows = S.annotate(df).collect()
     assert [(r.c1, r.r, [s.kind for s in r.secrets.spans]) for r in rows] == [(2, "y", [2, 1])] * 2
     assert S.annotate(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_telling_words_inside_names():
+    s, key = S.Scanner(), "q7Zx9KpL2mVb8RtY4wNcT5hJ"
+    names = ["SECRET_KEY = '{}'", "client_secret_id: {}", "db_password_prod={}", "secretKey = {}", "apiKeyProd: {}", "tokens: {}", "encryption_key = {}"]
+    for text in (n.format(key) for n in names):
+        assert [text[a:b] for a, b, _ in s.novel(text, text.lower().encode(), [])] == [key], text
+
+
+def test_keys_of_any_alphabet_are_new():
+    s, rng = S.Scanner(), random.Random(5)
+    for letters in ("0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"):
+        for size in (64, 128):
+            texts = ["Authorization: Bearer " + "".join(rng.choices(letters, k=size)) for _ in range(40)]
+            assert sum(bool(s.novel(t, t.lower().encode(), [])) for t in texts) >= 36, (letters, size)
+    assert s.novel("token " + "-" * 64, b"token", []) == []

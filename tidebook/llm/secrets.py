@@ -1,10 +1,11 @@
 """Secret scan: base patterns, and dictionary-primed zstandard novelty for strings in a sensitive context.
 
-A candidate is a long string without spaces that mixes letters and digits and follows a telling word closely.  Its
-novelty is what it adds to the compressed size of its surroundings: the text around it is compressed with and without
-it, both primed with a dictionary of identifiers, and the difference in bytes is set against its length.  Words,
-identifiers, paths and repeats of the surroundings add little; random keys add nearly what their alphabet holds.
-Candidates of high novelty that overlap no base span are reported as ``novel``.
+A candidate is a long string without spaces that follows a telling word closely; the word may be part of a name, as in
+``SECRET_KEY`` or ``apiKeyProd``.  Its novelty is what it adds to the compressed size of its surroundings: the text
+around it is compressed with and without it, both primed with a dictionary of identifiers.  The difference in bytes is
+set against what random strings of its length over its own alphabet add in its place.  Words, identifiers, paths and
+repeats of the surroundings add less; random keys, hex or not, add as much.  Candidates of high novelty that overlap
+no base span are reported as ``novel``, with the bytes they add a character.
 
 Base spans are found by the contract's patterns on whole texts and always stay.
 
@@ -14,7 +15,9 @@ carried through; an empty table gives no rows.  Offsets are code points.
 
 from __future__ import annotations
 
+import random
 import re
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,16 +35,21 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
 #: Telling words of candidates, and how far behind them a candidate may start.
-_SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|auth\w*|bearer|credential\w*|private[_-]?key|access[_-]?key|signature)\b", re.IGNORECASE | re.ASCII)
-_SENSITIVE_WORDS = (b"pass", b"pwd", b"secret", b"token", b"api", b"auth", b"bearer", b"credential", b"private", b"access", b"signature")
+_SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|auth[a-z]*|bearer|credential|(?:private|access|encryption|signing)[_-]?key|signature)s?(?-i:(?![a-z]))(?:[A-Za-z0-9_-]{0,32}[\"']?\x20*[:=]>?)?", re.IGNORECASE | re.ASCII)
+_SENSITIVE_WORDS = (b"pass", b"pwd", b"secret", b"token", b"api", b"auth", b"bearer", b"credential", b"private", b"access", b"encryption", b"signing", b"signature")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~!@#$%^&*.-]{16,}")
 _SHORTEST = 16
 REACH = 40
 #: Code points of the surroundings on either side.
 AROUND = 256
-#: Compressed bytes that a candidate must add for each of its characters.  Random keys of 16 to 64 letters and digits
-#: add 0.8 to 0.97 bytes a character in short surroundings and more in long ones; repeated and dotted names 0.3 to 0.7.
-NOVELTY = 0.78
+#: Share of the compressed bytes of random strings over its own alphabet that a candidate must add.
+NOVELTY = 0.9
+#: Bytes a character that it must add at least: below random digits (0.42), above runs of one sign.
+LEAST = 0.35
+#: Random strings that a candidate is set against.
+DRAWS = 4
+_CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
+_HEXES = ("0123456789abcdef", "0123456789ABCDEF")
 
 #: Identifiers and words of code that are not secrets; a parameter of ``Scanner``.
 IDENTIFIERS = (
@@ -72,6 +80,16 @@ _SPANS = T.StructType(
 )
 
 
+def alphabet(candidate: str) -> str:
+    """The characters of its classes: hex digits, or digits, small and capital letters as they occur, and its signs."""
+    own = set(candidate)
+    for hexes in _HEXES:
+        if own <= set(hexes):
+            return string.digits if own <= set(string.digits) else hexes
+    known = "".join(c for c in _CLASSES if own & set(c))
+    return known + "".join(sorted(own - set(known)))
+
+
 class Scanner:
     """Finds the secrets of one text after the other; holds the primed compressor."""
 
@@ -87,6 +105,12 @@ class Scanner:
         around = (after + "\n" + before).encode("utf-8", "replace")
         return len(self.compressor.compress(around + candidate.encode("utf-8", "replace"))) - len(self.compressor.compress(around))
 
+    def random_bytes(self, before: str, candidate: str, after: str) -> float:
+        """Mean of the compressed bytes that random strings over the candidate's alphabet add in its place."""
+        rng = random.Random(candidate)
+        drawn = ["".join(rng.choices(alphabet(candidate), k=len(candidate))) for _ in range(DRAWS)]
+        return sum(self.added_bytes(before, x, after) for x in drawn) / DRAWS
+
     def base(self, text: str, low: bytes) -> list[tuple[int, int, int]]:
         """Start, kind and end of the base spans."""
         found = []
@@ -108,11 +132,11 @@ class Scanner:
                 a, b = _CANDIDATE.match(text, near.start()).span()
                 at = done = b
                 own = text[a:b]
-                mixed = any(map(str.isalpha, own)) and any(map(str.isdigit, own))
-                if not mixed or any(s < b and a < e for s, _, e in base):
+                if any(s < b and a < e for s, _, e in base):
                     continue
-                added = self.added_bytes(text[max(0, a - AROUND) : a], own, text[b : b + AROUND])
-                if added >= self.novelty * len(own):
+                before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
+                added = self.added_bytes(before, own, after)
+                if added >= LEAST * len(own) and added >= self.novelty * self.random_bytes(before, own, after):
                     found.append((a, b, added / len(own)))
         return found
 
