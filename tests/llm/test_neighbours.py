@@ -123,3 +123,11 @@ def test_mass_is_reached_at_any_size(n):
     x = np.random.default_rng(9).normal(size=(1000, 64))
     index = N.fit(x, n, float(np.linalg.norm(x, axis=1).max()))
     assert all(reached for found in index.visits(x[:10], N.MASS) for _, reached in found)
+
+
+def test_slices_of_the_queries_of_a_bucket(spark, monkeypatch):
+    x = np.round(np.random.default_rng(4).normal(size=(300, 4)), 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = by_query(N.search(df, F.lit(True), nearest=7).collect())
+    monkeypatch.setattr(N, "SLICE", 16)
+    assert by_query(N.search(df, F.lit(True), nearest=7).collect()) == whole

@@ -15,7 +15,8 @@ Projections, their widths and *R* are fitted on a bounded sample (``SAMPLE`` vec
 number of projections follows the number of vectors, so that buckets hold about ``BUCKET_ROWS``, but is never so large
 that ``PROBES`` buckets miss the mass.  A query that misses it nevertheless, or finds fewer than ``k`` candidates, is
 compared with all vectors.  Buckets beyond ``BLOCK`` vectors are split into blocks that a query visits one by one, so
-a bucket that a third of all vectors share is spread over tasks, and no candidate is left out.  Of equal vectors only the ``k`` + 1 smallest ids can be among the
+a bucket that a third of all vectors share is spread over tasks, and no candidate is left out.  The queries of a bucket are split into slices of about ``SLICE``
+in the same way.  Of equal vectors only the ``k`` + 1 smallest ids can be among the
 nearest ``k``; the others leave the index without changing any result.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids or
@@ -41,7 +42,7 @@ MASS = 0.62
 SAMPLE = 4000
 BUCKET_ROWS = 600
 BLOCK = 8192
-#: Queries that are compared with a block of all vectors at once.
+#: Queries that are compared with a block at once; more of them are split into slices that each meet the block.
 SLICE = 4096
 #: Buckets that a query may visit in a table; with more to visit it is compared with all vectors.
 PROBES = 4096
@@ -263,8 +264,19 @@ def search(
     queries = one.where(is_query).select("vec_id", "v")
     visits = queries.mapInArrow(probed, shape)
     blocks = entries.groupBy("t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = entries.join(blocks, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = visits.join(blocks, ["t", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # counted in a pass of its own: kept visits would hold every query's vector once for each of its buckets
+    slices = visits.groupBy("t", "bucket").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    places = shared_checkpoint(blocks.join(slices, ["t", "bucket"]))
+    dealt = (
+        entries.join(places, ["t", "bucket"])
+        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    )
+    asked = (
+        visits.join(places, ["t", "bucket"])
+        .withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
 
     def ranked(left, right):
         import pyarrow as pa
@@ -296,7 +308,7 @@ def search(
             .select("query_id", F.slice(F.array_distinct(F.slice("p", 1, nearest * times)), 1, nearest).alias("p"))
         )
 
-    found = shared_checkpoint(nearest_of(dealt, asked, ("t", "bucket", "block"), tables))
+    found = shared_checkpoint(nearest_of(dealt, asked, ("t", "bucket", "block", "slice"), tables))
     enough = found.where(F.size("p") >= nearest)
     apart = queries.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"))  # other attributes than the stored side's
     missed = shared_checkpoint(apart.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti"))
