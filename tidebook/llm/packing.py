@@ -4,11 +4,14 @@ Documents are tokenised, ended by id 0, and only those longer than a sequence ar
 depends on nothing but how many pieces of each length there are: a table of at most ``SEQUENCE`` counts, whatever
 the input.  The plan is made on that table.  It goes through the lengths from the longest down; for each it looks
 up single lengths, pairs and triples whose sum is exactly the gap, and uses as many of them as are available.  What
-is left is placed by best fit, longest first.  A plan is a list of runs: *n* pieces of one length, by rank, go to *n*
-consecutive sequences at one offset.  Its size depends on the number of lengths, not on the number of pieces.
+is left is placed by best fit, longest first.  The gaps may be those of whole sequences or those that longer pieces
+have left; both orders are laid out, and best fit alone, and the fewest sequences win.  A plan is a list of runs: *n*
+pieces of one length, by rank, go to *n* consecutive sequences at one offset.  Its size depends on the number of
+lengths, not on the number of pieces.
 
-Pieces then get their rank among the pieces of their length.  Lengths are split into hash buckets for that, so a
-length that a third of all pieces share is numbered by many tasks.
+Pieces then get their rank among the pieces of their length.  Lengths are split into as many hash buckets as their
+pieces need, and equal pieces are counted first, so a length or a document that a third of all pieces share is numbered
+by many tasks.
 
 Defined cases: a null or empty text is the one id 0; repeated documents are packed once each; a null id packs like
 any other; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -27,8 +30,12 @@ from pyspark.sql import types as T
 from tidebook.llm.common import TOKENIZER_FILE, shared_checkpoint, table
 
 SEQUENCE = 2048
-#: Hash buckets in which the pieces of one length are numbered.
-BUCKETS = 256
+#: Pieces of one length that are numbered by one task.
+BUCKET_PIECES = 65_536
+#: Copies of one piece that are written out by one row of the plan.
+COPIES = 65_536
+#: Orders of laying out, of which the plan takes the one with the fewest sequences.
+ORDERS = ("complements", "gaps", "fit")
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 800_000
 
@@ -145,23 +152,24 @@ def pieces_of(
     ).mapInArrow(run, PIECE)
 
 
-class Plan:
-    """Runs of the packing plan: for each length, by rank, the first sequence and the offset of each run."""
+class _Layout:
+    """One way to lay pieces out: runs by length, from one order of taking exact complements and best fit."""
 
-    def __init__(self, counts: dict[int, int], sequence: int = SEQUENCE):
+    def __init__(self, counts: dict[int, int], sequence: int, order: str):
         self.sequence = sequence
         self.left = np.zeros(sequence + 1, dtype=np.int64)
         for length, n in counts.items():
             self.left[length] = n
         self.used = np.zeros(sequence + 1, dtype=np.int64)
         self.runs: dict[int, list[tuple[int, int, int]]] = {}
+        self.gaps: dict[int, list[tuple[int, int]]] = {}  # gap: runs of (first sequence, number)
         self.sequences = 0
-        self._complements()
-        self._best_fit()
-        self.by_length = {
-            length: tuple(np.array(column, dtype=np.int64) for column in zip(*runs, strict=True))
-            for length, runs in self.runs.items()
-        }
+        if order == "complements":
+            self._complements()
+        for length in range(sequence, 0, -1):
+            while self.left[length] > 0:
+                if order != "gaps" or not self._fill_exactly(length):
+                    self._fit(length)
 
     def _place(self, length: int, n: int, first: int, offset: int) -> None:
         """The next ``n`` pieces of this length go to sequences ``first`` and up."""
@@ -169,14 +177,29 @@ class Plan:
         self.used[length] += n
         self.left[length] -= n
 
-    def _take(self, lengths: tuple[int, ...]) -> None:
-        """Use a combination that fills whole sequences as often as its pieces are available."""
-        n = min(int(self.left[x]) // lengths.count(x) for x in lengths)
-        offset = 0
+    def _open(self, gap: int, most: int) -> tuple[int, int]:
+        """Take at most ``most`` sequences with this gap: the first of them and their number."""
+        first, n = self.gaps[gap].pop()
+        if n > most:
+            self.gaps[gap].append((first + most, n - most))
+        elif not self.gaps[gap]:
+            del self.gaps[gap]
+        return first, min(n, most)
+
+    def _most(self, lengths: tuple[int, ...]) -> int:
+        return min(int(self.left[x]) // lengths.count(x) for x in lengths)
+
+    def _take(self, lengths: tuple[int, ...], gap: int | None = None) -> None:
+        """Use a combination that fills new sequences, or open ones with this gap, as often as its pieces are available."""
+        n = self._most(lengths)
+        if gap is None:
+            first, offset = self.sequences, 0
+            self.sequences += n
+        else:
+            (first, n), offset = self._open(gap, n), self.sequence - gap
         for x in lengths:
-            self._place(x, n, self.sequences, offset)
+            self._place(x, n, first, offset)
             offset += x
-        self.sequences += n
 
     def _single(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
         return (gap,) if gap > 0 and self.left[gap] > taken.count(gap) else None
@@ -194,12 +217,19 @@ class Plan:
         return (int(long[at]), int(gap - long[at])) if fits[at] else None
 
     def _triple(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
+        sums = self._pair_sums()
         for x in range(gap - 2, (gap + 2) // 3 - 1, -1):
-            if self.left[x] > taken.count(x) and (pair := self._pair(gap - x, (*taken, x))):
+            if self.left[x] > taken.count(x) and sums[gap - x] and (pair := self._pair(gap - x, (*taken, x))):
                 return (x, *pair)
         return None
 
+    def _pair_sums(self) -> np.ndarray:
+        """Index of the sums of two available lengths; a length may stand twice in a sum even if it has one piece."""
+        there = np.fft.rfft(self.left > 0, 2 * self.sequence)
+        return np.fft.irfft(there * there, 2 * self.sequence) > 0.5
+
     def _complements(self) -> None:
+        """All exact complements of whole sequences, from the longest length down."""
         for length in range(self.sequence, 0, -1):
             gap = self.sequence - length
             if gap == 0 and self.left[length]:
@@ -208,46 +238,96 @@ class Plan:
                 while self.left[length] > 0 and (rest := find(gap, (length,))):
                     self._take((length, *rest))
 
-    def _best_fit(self) -> None:
-        """Longest first into the smallest gap that holds the piece; alike sequences are handled together."""
-        gaps: dict[int, list[tuple[int, int]]] = {}  # gap: runs of (first sequence, number)
-        for length in range(self.sequence, 0, -1):
-            while self.left[length] > 0:
-                want = int(self.left[length])
-                gap = min((g for g in gaps if g >= length), default=0)
-                if gap:
-                    first, n = gaps[gap].pop()
-                    if not gaps[gap]:
-                        del gaps[gap]
-                    many = min(n, want)
-                    if many < n:
-                        gaps.setdefault(gap, []).append((first + many, n - many))
-                else:
-                    gap, first = self.sequence, self.sequences
-                    many = max(1, want // (self.sequence // length))
-                    self.sequences += many
-                self._place(length, many, first, self.sequence - gap)
-                if gap > length:
-                    gaps.setdefault(gap - length, []).append((first, many))
+    def _fill_exactly(self, length: int) -> bool:
+        """Fill an open gap with this length alone, with one or two more; a new sequence only if it fits no open gap."""
+        open_ = sorted(g for g in self.gaps if g >= length)
+        if not open_:
+            gap = self.sequence - length
+            rest = () if gap == 0 else self._single(gap, (length,)) or self._pair(gap, (length,)) or self._triple(gap, (length,))
+            if rest is not None:
+                self._take((length, *rest))
+            return rest is not None
+        if open_[0] == length:
+            self._take((length,), length)
+            return True
+        sums = self._pair_sums()
+        for gap in open_:
+            rest = self._single(gap - length, (length,)) or (self._pair(gap - length, (length,)) if sums[gap - length] else None)
+            if rest:
+                self._take((length, *rest), gap)
+                return True
+        return False
+
+    def _fit(self, length: int) -> None:
+        """Pieces of this length fill the smallest gap that holds them, or new sequences; alike ones together.
+
+        A gap that a piece has gone into is the smallest for the next one, until no further piece fits.
+        """
+        want = int(self.left[length])
+        gap = min((g for g in self.gaps if g >= length), default=self.sequence)
+        each = min(gap // length, want)
+        many = want // each
+        if gap in self.gaps:
+            first, many = self._open(gap, many)
+        else:
+            first = self.sequences
+            self.sequences += many
+        for k in range(each):
+            self._place(length, many, first, self.sequence - gap + k * length)
+        if gap > each * length:
+            self.gaps.setdefault(gap - each * length, []).append((first, many))
 
 
-def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
-    """Pieces with sequence_id and offset.  ``pieces`` is read three times: give it checkpointed."""
-    spark = pieces.sparkSession
-    counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(Plan(counts, sequence).by_length)  # bounded by the number of lengths
+class Plan:
+    """The layout with the fewest sequences: for each length, by rank, the first sequence and the offset of each run.
 
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")
-    dealt = pieces.withColumn("bucket", bucket)
-    sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    Three orders are laid out on the table of counts: all exact complements of whole sequences before best fit; from
+    the longest length down, exact fillings of open gaps before best fit, so that short pieces are not spent on each
+    other while longer ones leave gaps; and best fit alone, so that no plan is worse than that.
+    """
+
+    def __init__(self, counts: dict[int, int], sequence: int = SEQUENCE):
+        best = min((_Layout(counts, sequence, order) for order in ORDERS), key=lambda layout: layout.sequences)
+        self.sequences = best.sequences
+        self.by_length = {
+            length: tuple(np.array(column, dtype=np.int64) for column in zip(*runs, strict=True))
+            for length, runs in best.runs.items()
+        }
+
+
+def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Pieces with their rank among the pieces of their length.
+
+    Equal pieces are counted before that and written out again in parts, as a document repeated for a third of all rows
+    would meet in one task.
+    """
+    kinds = shared_checkpoint(pieces.groupBy(*PIECE.names).agg(F.count("*").alias("copies")))
+    rows = [(length, -(-n // BUCKET_PIECES)) for length, n in counts.items()]  # at most SEQUENCE of them
+    buckets = pieces.sparkSession.createDataFrame(rows, "length long, buckets long")
+    order = ("doc_id", "piece", "ids_crc32", "start")
+    dealt = kinds.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64(*order), F.col("buckets")))
+    sizes = dealt.groupBy("length", "bucket").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = (
-        dealt.withColumn("rank", F.row_number().over(within).cast("long") - 1)
+    starts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start_rank"))
+    within = Window.partitionBy("length", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = (
+        dealt.withColumn("before", F.coalesce(F.sum("copies").over(within), F.lit(0)))
         .join(starts, ["length", "bucket"])
-        .select(*PIECE.names, (F.col("rank") + F.col("before")).alias("rank"))
+        .select(*PIECE.names, "copies", (F.col("start_rank") + F.col("before")).alias("rank"))
     )
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long")))
+    parts = numbered.where("copies > 1").withColumn("at", at).repartition(*order, "at")
+    last = F.least(F.col("at") + COPIES, F.col("copies")) - 1
+    several = parts.select(*PIECE.names, F.explode(F.sequence(F.col("rank") + F.col("at"), F.col("rank") + last)).alias("rank"))
+    return numbered.where("copies = 1").drop("copies").unionByName(several)
+
+
+def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
+    """Pieces with sequence_id and offset.  ``pieces`` is read twice: give it checkpointed."""
+    spark = pieces.sparkSession
+    counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    plan = spark.sparkContext.broadcast(Plan(counts, sequence).by_length)  # bounded by the number of lengths
+    ranked = _ranked(pieces, counts)
     result = T.StructType([*PIECE.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches):
