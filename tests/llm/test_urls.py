@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import duckdb
 import pytest
 from compare import assert_same
+from pyspark.sql import functions as F
 
 from tidebook.llm import urls as U
 
@@ -74,6 +78,53 @@ def test_long_rule_lists_are_joined(spark, monkeypatch):
     assert verdicts(spark, pages) == inline
 
 
+def test_ties_of_rules_go_one_way(spark, monkeypatch):
+    """Random rule lists with ties: the inline expression, the join and a plain loop agree."""
+    rng = random.Random(4)
+    hosts, paths = ["com", "a.com", "b.a.com", "x.com"], ["", "/", "/x", "/xy", "/x/", "/xyz"]
+    pages = [(i, f"http://{h}{p}", None) for i, (h, p) in enumerate((h, p) for h in [*hosts, "c.b.a.com", "q.org"] for p in paths)]
+    places = spark.createDataFrame(pages, PAGES).select("page_id", U.host_of(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path")).cache()
+    lists = [(("block", "a.com", "/"), ("block", "com", "/xy"))]
+    lists += [tuple((rng.choice(("block", "allow")), rng.choice(hosts), rng.choice(paths)) for _ in range(rng.randint(1, 25))) for _ in range(5)]
+    for rules in lists:
+        want = {}
+        for i, url, _ in pages:
+            host, _, path = url[7:].partition("/")
+            path = "/" + path if _ else ""
+            fit = [(-len(h + p), a != "allow", a, h, p) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            want[i] = (host, path, min(fit)[3] + min(fit)[4], min(fit)[2]) if fit else (host, path, None, None)
+        for limit in (0, 200):
+            monkeypatch.setattr(U, "INLINE_RULES", limit)
+            rows = U.with_rule(places, rules, "host", "path").collect()
+            assert {r.page_id: (r.host, r.path, r.rule, r.action) for r in rows} == want, (rules, limit)
+
+
+EDGE_PAGES = [
+    (1, "http://a.info/1", canonical("http://free.info/") + canonical("http://x.com/en/1")),  # the second tag blocks
+    (2, "http://a.info/2", refresh("/none") + refresh("3") + refresh("http://y.com/en/1")),
+    (3, "http://b.info", refresh("http://x.com/en/2")),  # an empty path is the path "/"
+    (4, "http://b.info/", None),
+    (5, "http://c.info/d/e/f?p=1", canonical("../../g")),
+    (6, "http://c.info/g", canonical("http://z.com/en/")),
+    (7, "http://c.info/./d/../g", None),
+    (8, "http://e.info/file?x", canonical("?y=2")),
+    (9, "http://e.info/file?y=2", refresh("https://w.org/es/")),
+    (10, "http://f.info/", canonical("#top") + "<link rel=canonical href=>"),
+    (11, "http://g.info/a/..", canonical("http://v.com/en/..")),  # v.com/ has no rule
+    (12, "http://g.info/a/b", "<LINK HREF='http://u.com/en/' REL='Canonical'>"),
+    (13, None, canonical("http://x.com/en/1")),
+]
+
+
+def test_all_tags_and_relative_targets(spark, tmp_path):
+    got = verdicts(spark, EDGE_PAGES)
+    assert {k for k, v in got.items() if v[3] == "block"} == {1, 2, 3, 4, 5, 6, 7, 8, 9, 12}
+    spark.createDataFrame(EDGE_PAGES, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert_same(U.op9_urls(spark, str(tmp_path)), con, U.ORACLE_SQL)
+
+
 @pytest.mark.parametrize("html", [None, "", "canonical refresh", "<link rel=canonical>", "x" * 1_000_000 + canonical("http://x.com/en/")])
 def test_odd_html(spark, html):
     assert verdicts(spark, [(1, "http://a.info/", html)])[1][3] == ("block" if html and len(html) > 99 else "allow")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,14 +19,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir`` (or the context's); a new local one only on a local master without any."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(named)
+        return named
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in ``spark.checkpoint.dir``; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    """Cut the lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """A column name that is not taken: ``name``, or ``name`` with underscores behind."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def map_text(
     df: DataFrame,
     text_col: str,

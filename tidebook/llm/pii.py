@@ -24,14 +24,13 @@ an empty table gives no rows; other columns are left alone (``redact`` keeps the
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import shared_checkpoint, table
+from tidebook.llm.common import let, shared_checkpoint, table
 
 #: Kinds with a base rule first, in the order of ties.
 KINDS = ("email", "ip", "card", "phone", "handle", "local_phone", "identity", "account")
@@ -65,11 +64,6 @@ PRIOR = float(np.log(PRECISION / (1 - PRECISION)))
 _BLOCK = 256
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _matches(text: Column, kind: str) -> Column:
     """All matches of a pattern: start, end, match, and the text before and after."""
     pattern = PATTERNS[kind]

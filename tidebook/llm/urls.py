@@ -6,7 +6,10 @@ edges between addresses, and the connected components of these edges are aliases
 blocked address blocks its undecided members, unless a rule explicitly allows an address in it: an explicit allow
 takes precedence.  Without either, a page is allowed.
 
-An address is scheme-less: host in lower case, path and query, no fragment.
+Of fitting rules of one length an allow wins, then the smallest by action, host and path.
+
+An address is scheme-less: host in lower case, path (``/`` if empty, dot segments resolved) and query, no fragment.
+All canonical and refresh tags of a page are edges.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no address and so no aliases; null
 html has no edges; repeated pages are judged one by one; an empty table gives no rows; other columns are ignored.
@@ -35,8 +38,12 @@ INLINE_RULES = 200
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+#: Tags that name an alias, and where in the tag it stands; the same in Spark's and DuckDB's expressions.
+_TAGS = (
+    (r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
+    (r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"),
+)
+_DOTS = r"/\.\.?(/|$)"
 
 
 def _part(url: Column, number: int) -> Column:
@@ -53,9 +60,20 @@ def path_of(url: Column) -> Column:
     return _part(url, 2)
 
 
+def _plain_path(path: Column) -> Column:
+    """The path of an address: ``/`` for an empty one, without dot segments."""
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == "..", F.regexp_replace(done, "/[^/]*$", "")).when(part == ".", done).otherwise(F.concat(done, F.lit("/"), part))
+
+    joined = F.aggregate(F.split(F.substring(path, F.lit(2), F.length(path)), "/"), F.lit(""), step)
+    resolved = F.when(path.rlike(r"/\.\.?$"), F.concat(joined, F.lit("/"))).otherwise(joined)
+    return F.when(path == "", "/").when(path.rlike(_DOTS), resolved).otherwise(path)
+
+
 def address_of(url: Column) -> Column:
     """Host, path and query; null for a url without ``://``."""
-    return F.when(url.contains("://"), F.concat(host_of(url), path_of(url), _part(url, 3)))
+    return F.when(url.contains("://"), F.concat(host_of(url), _plain_path(path_of(url)), _part(url, 3)))
 
 
 def _ranked(rules: tuple[Rule, ...]) -> list[Rule]:
@@ -76,26 +94,32 @@ def with_rule(pages: DataFrame, rules: tuple[Rule, ...], host: str, path: str) -
     labels = F.split(host, r"\.")
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     fitting = places.select(host, path, suffix.alias("h")).join(listed, "h").where(F.col(path).startswith(F.col("p")))
-    order = F.struct(F.length("rule").alias("n"), (F.col("action") == "allow").alias("allow"), "rule", "action")
-    chosen = fitting.groupBy(host, path).agg(F.max(order).alias("o")).select(host, path, "o.rule", "o.action")
+    order = F.struct((-F.length("rule")).alias("n"), (F.col("action") != "allow").alias("blocks"), "action", "h", "p", "rule")
+    chosen = fitting.groupBy(host, path).agg(F.min(order).alias("o")).select(host, path, "o.rule", "o.action")
     return pages.join(chosen, [host, path], "left")
 
 
 def edges_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (page, target) of redirects and canonical links; relative targets are resolved against the page."""
     url, html = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")
-    raw = pages.where(url.contains("://") & html.rlike("(?i)canonical|refresh")).select(
-        url.alias("url"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("to")
-    )
+
+    def named_by(tag: str, at: str) -> Column:
+        return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, at, 1))
+
+    tags = F.concat(*[named_by(*pair) for pair in _TAGS])
+    raw = pages.where(url.contains("://") & html.rlike("(?i)canonical|refresh")).select(url.alias("url"), F.explode(tags).alias("to"))
     target = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
-    host, folder = host_of(F.col("url")), F.regexp_replace(path_of(F.col("url")), r"[^/]*$", "")
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    folder = F.regexp_replace(path, r"[^/]*$", "")
     whole = (
         F.when(target.contains("://"), target)
         .when(target.startswith("//"), F.concat(F.lit("x:"), target))
         .when(target.startswith("/"), F.concat(F.lit("x://"), host, target))
+        .when(target.startswith("?"), F.concat(F.lit("x://"), host, path, target))
         .otherwise(F.concat(F.lit("x://"), host, F.when(folder == "", "/").otherwise(folder), target))
     )
-    return raw.where("to != ''").select(address_of(F.col("url")).alias("page"), address_of(whole).alias("target"))
+    named = raw.where("to != '' AND NOT startswith(to, '#')")
+    return named.select(address_of(F.col("url")).alias("page"), address_of(whole).alias("target"))
 
 
 def judge(
@@ -165,27 +189,41 @@ def _sql_rule(url: str) -> str:
     return cases
 
 
-_SQL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
 _SQL_LOWER = f"translate({{}}, '{_UPPER}', '{_LOWER}')"
 
 
+def _sql_part(url: str, number: int) -> str:
+    part = f"regexp_extract({url}, '{_PARTS}', {number})"
+    return _SQL_LOWER.format(part) if number == 1 else part
+
+
 def _sql_address(url: str) -> str:
-    low = _SQL_LOWER.format(f"regexp_extract({url}, '{_SQL_PARTS}', 1)")
-    return f"CASE WHEN contains({url}, '://') THEN {low} || regexp_extract({url}, '{_SQL_PARTS}', 2) || regexp_extract({url}, '{_SQL_PARTS}', 3) END"
+    path = _sql_part(url, 2)
+    joined = (
+        f"list_reduce(string_split(substr({path}, 2), '/'), lambda done, part: CASE WHEN part = '..' THEN regexp_replace(done, '/[^/]*$', '') "
+        f"WHEN part = '.' THEN done ELSE done || '/' || part END, '')"
+    )
+    plain = f"CASE WHEN {path} = '' THEN '/' WHEN regexp_matches({path}, '{_DOTS}') THEN {joined} || CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN '/' ELSE '' END ELSE {path} END"
+    return f"CASE WHEN contains({url}, '://') THEN {_sql_part(url, 1)} || {plain} || {_sql_part(url, 3)} END"
+
+
+def _sql_tags() -> str:
+    quoted = [tuple(x.replace("'", "''").replace('\\"', '"') for x in pair) for pair in _TAGS]
+    return " UNION ALL ".join(
+        f"SELECT url, regexp_extract(tag, '{at}', 1) AS t FROM (SELECT url, unnest(regexp_extract_all(html, '{tag}')) AS tag FROM pages)" for tag, at in quoted
+    )
 
 
-#: DuckDB: RE2 has no look-ahead, so the tag is taken first and its attribute second.
 ORACLE_SQL = rf"""
 WITH RECURSIVE tags AS (
-  SELECT url, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM pages
-  UNION ALL
-  SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*'), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) FROM pages
+  {_sql_tags()}
 ), targets AS (
-  SELECT url, replace(t, '&amp;', '&') AS t, {_SQL_LOWER.format(f"regexp_extract(url, '{_SQL_PARTS}', 1)")} AS h,
-         regexp_replace(regexp_extract(url, '{_SQL_PARTS}', 2), '[^/]*$', '') AS f
-  FROM tags WHERE t <> '' AND contains(url, '://')
+  SELECT url, replace(t, '&amp;', '&') AS t, {_sql_part("url", 1)} AS h, {_sql_part("url", 2)} AS p,
+         regexp_replace({_sql_part("url", 2)}, '[^/]*$', '') AS f
+  FROM tags WHERE t <> '' AND NOT starts_with(t, '#') AND contains(url, '://')
 ), whole AS (
   SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'x:' || t WHEN starts_with(t, '/') THEN 'x://' || h || t
+         WHEN starts_with(t, '?') THEN 'x://' || h || p || t
          ELSE 'x://' || h || CASE WHEN f = '' THEN '/' ELSE f END || t END AS t FROM targets
 ), edge AS (
   SELECT {_sql_address('url')} AS a, {_sql_address('t')} AS b FROM whole
@@ -196,11 +234,10 @@ WITH RECURSIVE tags AS (
 ), alias AS (
   SELECT a, bool_or(r.action = 'block') AND NOT coalesce(bool_or(r.action = 'allow'), false) AS blocked
   FROM (SELECT a, CASE {_sql_rule('b')} END AS r
-        FROM (SELECT a, b, regexp_extract('x://' || b, '{_SQL_PARTS}', 1) AS h, regexp_extract('x://' || b, '{_SQL_PARTS}', 2) AS p FROM reach))
+        FROM (SELECT a, b, regexp_extract('x://' || b, '{_PARTS}', 1) AS h, regexp_extract('x://' || b, '{_PARTS}', 2) AS p FROM reach))
   GROUP BY a
 ), page AS (
-  SELECT page_id, coalesce({_SQL_LOWER.format(f"regexp_extract(url, '{_SQL_PARTS}', 1)")}, '') AS h,
-         coalesce(regexp_extract(url, '{_SQL_PARTS}', 2), '') AS p, {_sql_address('url')} AS address FROM pages
+  SELECT page_id, coalesce({_sql_part("url", 1)}, '') AS h, coalesce({_sql_part("url", 2)}, '') AS p, {_sql_address('url')} AS address FROM pages
 )
 SELECT page_id, h AS host, p AS path, r.rule AS rule,
        coalesce(r.action, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
