@@ -15,30 +15,22 @@ personal data, and pack as one id.  An empty table gives an empty result at ever
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.llm import decontamination, packing, pii, quality, simhash
-from tidebook.llm.common import shared_checkpoint, table
+from tidebook.llm.common import fresh, shared_checkpoint, shared_folder, table
 
 #: SQL can express neither the classifiers nor the tokeniser; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def _fresh(docs: DataFrame, name: str) -> str:
-    """A column name that the documents do not have."""
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier, fitted on the labels that are not held out, scores at its threshold or above."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    out = _fresh(docs, "quality_score")
+    out = fresh(docs.columns, "quality_score")
     scored = quality.annotate(docs, model, out=out)
     return scored.where(F.col(f"{out}.score") >= quality.THRESHOLD).drop(out)
 
@@ -50,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents without a benchmark window."""
-    out = _fresh(docs, "contamination")
+    out = fresh(docs.columns, "contamination")
     found = decontamination.annotate(docs, table(spark, sf_dir, "benchmark"), out=out)
     return found.where(F.col(f"{out}.n_hit") == 0).drop(out)
 
@@ -77,8 +69,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; what each returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

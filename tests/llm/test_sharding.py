@@ -22,6 +22,12 @@ def test_permutation(spark, n):
         assert places != other and sum(abs(p - i) for i, p in enumerate(places)) / n > n / 5
 
 
+def test_long_walks_end_inside(spark, monkeypatch):
+    monkeypatch.setattr(S, "WALK", 1)
+    for n in (5, 17, 4099):
+        assert sorted(r.p for r in spark.range(n).select(S.permute(S.F.col("id"), n).alias("p")).collect()) == list(range(n))
+
+
 def check(rows, shards):
     counts = Counter(r.shard for r in rows)
     assert max(counts.values()) - min([counts[s] for s in range(shards)]) <= 1

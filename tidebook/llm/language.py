@@ -3,8 +3,9 @@
 A text is folded to lower case and its words are framed by single spaces; the byte n-grams of 2 to 4 bytes that do
 not cross a space are its subwords, hashed into ``BUCKETS`` rows of an embedding table.  The average of their
 embeddings goes through a linear layer and a softmax.  Embeddings and layer are trained together by stochastic
-gradient descent in numpy, on a bounded sample of documents of each language.  A part of the sample calibrates:
-it sets the softmax temperature, and the score below which a prediction is marked as rejected.
+gradient descent in numpy, on a bounded sample of documents of each of the ``TRAIN_LANGUAGES`` most frequent
+languages (about ``TRAIN_LANGUAGES`` x ``TRAIN_LEAST`` rows of 16 KB at most reach the driver).  A part of the sample
+calibrates: it sets the softmax temperature, and the score below which a prediction is marked as rejected.
 
 As both layers are linear, scoring needs one product of bucket counts with a small table per text.  Long texts are
 counted piece by piece.
@@ -33,6 +34,8 @@ GRAMS = (2, 3, 4)
 #: Bounds of the sample that the model is fitted on: documents in all, and of each language at least.
 TRAIN_DOCS = 3000
 TRAIN_LEAST = 60
+#: Languages that are learned: the most frequent ones, the first by name of equally frequent ones.
+TRAIN_LANGUAGES = 200
 #: Share of right calibration predictions that rejection may lose.
 REJECT = 0.005
 _STEP = 1 << 20
@@ -156,13 +159,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")
     ).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (remainder("id", 3) != 1))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     if not counts:
         return fit(np.zeros((0, BUCKETS)), [])
     each = max(TRAIN_LEAST, train_docs // len(counts))
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, each / n))])
     place = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
-    sample = known.where(place < share[F.col("lang")])
+    sample = known.where(place < share[F.col("lang")])  # null, so false, for a language that is not learned
 
     def make():
         def run(texts):
