@@ -39,6 +39,18 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hub_join(left: DataFrame, right: DataFrame, key: str, total: int, share: int) -> DataFrame:
+    """Inner join of ``left`` with one row of ``right`` per key, whose column ``n`` counts the rows of ``left``.
+
+    Rows of keys with over one in ``share`` of ``total`` rows are joined by broadcast: there are fewer than ``share``
+    such keys (twice as many if ``total`` counts edges and ``left`` both of their ends).  The column ``n`` is dropped.
+    """
+    hub = F.col("n") * share > total
+    hubs = F.broadcast(right.where(hub).drop("n"))
+    rest = left.join(hubs.select(key), key, "left_anti").join(right.where(~hub).drop("n"), key)
+    return left.join(hubs, key).unionByName(rest)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]

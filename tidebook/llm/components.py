@@ -1,8 +1,9 @@
 """Connected components of a distributed graph by alternating large-star and small-star rounds.
 
 Each round points every edge closer to the smallest node of its component: a minimum per node (combined before the
-shuffle) and a join back.  A hub's edges are ordinary join rows, which Spark may split; no neighbour list is ever
-gathered.  Rounds end when the set of edges stays the same, which takes about the logarithm of the longest path.
+shuffle) and a join back.  The edges of hubs, nodes that over one in ``HUB_SHARE`` edges have, are joined by broadcast
+and never meet in one task; no neighbour list is ever gathered.  Rounds end when the set of edges stays the same, which
+takes about the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -10,23 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import shared_checkpoint
+from tidebook.llm.common import hub_join, shared_checkpoint
 
+#: A node that over one in so many edges have is a hub; there are fewer than twice as many hubs.
+HUB_SHARE = 1000
 
-def _pointed(edges: DataFrame, lowest: DataFrame) -> DataFrame:
-    return edges.join(lowest, "u")
 
-
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return _pointed(both.where(F.col("v") > F.col("u")), lowest).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    up = both.where(F.col("v") > F.col("u"))
+    return hub_join(up, lowest, "u", n, HUB_SHARE).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
-    lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _pointed(down, lowest).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    lowest = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = hub_join(down, lowest, "u", n, HUB_SHARE)
+    moved = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(lowest.select("u", F.col("m").alias("v")))
 
 
@@ -47,7 +49,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        now = shared_checkpoint(_small_star(_large_star(now)).distinct())
+        large = shared_checkpoint(_large_star(now, before[0]).distinct())
+        now = shared_checkpoint(_small_star(large, before[0]).distinct())
         after = state(now)
         if after == before:
             break

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.common import map_text, shared_checkpoint, table
+from tidebook.llm.common import fresh, hub_join, map_text, shared_checkpoint, table
 from tidebook.llm.components import connected_components
 
 SHINGLE = 4
@@ -41,25 +41,25 @@ _EDGE = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.Lon
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprints(texts: list[bytes | None]) -> np.ndarray:
-    """The fingerprints of a batch of texts, unsigned."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> list[int]:
+    """The hashes of a text's shingles, repeats included; of the whole sequence if it has fewer words."""
     import xxhash
 
-    digest, counts, chunks = xxhash.xxh64_intdigest, [], []
-    for text in texts:
-        words = text.translate(_LOWER).split() if text else []
-        if len(words) <= SHINGLE:
-            hashes = [digest(b" ".join(words), SEED)] if words else []
-        else:
-            joined = b" ".join(words)
-            ends = np.cumsum([len(w) + 1 for w in words]) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            bounds = zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)
-            hashes = [digest(joined[a:b], SEED) for a, b in bounds]
-        counts.append(len(hashes))
-        chunks.append(np.array(hashes, dtype=np.uint64))
-    found = np.zeros(len(texts), dtype=np.uint64)
-    n = np.array(counts, dtype=np.int64)
+    words = text.translate(_LOWER).split() if text else []
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return [xxhash.xxh64_intdigest(joined, SEED)] if words else []
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    bounds = zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in bounds]
+
+
+def majority(chunks: list[np.ndarray]) -> np.ndarray:
+    """For each array of hashes, the bits that over half of them have; zero without hashes."""
+    found = np.zeros(len(chunks), dtype=np.uint64)
+    n = np.array([len(c) for c in chunks], dtype=np.int64)
     full = np.flatnonzero(n)
     if not len(full):
         return found
@@ -79,6 +79,11 @@ def fingerprints(texts: list[bytes | None]) -> np.ndarray:
     return found
 
 
+def fingerprints(texts: list[bytes | None]) -> np.ndarray:
+    """The fingerprints of a batch of texts, unsigned."""
+    return majority([np.array(shingle_hashes(t), dtype=np.uint64) for t in texts])
+
+
 def _quarters(x: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count((x >> np.uint64(s)) & np.uint64(0xFFFF)).astype(np.int16) for s in (0, 16, 32, 48)], 1)
 
@@ -192,34 +197,40 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     prints = shared_checkpoint(found.select("doc_id", "text_hash", F.col("print.fp").alias("fp")))
     nodes = shared_checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     linked = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = linked.join(nodes, "fp")
-    lowest = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "component").select("fp", "component_id")
+    return named_groups(prints, nodes, linked)
+
+
+def named_groups(prints: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """Every row of ``prints`` with the smallest id of its component.
+
+    ``nodes`` has one row per fp with its smallest id (``first``) and number of rows (``n``); ``linked`` gives the
+    component of each fp that has a link.  Components of a thousandth of all nodes and fingerprints of a thousandth of
+    all rows are joined by broadcast.
+    """
+    rooted = shared_checkpoint(linked.join(nodes, "fp"))
+    lowest = rooted.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = hub_join(rooted.select("fp", "component"), lowest, "component", rooted.count(), HOT_SHARE).select("fp", "component_id")
     known = shared_checkpoint(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"))
-    hot = F.col("n") * HOT_SHARE > (nodes.agg(F.sum("n")).first()[0] or 0)
-    common = F.broadcast(known.where(hot).drop("n"))  # fewer than HOT_SHARE fingerprints can be that common
-    rare = prints.join(common, "fp", "left_anti").join(known.where(~hot).drop("n"), "fp")
-    return prints.join(common, "fp").unionByName(rare).select("doc_id", "text_hash", "fp", "component_id")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    return hub_join(prints, known, "fp", total, HOT_SHARE).select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped: DataFrame | None = None) -> DataFrame:
     """The documents without their near-duplicates: of each group the row with the smallest id stays.
 
-    Rows that share that id are told apart by their texts; of equal rows one stays.
+    ``grouped`` is the result of ``group`` (the default) or of ``near_copies.similar`` on these documents.  Rows that
+    share that id are told apart by their texts; of rows equal in both one stays.
     """
-    grouped = group(docs, id_col, text_col)
+    if grouped is None:
+        grouped = group(docs, id_col, text_col)
     best = grouped.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("unnamed")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"), F.count("*").alias("n")
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k")
     )
-    kept = shared_checkpoint(best.select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"), "n"))
-
-    def chosen(of: DataFrame) -> DataFrame:
-        same = docs[f"`{id_col}`"].eqNullSafe(of["doc_id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == of["text_hash"])
-        return docs.join(of, same, "left_semi")
-
-    single = chosen(kept.where("n = 1"))
-    several = chosen(kept.where("n > 1")).dropDuplicates([id_col, text_col])
-    return single.unionByName(several)
+    key = fresh(docs.columns, "row_key")
+    kept = shared_checkpoint(best.select(F.struct("k.doc_id", "k.text_hash").alias(key)).distinct())
+    # nulls are equal inside a struct; repeated rows are dropped before the shuffle that the join then uses as well
+    keyed = docs.withColumn(key, F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash")))
+    return keyed.dropDuplicates([key]).join(kept, key, "left_semi").drop(key)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
