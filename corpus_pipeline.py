@@ -4,7 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is wri
 next stage's ``docs``.  All but the last keep the columns of documents:
 
 1. quality: documents that the classifier rejects go.
-2. near_duplicates: one document of each SimHash group stays.
+2. near_duplicates: of each group of texts linked by SimHash and a 5-word shingle similarity of 0.8 one stays.
 3. decontamination: documents that hold a passage of the benchmark go.
 4. personal_data: selected spans are replaced by their kind in angle brackets; every document stays.
 5. packing: documents become pieces in sequences of at most 2048 ids.
@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontamination, packing, pii, quality, simhash
+from tidebook.llm import decontamination, near_copies, packing, pii, quality, simhash
 from tidebook.llm.common import fresh, shared_checkpoint, shared_folder, table
 
 #: SQL can express neither the classifiers nor the tokeniser; the stages are tested against brute force.
@@ -36,8 +36,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies, texts with a shingle similarity of 0.8 or more, keep the smallest id."""
+    return simhash.keep_one(docs, grouped=near_copies.similar(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
