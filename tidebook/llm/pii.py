@@ -2,14 +2,20 @@
 
 Generators with high recall propose spans, which may overlap: mail addresses and address-like handles, dotted
 quads, long digit chains, phone numbers with and without a leading plus, national identity numbers and account
-numbers.  Each candidate has format features (kind, length, digits, separators) and context features (characters
-around it, a telling word before it), all cut into few levels.  Validators that the features do not contain - the
-base rules' checks, the Luhn and mod-97 sums, a telling word for formats without a check, where it is no feature -
-label the candidates.
+numbers.  Each candidate has format features (kind, length, digits, separators, whether its leading digits are ones that
+are given out) and context features (characters around it, a telling word before it, another candidate close by), all
+cut into few levels.
+
+No labels of personal data are given, so candidates are labelled by what their features do not hold.  Kinds with a check
+(the base rules' checks, the Luhn and mod-97 sums) are labelled by it.  Kinds without one (``HINTED``) are labelled by a
+telling word before them, which is no feature of theirs; as not every true one has such a word, a share of ``TOLD`` of
+true ones is assumed to, and the wanted share of labels is that much lower.
+
 Counting candidates by features and label over the whole corpus gives a table whose size is bounded by the number
 of feature levels; boosted trees are fitted to that table on the driver and written back as CASE expressions.  Per
-kind, the threshold is the lowest score that keeps the wanted precision on candidates left out of the fit; a kind with
-fewer than ``LEAST`` of these has the threshold ``PRIOR``, the log odds of that precision.
+kind, the threshold is the lowest score that keeps the wanted share, by Laplace's rule, on the candidates of a quarter of
+the texts that the fit has not seen (copies of a text are on one side); a kind with fewer than ``LEAST`` of these has
+the log odds of that share for a threshold.
 
 A candidate that passes its validator is always a span, whatever the number of its kind, unless it is of a kind
 without a base rule and overlaps a base span; the model adds candidates that reach their kind's threshold and overlap
@@ -30,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import let, shared_checkpoint, table
+from tidebook.llm.common import fresh, let, shared_checkpoint, table
 
 #: Kinds with a base rule first, in the order of ties.
 KINDS = ("email", "ip", "card", "phone", "handle", "local_phone", "identity", "account")
@@ -48,19 +54,23 @@ PATTERNS = {
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-#: A cheap test that a text without a match of the kind usually fails.
-GUARDS = {"email": "@", "handle": "@", "phone": "+"}
+#: What a text with a match of the kind holds; the other kinds need a digit.
+GUARDS = {"email": "@", "handle": "@"}
 HINT = r"(?i)(?:phone|tel|call|mobile|fax|mail|contact|card|account|iban|ssn|social|address|born|passport|konto|telefon|tarjeta|carte)[^A-Za-z]{0,12}$"
+#: Leading digits that are given out, for kinds where not all are.
+GIVEN_OUT = {"card": r"^[3-6]", "local_phone": r"^\(?[2-9][0-9]{2}\)?[\x20.-]?[2-9]", "identity": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"}
 #: Kinds that the telling word labels, so that it is no feature of theirs.
-HINTED = ("local_phone", "identity")
-#: Characters of context on either side.
+HINTED = ("handle", "local_phone", "identity")
+#: Share of the true ones of such a kind that are assumed to stand behind a telling word.
+TOLD = 0.6
+#: Characters of context before a candidate, and how close another one counts as near.
 CONTEXT = 24
-#: Feature levels: kind, length, digits, separators, before, after, hint.
-LEVELS = (len(KINDS), 8, 8, 4, 5, 5, 2)
-PRECISION = 0.98
+NEAR = 80
+#: Feature levels: kind, length, digits, separators, before, after, hint, given out, near.
+LEVELS = (len(KINDS), 8, 8, 4, 5, 5, 2, 2, 2)
+PRECISION = 0.95
 #: Candidates left out of the fit that a kind needs for a threshold of its own.
-LEAST = 50
-PRIOR = float(np.log(PRECISION / (1 - PRECISION)))
+LEAST = 20
 _BLOCK = 256
 
 
@@ -98,10 +108,7 @@ def _matches(text: Column, kind: str) -> Column:
             ),
         ),
     )
-    there = text.rlike(pattern)
-    if kind in GUARDS:
-        there = F.contains(text, F.lit(GUARDS[kind])) & there
-    return F.when(there, found)
+    return F.when(text.rlike(pattern), found)
 
 
 def _digits(hit: Column) -> Column:
@@ -140,8 +147,6 @@ def _valid(kind: str, hit: Column, hint: Column) -> Column:
         return let(_digits(hit), luhn)
     if kind == "phone":
         return F.length(_digits(hit)).between(9, 15)
-    if kind == "handle":
-        return F.lit(False)
     if kind == "account":
         return _mod97(hit)
     return hint
@@ -154,7 +159,7 @@ def _char_class(c: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """All candidates of a text: kind number, start, end, valid, and the feature levels."""
+    """All candidates of a text by start: kind number, start, end, valid, and the feature levels."""
 
     def of(number: int, kind: str) -> Column:
         def one(m: Column) -> Column:
@@ -163,8 +168,8 @@ def candidates(text: Column) -> Column:
             digits = F.length(_digits(hit))
             seps = F.length(F.regexp_replace(hit, r"[^\x20().@-]", ""))
             return F.struct(
-                F.lit(number).alias("kind"),
                 m["start"].alias("start"),
+                F.lit(number).alias("kind"),
                 m["end"].alias("end"),
                 F.coalesce(_valid(kind, hit, hint), F.lit(False)).alias("valid"),
                 F.array(
@@ -175,12 +180,30 @@ def candidates(text: Column) -> Column:
                     _char_class(F.right(m["before"], F.lit(1))),
                     _char_class(m["after"]),
                     F.lit(0) if kind in HINTED else hint.cast("int"),
+                    hit.rlike(GIVEN_OUT[kind]).cast("int") if kind in GIVEN_OUT else F.lit(1),
                 ).alias("x"),
             )
 
         return F.coalesce(F.transform(_matches(text, kind), one), F.array())
 
-    return F.concat(*[of(number, kind) for number, kind in enumerate(KINDS)])
+    def with_near(found: Column) -> Column:
+        def close(gap: Column) -> Column:
+            return F.coalesce(gap.between(0, NEAR), F.lit(False))
+
+        def one(c: Column, i: Column) -> Column:
+            before = F.when(i > 0, c["start"] - F.element_at(found, F.greatest(i, F.lit(1)))["end"])
+            after = F.when(i < F.size(found) - 1, F.element_at(found, F.least(i + 2, F.size(found)))["start"] - c["end"])
+            x = F.concat(c["x"], F.array((close(before) | close(after)).cast("int")))
+            return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["valid"].alias("valid"), x.alias("x"))
+
+        return F.transform(found, one)
+
+    def guarded(there: Column, kinds: list[str]) -> Column:
+        return F.when(there, F.concat(*[of(KINDS.index(k), k) for k in kinds])).otherwise(F.array())
+
+    mails, numbers = [k for k in KINDS if k in GUARDS], [k for k in KINDS if k not in GUARDS]
+    every = F.concat(guarded(F.contains(text, F.lit("@")), mails), guarded(text.rlike("[0-9]"), numbers))
+    return let(F.array_sort(every), with_near)
 
 
 @dataclass
@@ -250,11 +273,15 @@ def fit(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, n_trees: int
     return model
 
 
-def train(found: DataFrame) -> BoostedTrees:
-    """Fit and calibrate on all candidates; ``found`` has a column ``cands``.  Only counts by features are collected."""
-    one = found.select(F.explode("cands").alias("c"))
-    fold = F.pmod(F.xxhash64("c.start", "c.end", "c.x"), F.lit(4)) == 0
-    rows = one.groupBy(F.col("c.x").alias("x"), F.col("c.valid").alias("valid"), fold.alias("out")).agg(F.count("*").alias("n")).collect()
+def fold_of(text: Column) -> Column:
+    """Whether the candidates of a text are left out of the fit."""
+    return F.coalesce(F.pmod(F.xxhash64(text), F.lit(4)) == 0, F.lit(False))
+
+
+def train(found: DataFrame, cands: str = "cands", left_out: str = "left_out") -> BoostedTrees:
+    """Fit and calibrate on all candidates of all rows.  Only counts by features are collected."""
+    one = found.select(F.explode(F.col(f"`{cands}`")).alias("c"), F.col(f"`{left_out}`").alias("out"))
+    rows = one.groupBy(F.col("c.x").alias("x"), F.col("c.valid").alias("valid"), "out").agg(F.count("*").alias("n")).collect()
     rows.sort(key=lambda r: (r["x"], r["valid"], r["out"]))
     table_: dict[tuple, np.ndarray] = {}
     for r in rows:
@@ -263,16 +290,17 @@ def train(found: DataFrame) -> BoostedTrees:
     counts = np.array(list(table_.values())).reshape(len(table_), 2, 2)
     model = fit(x, counts[:, 0, 1], counts[:, 0, 0])
     z = model.margin(x)
-    for kind in range(len(KINDS)):
+    for kind, name in enumerate(KINDS):
+        wanted = PRECISION * (TOLD if name in HINTED else 1.0)
         here = x[:, 0] == kind
         order = np.argsort(-z[here], kind="stable")
         good, bad = counts[here, 1, 1][order], counts[here, 1, 0][order]
         scores = z[here][order]
         seen, right = np.cumsum(good + bad), np.cumsum(good)
         last = np.append(scores[:-1] != scores[1:], True) if len(scores) else np.zeros(0, bool)
-        ok = np.flatnonzero(last & (seen >= LEAST) & (right >= PRECISION * seen))
+        ok = np.flatnonzero(last & (seen >= LEAST) & (right + 1 >= wanted * (seen + 2)))
         if good.sum() + bad.sum() < LEAST:
-            model.thresholds[kind] = PRIOR
+            model.thresholds[kind] = float(np.log(wanted / (1 - wanted)))
         elif len(ok):
             model.thresholds[kind] = float(scores[ok[-1]])
     return model
@@ -306,10 +334,15 @@ def _named(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", model: BoostedTrees | None = None) -> DataFrame:
     """The documents with every selected span replaced by its kind in angle brackets; overlapping spans become one.
 
-    Null texts stay null.  Without a model, one is fitted on all of ``docs`` first.
+    Null texts stay null.  Without a model, one is fitted on all of ``docs`` first, and their candidates are kept in the
+    shared folder meanwhile.
     """
+    text = F.col(f"`{text_col}`")
+    cands, left_out = fresh(docs.columns, "cands"), fresh(docs.columns, "left_out")
+    found = docs.withColumns({cands: F.coalesce(candidates(text), F.array()), left_out: fold_of(text)})
     if model is None:
-        model = train(docs.select(candidates(F.col(f"`{text_col}`")).alias("cands")))
+        found = shared_checkpoint(found)
+        model = train(found, cands, left_out)
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
     def rebuilt(text: Column, spans: Column) -> Column:
@@ -323,16 +356,16 @@ def redact(docs: DataFrame, text_col: str = "text", model: BoostedTrees | None =
         tail = lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
         return F.aggregate(spans, start, step, tail)
 
-    text = F.col(f"`{text_col}`")
-    spans = let(candidates(text), lambda cands: _select(cands, model)[1])
+    spans = let(F.col(cands), lambda c: _select(c, model)[1])
     clean = let(spans, lambda s: F.when(F.size(s) > 0, rebuilt(text, s)).otherwise(text))
-    return docs.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and selected spans of every document."""
     docs = table(spark, sf_dir, "documents")
-    found = shared_checkpoint(docs.select("doc_id", F.coalesce(candidates(F.col("text")), F.array()).alias("cands")))
+    text = F.col("text")
+    found = shared_checkpoint(docs.select("doc_id", F.coalesce(candidates(text), F.array()).alias("cands"), fold_of(text).alias("left_out")))
     model = train(found)
     base, every = _select(F.col("cands"), model)
     spans = found.select("doc_id", base.alias("base"), every.alias("every"))
