@@ -89,3 +89,52 @@ def test_keys_of_any_alphabet_are_new():
             texts = ["Authorization: Bearer " + "".join(rng.choices(letters, k=size)) for _ in range(40)]
             assert sum(bool(s.novel(t, t.lower().encode(), [])) for t in texts) >= 36, (letters, size)
     assert s.novel("token " + "-" * 64, b"token", []) == []
+
+
+def test_keys_in_names_of_any_form():
+    s, rng = S.Scanner(), random.Random(8)
+    key = lambda: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=20))
+    for line in ('SECRET_KEY = "{}"', 'DB_PASSWORD_PROD := "{}"', "token_value <- {}", "private_key_data {}"):
+        texts = [(k, line.format(k)) for k in (key() for _ in range(40))]
+        found = [[t[a:b] for a, b, _ in s.novel(t, t.lower().encode(), [])] == [k] for k, t in texts]
+        assert sum(found) >= 38, line
+    for name in ("getUserNameById2Value", "application/json/default_value", "your_password_here_12", "content-type-header-value"):
+        assert s.novel(f"bearer {name}", b"bearer", []) == [], name
+
+
+WORDS = "harbour lantern meadow copper violet winter orchard pebble thunder canvas marble falcon timber velvet anchor bridge candle desert ember forest garden hollow island jungle kettle ladder mirror needle ocean pillow".split()
+
+
+def test_precision_and_recall_on_planted_keys_and_identifiers(spark, tmp_path):
+    """Words of the corpus make identifiers that the fixed words do not know; keys of five alphabets stand beside them."""
+    rng = random.Random(12)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"] * 3 + ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    texts, secret = [], []
+    for i in range(600):
+        prose = " ".join(rng.choices(WORDS, k=60))
+        if i % 2:
+            own = "".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 44)))
+            secret.append({own})
+        else:
+            words = rng.choices(WORDS, k=rng.randint(3, 5))
+            own = rng.choice(("_".join(words), "".join(w.title() for w in words), "-".join(words)))
+            secret.append(set())
+        texts.append(f"{prose}\nAuthorization: Bearer {own}\n{prose}")
+    spark.createDataFrame(list(enumerate(texts)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = S.op2_secrets(spark, str(tmp_path)).collect()
+    check_query(rows, dict(enumerate(texts)))
+    right = found = 0
+    for r in rows:
+        got = [s.split(":") for s in r.spans.split(",") if s.startswith("novel")]
+        got = {texts[r.doc_id][int(a) : int(b)] for _, a, b in got}
+        right, found = right + len(got & secret[r.doc_id]), found + len(got)
+    assert right >= 0.98 * found and right >= 0.95 * sum(map(len, secret))
+
+
+def test_a_copied_secret_does_not_become_a_known_word(spark):
+    key = "qzvkxwjqpzmt"
+    docs = spark.createDataFrame([(i, f"the secret part {key} of it") for i in range(3000)] + [(i, f"plain words number {i} here") for i in range(200)], DOCS)
+    known = S.vocabulary(docs)
+    assert key not in known.words + known.left_out and "plain" in known.words + known.left_out
+    assert S.NOVELTY_BOUNDS[0] <= known.novelty <= S.NOVELTY_BOUNDS[1]
+    assert S.vocabulary(spark.createDataFrame([], DOCS)).words == ()
