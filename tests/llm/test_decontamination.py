@@ -60,10 +60,33 @@ def test_matches_brute_force(spark, seed):
         assert found_by(got) == brute(docs, items, window)
 
 
-def test_blocks_give_the_same_result(spark):
+@pytest.mark.parametrize("segment", [1, 3, 512])
+def test_blocks_give_the_same_result(spark, monkeypatch, segment):
+    """Several blocks, with null item ids, and columns of documents named like those that a pass could need."""
+    monkeypatch.setattr(D, "SEGMENT", segment)
     docs, items = made(4)
-    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
-    assert found_by(D.annotate(d, b, block_bytes=40)) == brute(docs, items)
+    named = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], f"{DOCS}, contamination_so_far int, found_0 int, c0 int")
+    got = D.annotate(named, spark.createDataFrame(items, ITEMS), window=3, block_nodes=150)
+    assert got.columns == [*named.columns, "contamination"] and found_by(got) == brute(docs, items, 3)
+    assert {(r.contamination_so_far, r.found_0, r.c0) for r in got.collect()} == {(1, 2, 3)}
+
+
+def test_segments_hold_every_window_and_bound_the_nodes(spark, monkeypatch):
+    import ahocorasick
+
+    monkeypatch.setattr(D, "SEGMENT", 7)
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(400))
+    rows = D.segments(spark.createDataFrame([("q", text), ("q", text), ("short", "two words"), ("none", None)], ITEMS), "item_id", "text").collect()
+    long = [r for r in rows if r.item_id == "q"]
+    assert len(rows) == len(long) + 1 and len(long) == -(-391 // 7)
+    assert {w for r in long for w in D.windows_of(r.words.split())} == set(D.windows_of(text.encode().split()))
+    for r in rows:
+        machine = ahocorasick.Automaton()
+        for w in D.windows_of(r.words.split()):
+            machine.add_word((b" " + b" ".join(w) + b" ").decode("latin-1"), 0)
+        machine.make_automaton()
+        assert machine.get_stats()["nodes_count"] <= r.nodes + 1
 
 
 def test_spans_point_into_the_original(spark):

@@ -7,9 +7,11 @@ code-point offsets of the original text.
 
 A *window* is ``window`` consecutive words of an item; an item with fewer words (but at least one) is one window.
 
-The automaton lives in executor memory, so its text is bounded: items are grouped into blocks of at most
-``block_bytes`` of text, each block is one automaton and one pass, and each pass writes what it found before the
-next block starts.  Ordinary benchmarks are one block and one pass, without a shuffle.
+The automaton lives in executor memory, so its nodes are bounded: items are cut into segments of ``SEGMENT`` windows
+(a segment has the words of its windows, so neighbours overlap), the letters of a segment's windows are a bound on its
+nodes, and segments are dealt by hash into blocks of about ``BLOCK_NODES``.  Each block is one automaton and one pass,
+and each pass writes what it found before the next block starts; the driver holds the segments of one block at a time.
+A node takes about 40 bytes.  Ordinary benchmarks are one block and one pass, without a shuffle of documents.
 
 Defined cases: a null or wordless text has 0 words and is never contaminated; a null or wordless item has no
 windows; an item with a null id marks words but is not listed among the items; repeated item ids count once;
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.common import map_text, shared_checkpoint, table
+from tidebook.llm.common import fresh, shared_checkpoint, table
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+#: Windows in a segment of an item, and nodes of a block's automaton.
+SEGMENT = 512
+BLOCK_NODES = 4_000_000
 
 #: ASCII bytes that belong to words: digits and letters; everything from 0x80 up belongs to words, too.
 _FOLD = bytes(
@@ -67,6 +71,8 @@ def _automaton(key: str, items: list[tuple[str | None, bytes]], window: int):
     if key not in _automata:
         import ahocorasick
 
+        _automata.clear()  # a worker keeps the automaton of one block
+
         owners: dict[str, tuple[int, set[str]]] = {}
         for item_id, raw in items:
             for words in windows_of(normalise(raw), window):
@@ -77,7 +83,6 @@ def _automaton(key: str, items: list[tuple[str | None, bytes]], window: int):
             machine.add_word(pattern, (n, frozenset(ids)))
         if owners:
             machine.make_automaton()
-        _automata.clear()  # a worker keeps the automaton of one block
         _automata[key] = machine if owners else None
     return _automata[key]
 
@@ -136,20 +141,51 @@ def _joined(old: dict, new: dict, raw: bytes | None) -> dict:
     }
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str | None, bytes]]]:
-    """Items in blocks of at most ``block_bytes`` (a larger item is a block); one item at a time reaches the driver."""
-    rows = benchmark.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("binary")).where(
-        F.col(f"`{text_col}`").isNotNull()
-    )
-    blocks: list[list[tuple[str | None, bytes]]] = [[]]
-    held = 0
-    for item_id, raw in rows.toLocalIterator():
-        if blocks[-1] and held + len(raw) > block_bytes:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((item_id, bytes(raw)))
-        held += len(raw)
-    return blocks
+def segments(benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
+    """Rows (item_id, words, nodes): pieces of items of at most ``SEGMENT`` windows, and a bound on their nodes."""
+    shape = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("words", T.BinaryType()), T.StructField("nodes", T.LongType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for item, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = normalise(raw) if raw else []
+                for i in range(0, max(1, len(words) - window + 1) if words else 0, SEGMENT):
+                    part = words[i : i + SEGMENT + window - 1]
+                    nodes = sum(sum(map(len, w)) + len(w) + 1 for w in windows_of(part, window))
+                    for column, v in zip(out, (item, b" ".join(part), nodes), strict=True):
+                        column.append(v)
+            columns = [pa.array(c, t) for c, t in zip(out, (pa.string(), pa.binary(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=shape.names)
+
+    items = benchmark.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("binary"))
+    return items.mapInArrow(run, shape).distinct()
+
+
+def _pass(rows: DataFrame, names: list[str], text_col: str, old: str | None, out: str, shared, window: int) -> DataFrame:
+    """Columns ``names`` and ``out``: the findings of one block, joined to those of the blocks before in ``old``.
+
+    Columns travel under positional names, so that none can clash.
+    """
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    before = F.col(f"`{old}`") if old else F.lit(None).cast(RESULT)
+    source = rows.select(*kept, F.col(f"`{text_col}`").cast("binary").alias("t"), before.alias("o"))
+    shape = T.StructType([*source.schema.fields[: len(names)], T.StructField("r", RESULT)])
+    key = uuid.uuid4().hex
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        machine, kind = _automaton(key, shared.value, window), to_arrow_type(RESULT)
+        for batch in batches:
+            texts, olds = (batch.column(len(names) + k).to_pylist() for k in (0, 1))
+            found = [_scan(machine, raw) if o is None else _joined(o, _scan(machine, raw), raw) for o, raw in zip(olds, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, type=kind)], names=shape.names)
+
+    return source.mapInArrow(run, shape).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("r").alias(out))
 
 
 def annotate(
@@ -159,58 +195,27 @@ def annotate(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
+    block_nodes: int = BLOCK_NODES,
     out: str = "contamination",
     carry: list[str] | None = None,
 ) -> DataFrame:
     """Documents with a struct column: n_words, n_hit, items, merged word ranges and their spans in the original."""
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark, item_id_col, item_text_col, block_bytes)
     names = list(docs.columns if carry is None else carry)
-    several = len(blocks) > 1
-    found = None
-    for k, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(block)
-        key = uuid.uuid4().hex
-
-        def make(shared=shared, key=key):
-            machine = _automaton(key, shared.value, window)
-            return lambda texts: [_scan(machine, raw) for raw in texts]
-
-        if not several:
-            return map_text(docs, text_col, make, RESULT, out, carry=names, binary=True)
-        kept = [*docs.columns, *([f"{out}_so_far"] if k else [])]
-        found = shared_checkpoint(
-            map_text(docs if k == 0 else found, text_col, make, RESULT, out, carry=kept, binary=True)
-        )
-        if k:
-            found = _add_up(found, docs.columns, text_col, out)
-        if k + 1 < len(blocks):
-            found = found.withColumnRenamed(out, f"{out}_so_far")
-    return found.select(*names, out)
-
-
-def _add_up(found: DataFrame, names: list[str], text_col: str, out: str) -> DataFrame:
-    """Join the findings of this block to those of the blocks before, row by row."""
-    schema = T.StructType([*found.select(*names).schema.fields, T.StructField(out, RESULT)])
-    old_name = f"{out}_so_far"
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        kind = to_arrow_schema(schema)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            olds = batch.column(batch.schema.get_field_index(old_name)).to_pylist()
-            news = batch.column(batch.schema.get_field_index(out)).to_pylist()
-            both = [
-                _joined(o, n, t.encode() if isinstance(t, str) else t) for o, n, t in zip(olds, news, texts, strict=True)
-            ]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(both, type=kind.field(out).type)], names=[*names, out])
-
-    return found.mapInArrow(run, schema)
+    if out in names:
+        raise ValueError(f"column {out!r} exists already; choose another name for the result")
+    parts = shared_checkpoint(segments(benchmark, item_id_col, item_text_col, window))
+    blocks = max(1, -(-(parts.agg(F.sum("nodes")).first()[0] or 0) // block_nodes))
+    found, old = docs, None
+    for k in range(blocks):
+        rows = parts.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k).collect()  # one block
+        shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], bytes(r["words"])) for r in rows])
+        last = k == blocks - 1
+        kept = names if last else [*docs.columns]
+        now = out if last else fresh(docs.columns, f"found_{k % 2}")
+        found = _pass(found, kept, text_col, old, now, shared, window)
+        if not last:
+            found, old = shared_checkpoint(found), now
+    return found
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
