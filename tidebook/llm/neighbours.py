@@ -14,10 +14,15 @@ it is not larger than a block; a query visits all bands.
 Projections, their widths and *R* are fitted on a bounded sample (``SAMPLE`` vectors); every vector is indexed.  The
 number of projections follows the number of vectors, so that buckets hold about ``BUCKET_ROWS``, but is never so large
 that ``PROBES`` buckets miss the mass.  A query that misses it nevertheless, or finds fewer than ``k`` candidates, is
-compared with all vectors.  Buckets beyond ``BLOCK`` vectors are split into blocks that a query visits one by one, so
-a bucket that a third of all vectors share is spread over tasks, and no candidate is left out.  The queries of a bucket are split into slices of about ``SLICE``
-in the same way.  Of equal vectors only the ``k`` + 1 smallest ids can be among the
-nearest ``k``; the others leave the index without changing any result.
+compared with all vectors.
+
+Buckets that share their leading projections lie together in a *place* of about ``BLOCK`` vectors.  A query's buckets
+are neighbours, so they lie in few places, and its vector goes to each of these once, with the list of the buckets to
+visit there.  Places beyond ``BLOCK`` vectors are split into blocks that each of their queries visits, and the queries of
+a place into slices of about ``SLICE``, so a bucket that a third of all vectors share is spread over tasks, and no
+candidate is left out.  Each group returns at most ``k`` candidates of a query; these are cut to the nearest by a window
+that Spark limits before its shuffle as well.  Of equal vectors only the ``k`` + 1 smallest ids can be among the nearest
+``k``; the others leave the index without changing any result.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids or
 vectors of another length than most; a repeated id counts once, with the largest of its vectors; with fewer than
@@ -41,9 +46,11 @@ TABLES = 3
 MASS = 0.62
 SAMPLE = 4000
 BUCKET_ROWS = 600
-BLOCK = 8192
+BLOCK = 4096
 #: Queries that are compared with a block at once; more of them are split into slices that each meet the block.
 SLICE = 4096
+#: Candidates that a group gathers before it cuts them to the nearest of each query.
+HELD = 500_000
 #: Buckets that a query may visit in a table; with more to visit it is compared with all vectors.
 PROBES = 4096
 #: Norms up to so many times their 99th percentile share one index.
@@ -53,13 +60,15 @@ SEED = 11
 
 @dataclass
 class Index:
-    """Projections of each table, their offsets, the width of a bucket, and the distance of a neighbour."""
+    """Projections of each table, their offsets, the width of a bucket, the distance of a neighbour, and how many leading
+    projections make a place."""
 
     projections: np.ndarray  # tables x hashes x (dimensions + 1)
     offsets: np.ndarray  # tables x hashes
     width: float
     radius: float
     norm: float
+    lead: int = 0
 
     def _projected(self, v: np.ndarray, extra: np.ndarray) -> np.ndarray:
         full = np.concatenate((v, extra[:, None]), axis=1)
@@ -73,10 +82,11 @@ class Index:
             key = key * np.int64(1_000_003) + cells[..., j]
         return key
 
-    def buckets(self, v: np.ndarray) -> np.ndarray:
-        """Bucket of each vector in each table."""
+    def homes(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and bucket of each vector in each table."""
         extra = np.sqrt(np.maximum(self.norm**2 - (v**2).sum(1), 0))
-        return self._keys(np.floor(self._projected(v, extra) / self.width).astype(np.int64))
+        cells = np.floor(self._projected(v, extra) / self.width).astype(np.int64)
+        return self._keys(cells[..., : self.lead]), self._keys(cells)
 
     def probes(self, q: np.ndarray, mass: float) -> list[list[np.ndarray]]:
         """For each query and table, the buckets to visit."""
@@ -84,6 +94,10 @@ class Index:
 
     def visits(self, q: np.ndarray, mass: float) -> list[list[tuple[np.ndarray, bool]]]:
         """For each query and table, the buckets to visit, and whether they hold the mass."""
+        return [[(buckets, reached) for _, buckets, reached in found] for found in self.placed_visits(q, mass)]
+
+    def placed_visits(self, q: np.ndarray, mass: float) -> list[list[tuple[np.ndarray, np.ndarray, bool]]]:
+        """For each query and table, the buckets to visit with their places, and whether they hold the mass."""
         scaled = q * (self.norm / np.linalg.norm(q, axis=1, keepdims=True))  # a query's length does not change its order
         at = self._projected(scaled, np.zeros(len(q))) / self.width
         spread = self.radius / self.width
@@ -93,7 +107,7 @@ class Index:
         chance = _normal((low + 1 - at[..., None]) / spread) - _normal((low - at[..., None]) / spread)
         return [[self._ordered(low[i, t], chance[i, t], mass) for t in range(at.shape[1])] for i in range(len(q))]
 
-    def _ordered(self, cells: np.ndarray, chance: np.ndarray, mass: float) -> tuple[np.ndarray, bool]:
+    def _ordered(self, cells: np.ndarray, chance: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray, bool]:
         """Buckets by falling product of chances: the best prefixes are all that the best buckets can begin with."""
         best, chosen = np.ones(1), np.zeros((1, 0), dtype=np.int64)
         for j in range(len(cells)):
@@ -102,7 +116,8 @@ class Index:
             best = product[keep]
             chosen = np.concatenate((chosen[keep // len(cells[j])], cells[j][keep % len(cells[j])].astype(np.int64)[:, None]), axis=1)
         enough = int(np.searchsorted(np.cumsum(best), mass)) + 1
-        return np.unique(self._keys(chosen[:enough])), enough <= len(best)
+        buckets, first = np.unique(self._keys(chosen[:enough]), return_index=True)
+        return self._keys(chosen[first, : self.lead]), buckets, enough <= len(best)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -132,7 +147,8 @@ def fit(sample: np.ndarray, n: int, norm: float, nearest: int = NEAREST, tables:
     hashes = int(min(max(2, round(math.log(max(1.0, n / BUCKET_ROWS)) / math.log(cells))), 24))
     while True:
         projections = rng.normal(size=(tables, hashes, full.shape[1]))
-        index = Index(projections, rng.uniform(0, width, (tables, hashes)), width, radius, norm)
+        lead = int(hashes * math.log(max(1.0, n / BLOCK)) / math.log(max(2.0, n / BUCKET_ROWS)))
+        index = Index(projections, rng.uniform(0, width, (tables, hashes)), width, radius, norm, lead)
         if hashes == 1 or all(reached for found in index.visits(asked[:8], mass) for _, reached in found):
             return index
         hashes -= 1
@@ -167,6 +183,37 @@ def best_of_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
+def _nearest(row: np.ndarray, ids: np.ndarray, score: np.ndarray, nearest: int) -> tuple[np.ndarray, ...]:
+    """The nearest of each query position, each candidate once."""
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    again = np.zeros(len(row), dtype=bool)
+    again[1:] = (row[1:] == row[:-1]) & (ids[1:] == ids[:-1])
+    row, ids, score = row[~again], ids[~again], score[~again]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < nearest
+    return row[keep], ids[keep], score[keep]
+
+
+def best_of_place(ids: np.ndarray, buckets: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, nearest: int) -> tuple[np.ndarray, ...]:
+    """The same for a place: query *i* meets the vectors of the buckets ``wanted[bounds[i] : bounds[i + 1]]``."""
+    order = np.argsort(buckets, kind="stable")
+    ids, buckets, vectors = ids[order], buckets[order], vectors[order]
+    asking = np.repeat(np.arange(len(query_ids)), np.diff(bounds))
+    order = np.argsort(wanted, kind="stable")
+    asking, wanted = asking[order], wanted[order]
+    found, held = [], 0
+    for key in np.intersect1d(buckets, wanted):
+        a, b = np.searchsorted(buckets, (key, key + 1))
+        q = asking[slice(*np.searchsorted(wanted, (key, key + 1)))]
+        row, near, score = best_of_block(ids[a:b], vectors[a:b], query_ids[q], queries[q], nearest)
+        found.append((q[row], near, score))
+        held += len(row)
+        if held > HELD:
+            found = [_nearest(*(np.concatenate(c) for c in zip(*found, strict=True)), nearest)]
+            held = len(found[0][0])
+    return _nearest(*(np.concatenate(c) for c in zip(*found, strict=True)), nearest) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def search(
     vectors: DataFrame,
     is_query,
@@ -215,65 +262,82 @@ def search(
     index = spark.sparkContext.broadcast(bands)  # the first table of each band, and its index unless it is scanned
 
     alike = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
-    kept = one.withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= nearest + 1).drop("copy")
+    kept = one.withColumn("copy", F.row_number().over(alike)).where(F.col("copy") <= nearest + 1)
+    kept = shared_checkpoint(kept.select("vec_id", "v", "band"))
     kind = one.schema["v"].dataType
-    head = [T.StructField("t", T.IntegerType()), T.StructField("bucket", T.LongType())]
+    head = [T.StructField("t", T.IntegerType()), T.StructField("place", T.LongType())]
+    long = T.LongType()
 
-    def placed(batch, t, keys, at):
+    def table_of(t: int, batch, at: np.ndarray, places: np.ndarray, buckets, names: list[str]):
+        """Rows of a batch in one table: table, place, id, vector and bucket or buckets."""
         import pyarrow as pa
 
-        for a in range(0, len(at), 8192):
-            part = batch.take(pa.array(at[a : a + 8192]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), t, np.int32)), pa.array(keys[a : a + 8192]), part.column(0), part.column(1)],
-                names=["t", "bucket", "vec_id", "v"],
-            )
+        part = batch.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(places), part.column(0), part.column(1), buckets], names=names)
+
+    stored_shape = T.StructType([*head, T.StructField("vec_id", long), T.StructField("v", kind), T.StructField("bucket", long)])
+    asking_shape = T.StructType([*head, T.StructField("vec_id", long), T.StructField("v", kind), T.StructField("buckets", T.ArrayType(long))])
 
     def hashed(batches):
+        import pyarrow as pa
+
         for batch in batches:
             own = batch.column(2).to_numpy()
             for band in np.unique(own):
                 first, within = index.value[int(band)]
                 at = np.flatnonzero(own == band)
                 if within is None:
-                    yield from placed(batch, first, np.zeros(len(at), np.int64), at)
+                    none = np.zeros(len(at), np.int64)
+                    yield table_of(first, batch, at, none, pa.array(none), stored_shape.names)
                     continue
-                keys = within.buckets(_matrix(batch.column(1))[at])
+                places, keys = within.homes(_matrix(batch.column(1))[at])
                 for t in range(tables):
-                    yield from placed(batch, first + t, keys[:, t], at)
+                    yield table_of(first + t, batch, at, places[:, t], pa.array(keys[:, t]), stored_shape.names)
 
     def probed(batches):
+        import pyarrow as pa
+
+        def lists(of: list[np.ndarray]):
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in of]))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(of) if of else np.zeros(0, np.int64)))
+
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 q = _matrix(part.column(1))
-                visits = {first: within.visits(q, mass) for first, within in index.value.values() if within is not None}
-                reached = np.array([all(ok for v in visits.values() for _, ok in v[i]) for i in range(len(q))], dtype=bool)
+                visits = {first: within.placed_visits(q, mass) for first, within in index.value.values() if within is not None}
+                reached = np.array([all(ok for v in visits.values() for _, _, ok in v[i]) for i in range(len(q))], dtype=bool)
                 sure = np.flatnonzero(reached)
                 for first, within in index.value.values():
                     if within is None:
-                        yield from placed(part, first, np.zeros(len(sure), np.int64), sure)
+                        none = np.zeros(len(sure), np.int64)
+                        yield table_of(first, part, sure, none, lists([none[:1]] * len(sure)), asking_shape.names)
                         continue
                     for t in range(tables):
-                        keys = [visits[first][i][t][0] for i in sure]
-                        if keys:
-                            yield from placed(part, first + t, np.concatenate(keys), np.repeat(sure, [len(x) for x in keys]))
+                        rows, places, buckets = [], [], []
+                        for i in sure:
+                            place, keys, _ = visits[first][i][t]
+                            order = np.argsort(place, kind="stable")
+                            each, starts = np.unique(place[order], return_index=True)
+                            rows += [i] * len(each)
+                            places.append(each)
+                            buckets += np.split(keys[order], starts[1:])
+                        if rows:
+                            yield table_of(first + t, part, np.array(rows), np.concatenate(places), lists(buckets), asking_shape.names)
 
-    shape = T.StructType([*head, T.StructField("vec_id", T.LongType()), T.StructField("v", kind)])
-    entries = shared_checkpoint(kept.select("vec_id", "v", "band").mapInArrow(hashed, shape))
     queries = one.where(is_query).select("vec_id", "v")
-    visits = queries.mapInArrow(probed, shape)
-    blocks = entries.groupBy("t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # counted in a pass of its own: kept visits would hold every query's vector once for each of its buckets
-    slices = visits.groupBy("t", "bucket").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    places = shared_checkpoint(blocks.join(slices, ["t", "bucket"]))
+    stored = kept.mapInArrow(hashed, stored_shape)  # hashed twice, to be counted and to be dealt: cheaper than kept
+    asking = shared_checkpoint(queries.mapInArrow(probed, asking_shape))
+    blocks = stored.groupBy("t", "place").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    slices = asking.groupBy("t", "place").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    places = shared_checkpoint(blocks.join(slices, ["t", "place"]))
     dealt = (
-        entries.join(places, ["t", "bucket"])
+        stored.join(places, ["t", "place"])
         .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
         .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     )
     asked = (
-        visits.join(places, ["t", "bucket"])
+        asking.join(places, ["t", "place"])
         .withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
@@ -281,47 +345,43 @@ def search(
     def ranked(left, right):
         import pyarrow as pa
 
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
-        query_ids = right.column("vec_id").to_numpy()
-        row, ids, scores = best_of_block(
-            left.column("vec_id").to_numpy(), _matrix(left.column("v")), query_ids, _matrix(right.column("v")), nearest
-        )
-        bounds = pa.array(np.searchsorted(row, np.arange(len(query_ids) + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(c)) for c in (ids.astype(np.int64), scores.astype(np.float64))]
-        return pa.table([pa.array(query_ids), *lists], names=["query_id", "ids", "scores"])
-
-    def nearest_of(stored: DataFrame, asking: DataFrame, places: tuple, times: int) -> DataFrame:
-        """query_id and p, the sorted nearest of all groups of ``places``; a pair meets in ``times`` groups at most."""
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            lists = right.column("buckets").combine_chunks()
+            row, ids, scores = best_of_place(
+                left.column("vec_id").to_numpy(), left.column("bucket").to_numpy(), _matrix(left.column("v")),
+                right.column("vec_id").to_numpy(), _matrix(right.column("v")), lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), nearest,
+            )
+            found = [right.column("vec_id").to_numpy()[row], ids, scores]
+        return pa.table([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+
+    def nearest_of(stored: DataFrame, asking: DataFrame, places: tuple) -> DataFrame:
+        """query_id, vec_id, score and rank of the nearest of all groups of ``places``."""
         tops = (
-            stored.select(*places, "vec_id", "v")
+            stored.select(*places, "vec_id", "v", "bucket")
             .groupBy(*places)
-            .cogroup(asking.select(*places, "vec_id", "v").groupBy(*places))
-            .applyInArrow(ranked, "query_id long, ids array<long>, scores array<double>")
-        )
-        pairs = F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))
-        return (
-            tops.select("query_id", pairs.alias("p"))
-            .groupBy("query_id")
-            .agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
-            # a pair has one score wherever it is found: the first nearest * times hold the nearest
-            .select("query_id", F.slice(F.array_distinct(F.slice("p", 1, nearest * times)), 1, nearest).alias("p"))
+            .cogroup(asking.select(*places, "vec_id", "v", "buckets").groupBy(*places))
+            .applyInArrow(ranked, "query_id long, vec_id long, score double")
         )
+        by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        # a pair has one score wherever it is found, in one place of each table at most
+        few = tops.withColumn("at", F.row_number().over(by_score)).where(F.col("at") <= nearest * tables).drop("at").distinct()
+        return few.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= nearest)
 
-    found = shared_checkpoint(nearest_of(dealt, asked, ("t", "bucket", "block", "slice"), tables))
-    enough = found.where(F.size("p") >= nearest)
+    found = shared_checkpoint(nearest_of(dealt, asked, ("t", "place", "block", "slice")))
+    enough = found.where(F.col("rank") == nearest).select("query_id")
     apart = queries.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"))  # other attributes than the stored side's
     missed = shared_checkpoint(apart.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti"))
     left = missed.count()
     if left:
         n_blocks, n_slices = -(-n // BLOCK), -(-left // SLICE)
         block, part = (F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int") for k in (n_blocks, n_slices))
-        stored = kept.withColumn("block", block).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
-        asking = missed.withColumn("slice", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        enough = enough.unionByName(nearest_of(stored, asking, ("block", "slice"), 1))
-    return enough.select("query_id", F.posexplode("p").alias("at", "x")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score")
-    )
+        bucket, buckets = F.lit(0).cast("long").alias("bucket"), F.array(F.lit(0).cast("long")).alias("buckets")
+        whole = kept.select("*", bucket, block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice"))
+        these = missed.select("*", buckets, part.alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+        scanned = nearest_of(whole, these, ("block", "slice"))
+        found = found.join(enough, "query_id", "left_semi").unionByName(scanned)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
