@@ -20,8 +20,8 @@ Buckets that share their leading projections lie together in a *place* of about
 are neighbours, so they lie in few places, and its vector goes to each of these once, with the list of the buckets to
 visit there.  Places beyond ``BLOCK`` vectors are split into blocks that each of their queries visits, and the queries of
 a place into slices of about ``SLICE``, so a bucket that a third of all vectors share is spread over tasks, and no
-candidate is left out.  Each group returns at most ``k`` candidates of a query; these are cut to the nearest by a window
-that Spark limits before its shuffle as well.  Of equal vectors only the ``k`` + 1 smallest ids can be among the nearest
+candidate is left out.  Each group returns a list of at most ``k`` candidates of a query; lists are merged to the nearest
+in two steps, the first in ``PARTS`` parts of a query.  Of equal vectors only the ``k`` + 1 smallest ids can be among the nearest
 ``k``; the others leave the index without changing any result.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids or
@@ -51,6 +51,8 @@ BLOCK = 4096
 SLICE = 4096
 #: Candidates that a group gathers before it cuts them to the nearest of each query.
 HELD = 500_000
+#: Parts in which the lists of a query are merged before they meet.
+PARTS = 16
 #: Buckets that a query may visit in a table; with more to visit it is compared with all vectors.
 PROBES = 4096
 #: Norms up to so many times their 99th percentile share one index.
@@ -161,8 +163,11 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def best_of_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, nearest: int) -> tuple[np.ndarray, ...]:
-    """Query position, candidate id and exact score of the nearest candidates in a block, ties to smaller ids."""
+def best_of_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, nearest: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Query position, candidate id and exact score of the nearest candidates in a block, ties to smaller ids.
+
+    Candidates that score below a query's ``floor`` may be left out.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     for a in range(0, len(query_ids), 256):
         q, own = queries[a : a + 256], query_ids[a : a + 256]
@@ -172,6 +177,8 @@ def best_of_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
             least = np.partition(rough, len(ids) - nearest, axis=1)[:, len(ids) - nearest]
         else:
             least = np.full(len(own), -np.inf)
+        if floor is not None:
+            least = np.maximum(least, floor[a : a + 256])
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
         row, at = np.nonzero((rough >= (least - slack)[:, None]) & np.isfinite(rough))
         score = (q[row] * vectors[at]).sum(axis=1)  # the same sum for a pair wherever it is taken
@@ -202,16 +209,23 @@ def best_of_place(ids: np.ndarray, buckets: np.ndarray, vectors: np.ndarray, que
     order = np.argsort(wanted, kind="stable")
     asking, wanted = asking[order], wanted[order]
     found, held = [], 0
+    floor = np.full(len(query_ids), -np.inf)  # a score that as many candidates as are wanted have reached in one bucket
     for key in np.intersect1d(buckets, wanted):
         a, b = np.searchsorted(buckets, (key, key + 1))
         q = asking[slice(*np.searchsorted(wanted, (key, key + 1)))]
-        row, near, score = best_of_block(ids[a:b], vectors[a:b], query_ids[q], queries[q], nearest)
+        row, near, score = best_of_block(ids[a:b], vectors[a:b], query_ids[q], queries[q], nearest, floor[q])
         found.append((q[row], near, score))
         held += len(row)
+        full = np.flatnonzero(np.bincount(row, minlength=len(q)) >= nearest)
+        floor[q[full]] = np.maximum(floor[q[full]], score[np.searchsorted(row, full, side="right") - 1])
         if held > HELD:
             found = [_nearest(*(np.concatenate(c) for c in zip(*found, strict=True)), nearest)]
             held = len(found[0][0])
-    return _nearest(*(np.concatenate(c) for c in zip(*found, strict=True)), nearest) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    row, near, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    good = score >= floor[row] - 1e-9 * (1 + np.abs(score))
+    return _nearest(row[good], near[good], score[good], nearest)
 
 
 def search(
@@ -345,31 +359,37 @@ def search(
     def ranked(left, right):
         import pyarrow as pa
 
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if left.num_rows and right.num_rows:
-            lists = right.column("buckets").combine_chunks()
-            row, ids, scores = best_of_place(
-                left.column("vec_id").to_numpy(), left.column("bucket").to_numpy(), _matrix(left.column("v")),
-                right.column("vec_id").to_numpy(), _matrix(right.column("v")), lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), nearest,
-            )
-            found = [right.column("vec_id").to_numpy()[row], ids, scores]
-        return pa.table([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+        names = ["query_id", "ids", "scores"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float64()))], names=names)
+        query_ids, lists = right.column("vec_id").to_numpy(), right.column("buckets").combine_chunks()
+        row, ids, scores = best_of_place(
+            left.column("vec_id").to_numpy(), left.column("bucket").to_numpy(), _matrix(left.column("v")),
+            query_ids, _matrix(right.column("v")), lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), nearest,
+        )
+        bounds = pa.array(np.searchsorted(row, np.arange(len(query_ids) + 1)).astype(np.int32))
+        columns = [pa.ListArray.from_arrays(bounds, pa.array(c)) for c in (ids.astype(np.int64), scores.astype(np.float64))]
+        return pa.table([pa.array(query_ids), *columns], names=names)
+
+    def merged(lists: DataFrame, *keys: str) -> DataFrame:
+        # a pair has one score wherever it is found, in one place of each table at most
+        best = F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, nearest * tables)
+        return lists.groupBy(*keys).agg(best.alias("p")).select(*keys, F.slice(F.array_distinct("p"), 1, nearest).alias("p"))
 
     def nearest_of(stored: DataFrame, asking: DataFrame, places: tuple) -> DataFrame:
-        """query_id, vec_id, score and rank of the nearest of all groups of ``places``."""
+        """query_id and p, the nearest of all groups of ``places`` in order; lists are merged in two steps, so none is long."""
         tops = (
             stored.select(*places, "vec_id", "v", "bucket")
             .groupBy(*places)
             .cogroup(asking.select(*places, "vec_id", "v", "buckets").groupBy(*places))
-            .applyInArrow(ranked, "query_id long, vec_id long, score double")
+            .applyInArrow(ranked, "query_id long, ids array<long>, scores array<double>")
         )
-        by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        # a pair has one score wherever it is found, in one place of each table at most
-        few = tops.withColumn("at", F.row_number().over(by_score)).where(F.col("at") <= nearest * tables).drop("at").distinct()
-        return few.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= nearest)
+        pairs = F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))
+        part = F.pmod(F.hash(F.element_at("ids", 1)), F.lit(PARTS))
+        return merged(merged(tops.where(F.size("ids") > 0).select("query_id", pairs.alias("p"), part.alias("part")), "query_id", "part"), "query_id")
 
     found = shared_checkpoint(nearest_of(dealt, asked, ("t", "place", "block", "slice")))
-    enough = found.where(F.col("rank") == nearest).select("query_id")
+    enough = found.where(F.size("p") >= nearest)
     apart = queries.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"))  # other attributes than the stored side's
     missed = shared_checkpoint(apart.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti"))
     left = missed.count()
@@ -380,8 +400,10 @@ def search(
         whole = kept.select("*", bucket, block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice"))
         these = missed.select("*", buckets, part.alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
         scanned = nearest_of(whole, these, ("block", "slice"))
-        found = found.join(enough, "query_id", "left_semi").unionByName(scanned)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        enough = enough.unionByName(scanned)
+    return enough.select("query_id", F.posexplode("p").alias("at", "x")).select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score")
+    )
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
