@@ -1,53 +1,73 @@
 """Recurrent indicators: exponential and Wilder averages, and what is built on them.
 
-A value depends on the one before, so a series is walked in order, one group per symbol; everything that is not
-recurrent (differences, ranges, ratios) stays in window expressions before and after the walk.
+A value depends on the one before through an affine step, now = a * before + b * x.  Steps compose, so a series is
+taken in blocks: one product with a triangular table of powers of a gives every block's values as if it began at zero,
+and only the blocks' ends are carried on one by one.  All recurrent columns of a query are found in one pass over a
+symbol's rows; what is not recurrent (differences, ranges, ratios) stays in window expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebook.functions import windows as W
 
-#: Output column, recurrence ("ema" or "wilder"), input column, length.
-Spec = tuple[str, str, str, int]
-
-
-def _walk(values: list, n: int, kind: str) -> list:
-    """Null until n values in a row are there; then seeded by their mean.  A hole ends it."""
-    out: list = [None] * len(values)
-    held: list[float] = []
-    now = None
-    for i, x in enumerate(values):
-        if now is not None:
-            if x is None:
-                break
-            now = now + 2.0 / (n + 1) * (x - now) if kind == "ema" else (now * (n - 1) + x) / n
-        elif x is None:
-            held = []
-        else:
-            held.append(x)
-            if len(held) == n:
-                now = sum(held) / n
-        out[i] = now
+#: Output column, recurrence ("ema" or "wilder"), input column or a function of all columns so far, length.
+Spec = tuple[str, str, "str | Callable[[dict[str, np.ndarray]], np.ndarray]", int]
+BLOCK = 64
+
+
+def affine(first: float, x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """The values after ``first`` of now = a * before + b * x."""
+    blocks = -(-len(x) // BLOCK)
+    padded = np.zeros(blocks * BLOCK)
+    padded[: len(x)] = b * x
+    at = np.arange(BLOCK)
+    powers = np.where(at[:, None] >= at, float(a) ** np.maximum(at[:, None] - at, 0), 0.0)
+    own = padded.reshape(blocks, BLOCK) @ powers.T
+    before = np.empty(blocks)
+    for k in range(blocks):
+        before[k] = first
+        first = own[k, -1] + a**BLOCK * first
+    return (own + np.outer(before, float(a) ** (at + 1))).ravel()[: len(x)]
+
+
+def average(values: np.ndarray, n: int, kind: str) -> np.ndarray:
+    """Undefined until n values in a row are there; then seeded by their mean.  A hole ends it."""
+    out = np.full(len(values), np.nan)
+    there = ~np.isnan(values)
+    in_row = np.convolve(there, np.ones(n, dtype=int))[: len(values)] if len(values) else np.zeros(0)
+    full = np.flatnonzero(in_row == n)
+    if not len(full):
+        return out
+    start = int(full[0])
+    holes = np.flatnonzero(~there[start:])
+    end = start + int(holes[0]) if len(holes) else len(values)
+    out[start] = values[start - n + 1 : start + 1].mean()
+    a, b = (1 - 2.0 / (n + 1), 2.0 / (n + 1)) if kind == "ema" else ((n - 1) / n, 1.0 / n)
+    # as a + b = 1, distances from the seed follow the same steps, and a flat series stays exactly flat
+    out[start + 1 : end] = out[start] + affine(0.0, values[start + 1 : end] - out[start], a, b)
     return out
 
 
 def recur(df: DataFrame, specs: Sequence[Spec], by: str = "symbol", time: str = "d") -> DataFrame:
-    """Append recurrent columns, each series in the order of its time."""
+    """Append recurrent columns, each series in the order of its time; undefined values are null."""
     fields = [*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name, *_ in specs]]
+    wanted = {source for _, _, source, _ in specs if isinstance(source, str)} & set(df.columns)
 
     def run(group):
         import pyarrow as pa
 
         group = group.sort_by(time)
+        known = {c: group.column(c).to_numpy().astype(np.float64) for c in wanted}
         for name, kind, source, n in specs:
-            group = group.append_column(name, pa.array(_walk(group.column(source).to_pylist(), n, kind), pa.float64()))
+            known[name] = average(known[source] if isinstance(source, str) else source(known), n, kind)
+            group = group.append_column(name, pa.array(known[name], pa.float64(), from_pandas=True))
         return group
 
     return df.groupBy(by).applyInArrow(run, T.StructType(fields))
@@ -60,9 +80,9 @@ def ema(df: DataFrame, x: str, n: int, out: str = "ema", **keys) -> DataFrame:
 
 def macd(df: DataFrame, x: str = "c", fast: int = 12, slow: int = 26, signal: int = 9, **keys) -> DataFrame:
     """Columns macd, macd_signal, macd_hist."""
-    both = recur(df, [("fast_", "ema", x, fast), ("slow_", "ema", x, slow)], **keys)
-    line = both.withColumn("macd", F.col("fast_") - F.col("slow_")).drop("fast_", "slow_")
-    found = recur(line, [("macd_signal", "ema", "macd", signal)], **keys)
+    line = ("macd_signal", "ema", lambda known: known["fast_"] - known["slow_"], signal)
+    found = recur(df, [("fast_", "ema", x, fast), ("slow_", "ema", x, slow), line], **keys)
+    found = found.withColumn("macd", F.col("fast_") - F.col("slow_")).select(*df.columns, "macd", "macd_signal")
     return found.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
@@ -92,10 +112,16 @@ def adx(df: DataFrame, n: int = 14, by: str = "symbol", time: str = "d") -> Data
         .withColumn("pm_", F.when(up.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(0.0)))
         .withColumn("mm_", F.when(up.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(0.0)))
     )
-    smooth = recur(moved, [(f"s{c}", "wilder", c, n) for c in ("tr_", "pm_", "mm_")], by=by, time=time)
-    plus, minus = (F.when(F.col("str_") > 0, 100 * F.try_divide(F.col(c), F.col("str_"))).otherwise(F.when(F.col("str_") == 0, 0.0)) for c in ("spm_", "smm_"))
-    directed = smooth.withColumn("plus_di", plus).withColumn("minus_di", minus)
-    total = F.col("plus_di") + F.col("minus_di")
-    dx = F.when(total > 0, 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / total).otherwise(F.when(total == 0, 0.0))
-    found = recur(directed.withColumn("dx_", dx), [("adx", "wilder", "dx_", n)], by=by, time=time)
-    return found.drop("tr_", "pm_", "mm_", "str_", "spm_", "smm_", "dx_")
+
+    def directed(known: dict[str, np.ndarray]) -> np.ndarray:
+        """100 * |plus - minus| / (plus + minus), where the range, and then the sum, is positive; else 0."""
+        span = known["str_"]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plus, minus = (np.where(span > 0, 100 * known[c] / span, np.where(span == 0, 0.0, np.nan)) for c in ("spm_", "smm_"))
+            total = plus + minus
+            return np.where(total > 0, 100 * np.abs(plus - minus) / total, np.where(total == 0, 0.0, np.nan))
+
+    found = recur(moved, [*[(f"s{c}", "wilder", c, n) for c in ("tr_", "pm_", "mm_")], ("adx", "wilder", directed, n)], by=by, time=time)
+    span = F.col("str_")
+    plus, minus = (F.when(span > 0, 100 * F.try_divide(F.col(c), span)).otherwise(F.when(span == 0, 0.0)) for c in ("spm_", "smm_"))
+    return found.select(*df.columns, plus.alias("plus_di"), minus.alias("minus_di"), "adx")

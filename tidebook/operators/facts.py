@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.operators.asof import asof
+from tidebook.operators.screens import known_on
 
 STALE_DAYS = 455
 #: Periods up to these lengths in days are quarters, and interim ones; longer ones are annual.
@@ -71,11 +72,8 @@ def screen(facts: DataFrame, members: DataFrame, on: str, low: float, high: floa
 
     Unknown is not failed: a member without the figures has status unknown and ranks last.
     """
-    date = F.lit(on).cast("date")
-    asked = members.withColumn("on", date)
-    r = value_on(asked, facts, "on", "revenue", stale_days).withColumnRenamed("value", "revenue").drop("period_end", "filed_at_matched")
-    q = value_on(r, facts, "on", "quantity", stale_days).withColumnRenamed("value", "quantity").drop("period_end", "filed_at_matched")
-    measured = q.withColumn("metric", F.round(ratio(F.col("revenue"), F.col("quantity")), 6))
+    measured = members.join(known_on(facts, on, ("revenue", "quantity"), stale_days), "sid", "left")
+    measured = measured.withColumn("metric", F.round(ratio(F.col("revenue"), F.col("quantity")), 6))
     status = F.when(F.col("metric").isNull(), "unknown").when(F.col("metric").between(low, high), "passed").otherwise("failed")
     order = Window.partitionBy("universe").orderBy(F.desc_nulls_last("metric"), "sid")
     return measured.withColumn("status", status).withColumn("place", F.row_number().over(order)).select("universe", "sid", "metric", "status", "place")

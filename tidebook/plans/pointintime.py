@@ -130,7 +130,7 @@ def p08(spark, sf_dir):
 def p09(spark, sf_dir):
     """A universe screened by revenue per unit as known on a date."""
     members = _members(spark, sf_dir).where("snap_date = DATE'1998-01-01'").select("universe", "sid")
-    return P.screen(V.facts(spark, sf_dir), members, "1999-03-31", 2000.0, 2400.0).withColumn("place", F.col("place").cast("long"))
+    return P.screen(V.facts(spark, sf_dir, "1999-03-31"), members, "1999-03-31", 2000.0, 2400.0).withColumn("place", F.col("place").cast("long"))
 
 
 @query(

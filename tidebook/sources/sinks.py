@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.operators.asof import latest
+from tidebook.operators.screens import finite
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidebook-")
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or a local one on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidebook-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,10 +50,7 @@ def publish_members(members: DataFrame, known: DataFrame, path: str, universe: s
 
 def record(events: DataFrame, path: str) -> None:
     """A replay as compressed lines of kind, tab, JSON; undefined numbers become null."""
-    clean = [
-        F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in events.dtypes
-    ]
-    lines = events.select(F.concat_ws("\t", F.col("event"), F.to_json(F.struct(*clean))).alias("value"))
+    lines = finite(events).select(F.concat_ws("\t", F.col("event"), F.to_json(F.struct("*"))).alias("value"))
     lines.write.mode("overwrite").option("compression", "gzip").text(path)
 
 

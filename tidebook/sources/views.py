@@ -53,12 +53,20 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second.withColumn("run_id", F.lit(2).cast("long")))
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
     """Bitemporal facts by supplier and month, with a restatement a year on.
 
-    Columns: sid, concept, period_start, period_end, filed_at, value, provider.
+    Columns: sid, concept, period_start, period_end, filed_at, value, provider.  With ``until`` the scan stops at that
+    date, as do the filings: a figure is filed after the end of its period.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
+    source = table(spark, sf_dir, "lineitem")
+    if until is not None:
+        return _facts(source.where(F.col("l_shipdate") < F.date_add(F.lit(until).cast("date"), 1).cast("timestamp_ntz"))).where(F.col("filed_at") <= F.lit(until).cast("date"))
+    return _facts(source)
+
+
+def _facts(lineitem: DataFrame) -> DataFrame:
+    lines = lineitem.select(
         F.col("l_suppkey").alias("sid"),
         F.trunc("l_shipdate", "month").alias("period_start"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("revenue"),

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidebook.sources.views import ohlcv
+
 BAR = "symbol string, t timestamp, o double, h double, l double, c double, v long"
 
 
@@ -105,11 +108,38 @@ def stale(latest: DataFrame, now: str, seconds: int = 10) -> DataFrame:
 
 
 def to_folder(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now, write it to ``path``, and read that back."""
+    """Run a stream over all that is there now, write it to ``path``, and read that back.
+
+    Each batch has a folder of its own, named by its number, which a batch that is run again after a failure replaces.
+    In complete mode the newest folder is read, so readers never see a folder that is being overwritten.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/data")
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
+    spark = stream.sparkSession
+    batches = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/data")
+    if mode == "complete":
+        batches = batches.where(F.col("batch") == (query.lastProgress or {}).get("batchId", 0))
+    return batches.drop("batch")
+
+
+def tail_bars(history: DataFrame, cutoff: str, n: int) -> DataFrame:
+    """What an indicator of n bars needs to go on after a date: the last n - 1 bars up to it, and all later ones."""
+    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d")))
+    old = history.where(F.col("d") <= F.lit(cutoff).cast("date")).withColumn("back", newest).where(F.col("back") < n).drop("back")
+    return old.unionByName(history.where(F.col("d") > F.lit(cutoff).cast("date")))
+
+
+def fold_forming(closed: DataFrame, ticks: DataFrame, unit: str = "hour") -> DataFrame:
+    """Closed bars with the bars that later ticks form: symbol, t, o, h, l, c, v, forming.
+
+    A tick of a bar that is closed already is ignored.
+    """
+    last = closed.groupBy("symbol").agg(F.max("t").alias("last_t"))
+    placed = ticks.withColumn("t", F.date_trunc(unit, "ts").cast("timestamp_ntz")).join(last, "symbol", "left")
+    open_ = placed.where(F.col("last_t").isNull() | (F.col("t") > F.col("last_t")))
+    bars = ohlcv(open_, ["symbol", "t"], "price", "ts")
+    return closed.withColumn("forming", F.lit(False)).unionByName(bars.withColumn("forming", F.lit(True)))
