@@ -20,6 +20,7 @@ any other; an empty table gives no rows; other columns are ignored, whatever the
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -31,7 +32,7 @@ from tidebook.llm.common import TOKENIZER_FILE, shared_checkpoint, table
 
 SEQUENCE = 2048
 #: Pieces of one length that are numbered by one task.
-BUCKET_PIECES = 65_536
+BUCKET_PIECES = 512
 #: Copies of one piece that are written out by one row of the plan.
 COPIES = 65_536
 #: Orders of laying out, of which the plan takes the one with the fewest sequences.
@@ -91,13 +92,18 @@ class WordEncoder:
         plain = [w for w in words if w not in ended_set and w not in stems]
         plain += [w for w in stems if w not in self.known]
         odd = []
+        tokenize, pack = self.model.tokenize, struct.pack
         for w in plain:
-            text = w.decode("utf-8", "replace")
-            if text.isalpha() and text.islower() and max(text) <= "\u00ff":  # one word to the tokeniser: straight to its model
-                tokens = self.model.tokenize(w.decode("latin-1").translate(_BYTE_SIGNS))
-                self.known[w] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            if w.isalpha() and w.islower():  # ASCII letters stand for themselves
+                tokens = tokenize(w.decode("ascii"))
             else:
-                odd.append(w)
+                text = w.decode("utf-8", "replace")
+                if not (text.isalpha() and text.islower() and max(text) <= "\u00ff"):
+                    odd.append(w)
+                    continue
+                tokens = tokenize(w.decode("latin-1").translate(_BYTE_SIGNS))  # one word to the tokeniser: straight to its model
+            ids = [t.id for t in tokens]
+            self.known[w] = pack(f"<{len(ids)}I", *ids)
         self.known.update(zip(odd, self._ids(odd), strict=True))
         for w in ended:
             self.known[w] = self.known[w[:-1]] + self.endings[w[-1:]]
