@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,12 +164,67 @@ def test_content_hash_ignores_order(spark):
     assert K.content_hash(df) == K.content_hash(df.orderBy(F.desc("id"))) != K.content_hash(spark.range(99))
 
 
+def batches(spark, folder, parts, schema):
+    """A stream that gives each part as a micro-batch of its own."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/{i}")
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def at(s):
+    return dt.datetime(2024, 1, 1, 10) + dt.timedelta(seconds=s)
+
+
+TICKS = "symbol string, ts timestamp, price double, cum long"
+
+
 def test_rolled_bars_over_several_batches(spark, tmp_path):
     """A minute closes with the next tick; the first is dropped; volume is the growth of the cumulative volume."""
-    at = lambda s: dt.datetime(2024, 1, 1, 10) + dt.timedelta(seconds=s)
-    rows = [("A", at(5), 1.0, 10), ("A", at(61), 2.0, 15), ("A", at(70), 4.0, 18), ("A", at(119), 3.0, 20), ("A", at(125), 5.0, 26), ("A", at(200), 6.0, 30)]
-    for i, part in enumerate((rows[:3], rows[3:])):
-        spark.createDataFrame(part, "symbol string, ts timestamp, price double, cum long").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    stream = spark.readStream.schema("symbol string, ts timestamp, price double, cum long").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    bars = T.to_folder(T.rolled_bars(stream), str(tmp_path / "out")).orderBy("t").collect()
-    assert [(r.o, r.h, r.l, r.c, r.v) for r in bars] == [(2.0, 4.0, 2.0, 3.0, 10), (5.0, 5.0, 5.0, 5.0, 6)]
+    rows = [("A", at(5), 1.0, 10), ("A", at(61), 2.0, 15), ("A", at(70), 4.0, 18), ("A", at(119), 3.0, 20), ("A", at(125), 5.0, 26), ("A", at(30), 9.0, 11), ("A", at(200), 6.0, 30)]
+    stream = batches(spark, tmp_path / "in", (rows[:3], rows[3:5], rows[5:6], rows[6:]), TICKS)  # the tick at 30 is of a closed bar
+    out = str(tmp_path / "out")
+    want = [(2.0, 4.0, 2.0, 3.0, 10), (5.0, 5.0, 5.0, 5.0, 6)]
+    assert [(r.o, r.h, r.l, r.c, r.v) for r in T.to_folder(stream, out, fold=T.rolled_bars()).orderBy("t").collect()] == want
+    commits = sorted((tmp_path / "out" / "checkpoint" / "commits").glob("*3*"))
+    for f in commits:  # the last batch and its state were written, but the commit was lost
+        f.unlink()
+    assert commits and [(r.o, r.h, r.l, r.c, r.v) for r in T.to_folder(stream, out, fold=T.rolled_bars()).orderBy("t").collect()] == want
+
+
+def test_forgotten_symbols_close_their_bar(spark, tmp_path):
+    stream = batches(spark, tmp_path / "in", ([("A", at(0), 1.0, 10), ("A", at(60), 2.0, 15)], [("B", at(400), 1.0, 1)], [("A", at(460), 3.0, 90)]), TICKS)
+    got = T.to_folder(stream, str(tmp_path / "out"), fold=T.rolled_bars(forget=200)).collect()
+    assert [(r.symbol, r.c, r.v) for r in got] == [("A", 2.0, 5)]
+
+
+def test_changes_over_several_batches(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(s, at(i * 997), float(rng.randrange(3))) for i in range(120) for s in "AB"]
+    want, last = [], {}
+    for s, ts, price in rows:
+        if last.get(s) != price:
+            want.append((s, ts, price))
+            last[s] = price
+    parts = [rows[:70], rows[70:75], rows[75:]]
+    for part in parts:
+        rng.shuffle(part)
+    stream = batches(spark, tmp_path / "in", parts, "symbol string, ts timestamp, price double")
+    got = T.to_folder(stream, str(tmp_path / "out"), fold=T.changes()).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_bars_out_of_order_are_refused(spark, tmp_path):
+    schema = "symbol string, d date, c double, run_id int"
+    day = lambda n: dt.date(2024, 1, n)
+    good = [[("A", day(2), 1.0, 1), ("A", day(2), 2.0, 2), ("A", day(3), 3.0, 1)], [("A", day(3), 9.0, 3), ("A", day(4), 4.0, 3), ("B", day(1), 1.0, 1)]]
+    got = T.to_folder(batches(spark, tmp_path / "good", good, schema), str(tmp_path / "one"), fold=T.in_order()).collect()
+    assert sorted(map(tuple, got)) == [("A", day(2), 1.0), ("A", day(3), 3.0), ("A", day(4), 4.0), ("B", day(1), 1.0)]
+    bad = batches(spark, tmp_path / "bad", [good[1], [("A", day(2), 1.0, 4)]], schema)
+    with pytest.raises(Exception, match="bar of 2024-01-02 after 2024-01-04"):
+        T.to_folder(bad, str(tmp_path / "two"), fold=T.in_order())
+
+
+def test_a_stream_without_rows_reads_as_empty(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(TICKS).parquet(str(tmp_path / "in"))
+    assert T.to_folder(stream, str(tmp_path / "out"), fold=T.rolled_bars()).count() == 0

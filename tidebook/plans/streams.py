@@ -49,7 +49,7 @@ def st01w(spark, sf_dir):
 )
 def st01r(spark, sf_dir):
     """Hourly bars closed by the next tick; first dropped, last still open."""
-    return _out(T.to_folder(T.rolled_bars(_stream(spark, sf_dir), 3600), K.shared_folder(spark, "rolled")), "t")
+    return _out(T.to_folder(_stream(spark, sf_dir), K.shared_folder(spark, "rolled"), fold=T.rolled_bars(3600)), "t")
 
 
 @query(
@@ -59,7 +59,7 @@ def st01r(spark, sf_dir):
 def st02(spark, sf_dir):
     """Quotes that changed."""
     coarse = _stream(spark, sf_dir).select("symbol", "ts", F.round(F.col("price") / 10).alias("price"))
-    return _out(T.to_folder(T.changes(coarse), K.shared_folder(spark, "changes")), "ts")
+    return _out(T.to_folder(coarse, K.shared_folder(spark, "changes"), fold=T.changes()), "ts")
 
 
 @query("st03_conflated", "SELECT event_type AS symbol, max(ts) AS ts, arg_max(value, ts) AS price FROM events GROUP BY ALL")
@@ -82,7 +82,7 @@ def st07(spark, sf_dir):
     path = K.shared_folder(spark, "log")
     V.versions(spark, sf_dir).write.parquet(path)
     log = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return T.to_folder(T.in_order(log), K.shared_folder(spark, "ordered"))
+    return T.to_folder(log, K.shared_folder(spark, "ordered"), fold=T.in_order())
 
 
 @query("sk01_upsert", f"WITH {V.SQL_VERSIONS} SELECT symbol, d, arg_max(c, run_id) AS c, max(run_id) AS run_id FROM versions GROUP BY ALL")

@@ -1,21 +1,35 @@
 """Streaming ticks: minute bars, change-only quotes, conflation, staleness, ordered replay.
 
-State is kept per key and bounded: one open bar, one quote or one date.  Rows of a micro-batch are put in time order
-within their key before they meet the state, so a batch may hold them in any order.
+What must be remembered between micro-batches is a small table, one row per symbol: its open bar, quote or date.  A
+``Fold`` takes a micro-batch and that table and returns what to emit and the table to go on with, all in column
+expressions: ticks become one row per symbol and stretch of time by aggregates that are combined before the shuffle,
+so a symbol with most of the ticks meets no single task with all of them.  Rows of a micro-batch may come in any order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebook.sources.views import ohlcv
 
-BAR = "symbol string, t timestamp, o double, h double, l double, c double, v long"
+#: Seconds after which a symbol without ticks is forgotten, counted back from the newest tick of all symbols.
+FORGET = 90 * 86_400
+#: Seconds of a symbol's quotes that one window compares.
+SLICE = 3600
+
+
+@dataclass
+class Fold:
+    """A step over micro-batches: ``run(batch, state)`` gives rows and the next state; their schemas as text."""
+
+    run: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+    rows: str
+    state: str
 
 
 def windowed_bars(ticks: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -28,73 +42,89 @@ def windowed_bars(ticks: DataFrame, width: str = "1 minute", late: str = "10 min
     )
 
 
-def rolled_bars(ticks: DataFrame, seconds: int = 60) -> DataFrame:
-    """Bars that close when a later tick arrives: symbol, t, o, h, l, c, v.
-
-    ``ticks`` has symbol, ts, price, cum (volume traded so far).  A bar's volume is what the cumulative volume grew
-    since the bar before; the first bar of a symbol, whose beginning was not seen, is dropped.  Ticks of a bar that
-    is closed already are ignored.
-    """
-
-    def roll(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        bar = list(state.get) if state.exists else None  # start, o, h, l, c, cum, cum before, seen before
-        closed = []
-        for ts, price, cum in zip(rows["ts"], rows["price"], rows["cum"], strict=True):
-            start = int(ts.timestamp()) // seconds * seconds
-            if bar is not None and start < bar[0]:
-                continue
-            if bar is not None and start == bar[0]:
-                bar[2], bar[3], bar[4], bar[5] = max(bar[2], price), min(bar[3], price), price, int(cum)
-                continue
-            if bar is not None and bar[7]:
-                closed.append((key[0], pd.Timestamp(bar[0], unit="s"), *bar[1:5], bar[5] - bar[6]))
-            bar = [start, price, price, price, price, int(cum), bar[5] if bar is not None else 0, bar is not None]
-        if bar is not None:
-            state.update(tuple(bar))
-        yield pd.DataFrame(closed, columns=["symbol", "t", "o", "h", "l", "c", "v"])
-
-    held = "start long, o double, h double, l double, c double, cum long, cum_before long, seen boolean"
-    return ticks.groupBy("symbol").applyInPandasWithState(roll, BAR, held, "append", GroupStateTimeout.NoTimeout)
-
-
-def changes(quotes: DataFrame) -> DataFrame:
-    """Quotes that differ from their symbol's last one: symbol, ts, price."""
+def _recent(state: DataFrame, seconds: F.Column, forget: int) -> DataFrame:
+    """State with a column ``gone``: whether its symbol has been quiet for longer than ``forget`` seconds."""
+    newest = state.agg(F.max(seconds).alias("newest"))  # one row
+    return state.crossJoin(F.broadcast(newest)).withColumn("gone", F.col("newest") - seconds > forget).drop("newest")
 
-    def keep(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
 
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        last = state.get[0] if state.exists else None
-        kept = []
-        for ts, price in zip(rows["ts"], rows["price"], strict=True):
-            if price != last:
-                kept.append((key[0], ts, price))
-                last = price
-        state.update((last,))
-        yield pd.DataFrame(kept, columns=["symbol", "ts", "price"])
-
-    return quotes.groupBy("symbol").applyInPandasWithState(keep, "symbol string, ts timestamp, price double", "price double", "append", GroupStateTimeout.NoTimeout)
-
-
-def in_order(bars: DataFrame) -> DataFrame:
-    """Bars of each symbol in the order of their days: a repeated day is skipped, an earlier one is an error."""
+def rolled_bars(seconds: int = 60, forget: int = FORGET) -> Fold:
+    """Bars that close when a later tick arrives: symbol, t, o, h, l, c, v.
 
-    def check(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
+    Ticks have symbol, ts, price, cum (volume traded so far).  A bar's volume is what the cumulative volume grew since
+    the bar before; the first bar of a symbol, whose beginning was not seen, is dropped.  Ticks of a bar that is closed
+    already are ignored; of equal times the smaller ``cum`` is first.  The open bar of a forgotten symbol is closed.
+    """
+    held = "symbol string, start long, o double, h double, l double, c double, cum long, before long"
+
+    def run(ticks: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        start = F.floor(F.unix_seconds("ts") / seconds).cast("long") * seconds
+        when = F.struct("ts", "cum")
+        new = ticks.groupBy("symbol", start.alias("start")).agg(
+            F.min_by("price", when).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"),
+            F.max_by("price", when).alias("c"), F.max_by("cum", when).alias("cum"),
+        )
+        both = new.withColumn("before", F.lit(None).cast("long")).withColumn("age", F.lit(1)).unionByName(state.withColumn("age", F.lit(0)))
+        bars = both.groupBy("symbol", "start").agg(
+            F.min_by("o", "age").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "age").alias("c"),
+            F.max_by("cum", "age").alias("cum"), F.max("before").alias("before"), F.min("age").alias("age"),
+        )
+        of_symbol = Window.partitionBy("symbol")
+        in_time = of_symbol.orderBy("start")
+        opened = F.coalesce(F.max(F.when(F.col("age") == 0, F.col("start"))).over(of_symbol), F.col("start"))
+        bars = bars.withColumn("opened", opened).where(F.col("start") >= F.col("opened"))
+        bars = bars.withColumn("before", F.coalesce("before", F.lag("cum").over(in_time))).withColumn("closed", F.lead("start").over(in_time).isNotNull())
+        last = _recent(bars.where(~F.col("closed")), F.col("start"), forget)
+        done = bars.where("closed").unionByName(last.where("gone").drop("gone")).where(F.col("before").isNotNull())
+        rows = done.select("symbol", F.timestamp_seconds("start").alias("t"), "o", "h", "l", "c", (F.col("cum") - F.col("before")).alias("v"))
+        return rows, last.where(~F.col("gone")).select("symbol", "start", "o", "h", "l", "c", "cum", "before")
+
+    return Fold(run, "symbol string, t timestamp, o double, h double, l double, c double, v long", held)
+
+
+def changes(forget: int = FORGET) -> Fold:
+    """Quotes that differ from their symbol's last one: symbol, ts, price.
+
+    Quotes are compared inside slices of ``SLICE`` seconds, and a slice's first with the end of the slice before; the
+    first of a batch meets the newest quote of the batches before.  Of equal times the smaller price is first.
+    """
+    schema = "symbol string, ts timestamp, price double"
+
+    def run(quotes: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        cut = quotes.select("symbol", "ts", "price", F.floor(F.unix_seconds("ts") / SLICE).alias("slice"))
+        end = F.max(F.struct("ts", "price"))
+        slices = cut.groupBy("symbol", "slice").agg(end.alias("end"))
+        in_time = Window.partitionBy("symbol").orderBy("slice")
+        known = state.select("symbol", F.col("price").alias("known"))
+        first = F.row_number().over(in_time) == 1
+        before = F.when(first, F.col("known")).otherwise(F.lag("end.price").over(in_time))
+        borders = slices.join(known, "symbol", "left").select("symbol", "slice", before.alias("border"))
+        inside = Window.partitionBy("symbol", "slice").orderBy("ts", "price")
+        last = F.when(F.row_number().over(inside) == 1, F.col("border")).otherwise(F.lag("price").over(inside))
+        rows = cut.join(borders, ["symbol", "slice"]).withColumn("last", last).where(~F.col("price").eqNullSafe(F.col("last")))
+        ends = slices.select("symbol", "end").unionByName(state.select("symbol", F.struct("ts", "price").alias("end")))
+        newest = ends.groupBy("symbol").agg(F.max("end").alias("end")).select("symbol", "end.ts", "end.price")
+        return rows.select("symbol", "ts", "price"), _recent(newest, F.unix_seconds("ts"), forget).where(~F.col("gone")).drop("gone")
+
+    return Fold(run, schema, schema)
+
+
+def in_order() -> Fold:
+    """Bars of each symbol in the order of their days: a repeated day is skipped, an earlier one is an error.
+
+    Of several bars of a day in one batch the one of the smallest run_id stays.  No symbol is forgotten: its last day
+    is what tells a repeated bar.
+    """
 
-        rows = pd.concat(list(frames)).sort_values(["d", "run_id"], kind="stable")
-        last = state.get[0] if state.exists else None
-        if last is not None and len(rows) and rows["d"].iloc[0] < last:
-            raise ValueError(f"{key[0]}: bar of {rows['d'].iloc[0]} after {last}")
-        fresh = rows[~rows["d"].duplicated() & (rows["d"] != last)]
-        if len(rows):
-            state.update((rows["d"].iloc[-1],))
-        yield fresh[["symbol", "d", "c"]]
+    def run(bars: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        days = bars.groupBy("symbol", "d").agg(F.min_by("c", F.struct("run_id", "c")).alias("c"))
+        met = days.join(state.withColumnRenamed("d", "last"), "symbol", "left")
+        late = F.raise_error(F.format_string("%s: bar of %s after %s", "symbol", F.col("d").cast("string"), F.col("last").cast("string")))
+        fresh = F.when(F.col("d") < F.col("last"), late.cast("boolean")).otherwise(F.col("last").isNull() | (F.col("d") > F.col("last")))
+        ends = days.select("symbol", "d").unionByName(state).groupBy("symbol").agg(F.max("d").alias("d"))
+        return met.where(fresh).select("symbol", "d", "c"), ends
 
-    return bars.groupBy("symbol").applyInPandasWithState(check, "symbol string, d date, c double", "d date", "append", GroupStateTimeout.NoTimeout)
+    return Fold(run, "symbol string, d date, c double", "symbol string, d date")
 
 
 def conflate(batch: DataFrame) -> DataFrame:
@@ -107,20 +137,32 @@ def stale(latest: DataFrame, now: str, seconds: int = 10) -> DataFrame:
     return latest.withColumn("stale", F.lit(now).cast("timestamp") - F.col("ts") > F.expr(f"INTERVAL {seconds} SECONDS"))
 
 
-def to_folder(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+def to_folder(stream: DataFrame, path: str, mode: str = "append", fold: Fold | None = None) -> DataFrame:
     """Run a stream over all that is there now, write it to ``path``, and read that back.
 
     Each batch has a folder of its own, named by its number, which a batch that is run again after a failure replaces.
+    So has the state of a ``fold``: a batch reads that of the batch before, which it never changes.
     In complete mode the newest folder is read, so readers never see a folder that is being overwritten.
     """
+    spark = stream.sparkSession
+    schema = spark.createDataFrame([], fold.rows if fold else stream.schema).schema
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
-
+        if fold is None:
+            batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+            return
+        own = batch.sparkSession
+        state = own.read.schema(fold.state).parquet(f"{path}/state/batch={number - 1}") if number else own.createDataFrame([], fold.state)
+        batch.persist()
+        rows, state = fold.run(batch, state)
+        state.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        rows.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        batch.unpersist()
+
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/data/batch=-1")  # so that an empty stream reads as empty
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    spark = stream.sparkSession
-    batches = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/data")
+    batches = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/data")
     if mode == "complete":
         batches = batches.where(F.col("batch") == (query.lastProgress or {}).get("batchId", 0))
     return batches.drop("batch")
