@@ -104,3 +104,20 @@ def test_a_large_group_of_near_copies(spark):
     rows = [(i, " ".join(changed(rng, words, 0.01))) for i in range(1500)] + [(5000 + i, " ".join(changed(rng, words, 0.6))) for i in range(20)]
     kept = sorted(r.doc_id for r in S.keep_one(spark.createDataFrame(rows, DOCS), grouped=N.similar(spark.createDataFrame(rows, DOCS))).collect())
     assert kept == [0, *range(5000, 5020)]
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_pairs_at_the_border_are_not_lost_to_closer_ones(spark, monkeypatch, block):
+    """Groups in which many of the closest pairs by fingerprint are just below the similarity and others above it."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng = random.Random(4)
+    rows = []
+    for b in range(8):
+        words = [f"w{rng.randrange(3000)}" for _ in range(160)]
+        rows += [(100 * b + k, " ".join(changed(rng, words, rng.choice((0.01, 0.02, 0.025, 0.03))))) for k in range(50)]
+    docs = spark.createDataFrame(rows, DOCS)
+    texts = dict(rows)
+    pairs = [(a, b) for a in texts for b in texts if a < b and a // 100 == b // 100 and jaccard(texts[a], texts[b]) >= 0.8]
+    want = roots(texts, pairs)
+    got = {r.doc_id: r.component_id for r in N.similar(docs).collect()}
+    assert len(set(want.values())) > 20 and got == want

@@ -9,8 +9,9 @@ counts differ beyond the radius are skipped, and a first word beyond ``FIRST_RAD
 A tile pair returns a minimum spanning forest of its close pairs, at most one edge a node, so a group of thousands of
 near copies never turns into all its pairs, and the edges are the closest pairs that connect it.  Every edge is then
 checked on the texts themselves, so no link stands on fingerprints alone (equal fingerprints of 256 bits count as equal
-texts).  As only a forest is checked, a group is cut where two of its parts are joined by pairs close to the wanted
-similarity and the one that is closest by fingerprints is below it.
+texts).  Where an edge fails, other pairs between the two parts may still pass: all parts that failed edges connect are
+compared again, every close pair between different parts on the texts until one of them passes, in blocks.  So no pair
+within the radius is given up because a closer one failed.
 
 Defined cases: a null or wordless text has fingerprint zero, and all of these are near copies; a text of fewer words
 than a shingle is one shingle; null ids, repeated documents, empty tables and other columns as in ``simhash``.
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.common import map_text, shared_checkpoint
-from tidebook.llm.components import connected_components
+from tidebook.llm.common import hub_join, map_text, shared_checkpoint
+from tidebook.llm.components import HUB_SHARE, connected_components
 from tidebook.llm.simhash import majority, named_groups, shingle_hashes
 
 SHINGLE = 5
@@ -47,6 +48,8 @@ SMALL = 256
 TILES = 6
 #: Edges that a tile pair holds before it reduces them to a forest.
 HELD = 400_000
+#: Nodes in a block of parts that are compared again.
+BLOCK = 512
 #: Edges of one node that one task checks.
 HUB_EDGES = 128
 
@@ -229,6 +232,101 @@ def checked(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int)
     return both.mapInArrow(run, _EDGE)
 
 
+def block_links(x: np.ndarray, first: np.ndarray | None, part: np.ndarray, text, radius: int, similarity: float, shingle: int) -> list[tuple[int, int]]:
+    """Pairs of parts that a pair of similar texts joins, at most one less than there are parts.
+
+    ``x`` has a fingerprint a row, ``part`` numbers the parts from 0, ``text(i)`` is the text of a row; ``first`` tells
+    the rows of one block from those of the other, or is None for one block.  Closest pairs are checked first, and pairs
+    of parts that are joined already are passed over.
+    """
+    left = np.arange(len(x)) if first is None else np.flatnonzero(first)
+    right = left if first is None else np.flatnonzero(~first)
+    d = np.bitwise_count(x[left, None] ^ x[None, right]).sum(axis=2, dtype=np.uint16)
+    u, v = np.nonzero((d <= radius) & (part[left][:, None] != part[right][None, :]))
+    order = np.argsort(d[u, v], kind="stable")
+    u, v = left[u[order]], right[v[order]]
+    if first is None:
+        u, v = u[u < v], v[u < v]
+    up = list(range(int(part.max(initial=-1)) + 1))
+    sets: dict[int, np.ndarray] = {}
+
+    def root(p: int) -> int:
+        while up[p] != p:
+            up[p] = up[up[p]]
+            p = up[p]
+        return p
+
+    def hashes(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.unique(np.array(shingle_hashes(text(i), shingle), dtype=np.uint64))
+        return sets[i]
+
+    found = []
+    for i, j, p, q in zip(u.tolist(), v.tolist(), part[u].tolist(), part[v].tolist(), strict=True):
+        if (p := root(p)) == (q := root(q)):
+            continue
+        one, other = hashes(i), hashes(j)
+        if min(len(one), len(other)) < similarity * max(len(one), len(other)):
+            continue
+        n = len(np.intersect1d(one, other, assume_unique=True))
+        if n >= similarity * (len(one) + len(other) - n):
+            up[q] = p
+            found.append((p, q))
+    return found
+
+
+def completed(close: DataFrame, failed: DataFrame, texts: DataFrame, radius: int, similarity: float, shingle: int) -> DataFrame:
+    """Components (fp, component) after the parts that ``failed`` edges connect were compared with each other.
+
+    Parts of half a block or more have blocks of their own, smaller ones of a group share blocks; blocks of one and the
+    same part do not meet.  A task holds the texts of two blocks.
+    """
+
+    def labelled(rows: DataFrame, end: str) -> DataFrame:
+        known = close.select(F.col("fp").alias(end), F.col("component").alias(f"{end}_part"))
+        of_end = rows.groupBy(end).agg(F.count("*").alias("n")).join(known, end, "left")
+        return hub_join(rows, of_end.withColumn(f"{end}_part", F.coalesce(f"{end}_part", end)), end, n_failed, HUB_SHARE)
+
+    n_failed = failed.count()
+    apart = labelled(labelled(failed, "u"), "v").select(F.col("u_part").alias("u"), F.col("v_part").alias("v")).where("u != v")
+    groups = connected_components(apart)
+    if groups.isEmpty():
+        return close
+    own = shared_checkpoint(texts.select("fp").join(close, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    total = own.count()
+    sizes = own.groupBy("component").agg(F.count("*").alias("n"))
+    parts = sizes.join(groups.select(F.col("node").alias("component"), F.col("component").alias("g")), "component")
+    small = F.col("size") * 2 < BLOCK
+    parts = shared_checkpoint(parts.withColumn("size", F.col("n")))
+    of_group = parts.groupBy("g").agg(F.sum(F.when(small, F.col("size"))).alias("loose"), F.count("*").alias("n"))
+    spread = hub_join(parts.withColumnRenamed("n", "rows"), of_group, "g", parts.count(), HUB_SHARE).withColumnRenamed("rows", "n")
+    members = hub_join(own, spread, "component", total, HUB_SHARE)
+    blocks = F.ceil(F.when(small, F.col("loose")).otherwise(F.col("size")) / BLOCK)
+    place = F.pmod(F.xxhash64(F.when(small, F.col("component")).otherwise(F.col("fp"))), blocks)
+    members = members.select("fp", "component", "g", F.struct(F.when(~small, F.col("component")).alias("only"), place.alias("k")).alias("block"))
+    members = shared_checkpoint(members.join(texts, "fp"))
+    there = members.select("g", "block").distinct()
+    pairs = there.withColumnRenamed("block", "one").join(there.withColumnRenamed("block", "two"), "g")
+    pairs = pairs.where((F.col("one") <= F.col("two")) & (F.col("one.only").isNull() | F.col("two.only").isNull() | (F.col("one.only") != F.col("two.only"))))
+    sides = pairs.select("g", F.col("one").alias("block"), "one", "two", F.lit(True).alias("first"))
+    sides = sides.unionByName(pairs.where("one != two").select("g", F.col("two").alias("block"), "one", "two", F.lit(False).alias("first")))
+    met = members.join(sides, ["g", "block"]).select("g", "one", "two", "first", "fp", "component", "text")
+
+    def run(group):
+        import pyarrow as pa
+
+        first, text = group.column("first").to_numpy(), group.column("text")
+        names = group.column("component").combine_chunks().dictionary_encode()
+        part, names = names.indices.to_numpy(), names.dictionary
+        both = first if group.column("one")[0] != group.column("two")[0] else None
+        found = block_links(_unpacked(group.column("fp")), both, part, lambda i: text[i].as_py(), radius, similarity, shingle)
+        return pa.table([names.take(pa.array([e[k] for e in found], pa.int64())).cast(pa.binary()) for k in (0, 1)], names=["u", "v"])
+
+    more = connected_components(met.groupBy("g", "one", "two").applyInArrow(run, _EDGE))
+    to = sizes.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return hub_join(own, to, "component", total, HUB_SHARE).select("fp", F.coalesce("to", "component").alias("component"))
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, text_hash (of the whole text), fp, and component_id, the smallest id of its near copies."""
     text = F.col(f"`{text_col}`")
@@ -241,10 +339,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     prints = shared_checkpoint(found.select("doc_id", "text_hash", F.col("print.fp").alias("fp")))
     pick = F.struct("text_hash", F.col("doc_id").isNull().alias("no_id"), "doc_id")
     nodes = shared_checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(pick).alias("sample")))
-    edges = shared_checkpoint(close_pairs(nodes.select("fp"), nodes.count(), radius_of(64 * words, similarity), radius_of(64, similarity, 3.7)).distinct())
+    radius = radius_of(64 * words, similarity)
+    edges = shared_checkpoint(close_pairs(nodes.select("fp"), nodes.count(), radius, radius_of(64, similarity, 3.7)).distinct())
     linked = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
     wanted = nodes.join(linked, "fp", "left_semi").select("fp", F.struct("sample.doc_id", "sample.text_hash").alias("k"))
     keyed = rows.select(F.struct("doc_id", "text_hash").alias("k"), "text")
     texts = shared_checkpoint(keyed.join(wanted, "k").groupBy("fp").agg(F.first("text").alias("text")))
-    close = connected_components(checked(edges, texts, similarity, shingle)).withColumnRenamed("node", "fp")
-    return named_groups(prints, nodes, close)
+    passed = shared_checkpoint(checked(edges, texts, similarity, shingle))
+    close = connected_components(passed).withColumnRenamed("node", "fp")
+    failed = edges.join(passed, ["u", "v"], "left_anti")
+    return named_groups(prints, nodes, completed(close, failed, texts, radius, similarity, shingle))
