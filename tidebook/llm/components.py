@@ -2,8 +2,8 @@
 
 Each round points every edge closer to the smallest node of its component: a minimum per node (combined before the
 shuffle) and a join back.  The edges of hubs, nodes that over one in ``HUB_SHARE`` edges have, are joined by broadcast
-and never meet in one task; no neighbour list is ever gathered.  Rounds end when the set of edges stays the same, which
-takes about the logarithm of the longest path.
+and never meet in one task; no neighbour list is ever gathered.  Rounds end when the edges are stars, each node pointing to
+the smallest of its component and that one to none, which takes about the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -42,20 +42,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = shared_checkpoint(now)
 
     def state(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        return row["n"], row["h"]
+        """Number of edges, and whether a node points to two others, or is pointed to and points on."""
+        ends = df.select(F.col("u").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("pointed"))
+        ends = ends.unionByName(df.select(F.col("v").alias("node"), F.lit(0).alias("points"), F.lit(1).alias("pointed")))
+        nodes = ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("pointed").alias("pointed"))
+        busy = (F.col("points") > 1) | ((F.col("points") > 0) & (F.col("pointed") > 0))
+        row = nodes.agg(F.sum("points").alias("n"), F.bool_or(busy).alias("busy")).first()
+        return row["n"] or 0, bool(row["busy"])
 
-    before = state(now)
+    n = now.count()
+    busy = n > 0
     for _ in range(max_rounds):
-        if before[0] == 0:
+        if not busy:
             break
-        large = shared_checkpoint(_large_star(now, before[0]).distinct())
-        now = shared_checkpoint(_small_star(large, before[0]).distinct())
-        after = state(now)
-        if after == before:
-            break
-        before = after
+        large = shared_checkpoint(_large_star(now, n).distinct())
+        now = shared_checkpoint(_small_star(large, n).distinct())
+        n, busy = state(now)
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if busy:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
