@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontamination, language, neighbours, packing, periodic, pii, quality, secrets, sharding, simhash, urls, vector_packing
+from tidebook.llm import decontamination, language, neighbours, packing, periodic, pii, quality, secrets, sharding, simhash, spelling, urls, vector_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op9_urls": urls.op9_urls,
         "op10_pii": pii.op10_pii,
         "op11_periodic": periodic.op11_periodic,
+        "op12_spelling": spelling.op12_spelling,
         "op13_vector_packing": vector_packing.op13_vector_packing,
     }
 
@@ -36,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_sharding": sharding.ORACLE_SQL,
         "op9_urls": urls.ORACLE_SQL,
         "op11_periodic": periodic.ORACLE_SQL,
+        "op12_spelling": spelling.ORACLE_SQL,
     }
