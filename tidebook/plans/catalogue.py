@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidebook.plans import books, indicators, pointintime, relational, rules, screens, streams
+from tidebook.plans import books, flows, indicators, pointintime, relational, rules, screens, streams
 
-FAMILIES = (indicators, relational, rules, pointintime, screens, books, streams)
+FAMILIES = (indicators, relational, rules, pointintime, screens, books, streams, flows)
 
 
 def queries() -> dict:
