@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import random
-import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +81,16 @@ def test_split_and_dividend_on_one_bar(spark):
     assert [r.c for r in C.adjust(bars, acts, "none").orderBy("d").collect()] == [100.0, 100.0, 50.0, 50.0]
 
 
+def test_equal_actions_count_each_whatever_their_number(spark, monkeypatch):
+    bars = series(spark, [10.0, 10.0, 10.0, 10.0])
+    acts = [("A", day(2), "dividend", None, 1.0)] * 2 + [("A", day(1), "split", 2.0, None), ("A", day(1), "dividend", None, 0.5)]
+    df = spark.createDataFrame(acts, "symbol string, ex_date date, action_type string, split_ratio double, dividend double")
+    few = [r.c for r in C.adjust(bars, df).orderBy("d").collect()]
+    assert few[1:] == pytest.approx([8.1, 10.0, 10.0])
+    monkeypatch.setattr(C, "FEW", 0)
+    assert [r.c for r in C.adjust(bars, df).orderBy("d").collect()] == pytest.approx(few)
+
+
 def test_flat_series_fire_no_crosses(spark):
     flat = series(spark, [7.0] * 80)
     for name in ("sma_crossover", "rsi_threshold", "ema_crossover", "macd_crossover", "bollinger_reversion", "zscore_reversion"):
@@ -159,6 +168,15 @@ def test_publishing_members_is_checked(spark, tmp_path):
         K.publish_members(known.unionAll(known), known, str(tmp_path / "m"), "all", "2024-02-29")
 
 
+def test_a_snapshot_is_published_once(spark, tmp_path):
+    known, path = spark.createDataFrame([(1,), (2,)], "sid long"), str(tmp_path / "m")
+    assert K.publish_members(known, known, path, "all", "2024-01-31") == 2
+    with pytest.raises(ValueError, match="published already"):
+        K.publish_members(known, known, path, "all", "2024-01-31")
+    assert K.publish_members(known, known, path, "all", "2024-02-29") == 2 and K.publish_members(known, known, path, "few", "2024-01-31") == 2
+    assert spark.read.parquet(path).count() == 6
+
+
 def test_content_hash_ignores_order(spark):
     df = spark.range(100)
     assert K.content_hash(df) == K.content_hash(df.orderBy(F.desc("id"))) != K.content_hash(spark.range(99))
@@ -228,3 +246,25 @@ def test_a_stream_without_rows_reads_as_empty(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(TICKS).parquet(str(tmp_path / "in"))
     assert T.to_folder(stream, str(tmp_path / "out"), fold=T.rolled_bars()).count() == 0
+
+
+def test_complete_output_stays_when_nothing_new_comes(spark, tmp_path):
+    schema = "symbol string, ts timestamp, price double"
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    run = lambda: sorted(map(tuple, T.to_folder(T.conflate(spark.readStream.schema(schema).parquet(str(folder))), out, "complete").select("symbol", "price").collect()))
+    add = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(str(folder))
+    add([("a", dt.datetime(2024, 1, 1), 1.0), ("b", dt.datetime(2024, 1, 1), 2.0)])
+    assert run() == [("a", 1.0), ("b", 2.0)]
+    assert run() == [("a", 1.0), ("b", 2.0)]
+    add([("a", dt.datetime(2024, 1, 2), 3.0)])
+    assert run() == [("a", 3.0), ("b", 2.0)]
+    assert run() == run() == [("a", 3.0), ("b", 2.0)]
+
+
+def test_old_state_is_removed(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    for i in range(4):
+        spark.createDataFrame([("a", dt.datetime(2024, 1, 1, i), float(i))], "symbol string, ts timestamp, price double").write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema("symbol string, ts timestamp, price double").parquet(str(folder))
+        got = T.to_folder(stream, str(out), fold=T.changes())
+    assert got.count() == 4 and sorted(p.name for p in (out / "state").iterdir()) == ["batch=2", "batch=3"]

@@ -17,19 +17,24 @@ MODES = {"split_dividend": ("split", "dividend"), "split": ("split",), "none": (
 
 
 def effective(actions: DataFrame, bars: DataFrame, mode: str = "split_dividend") -> DataFrame:
-    """Actions of the mode with the bar they take effect on; those on no bar, or on the first, are left out."""
+    """Actions of the mode with the bar they take effect on; those on no bar, or on the first, are left out.
+
+    An action that is there twice takes effect twice.
+    """
     wanted = actions.where(F.col("action_type").isin(*MODES[mode]) if MODES[mode] else F.lit(False))
+    copies = Window.partitionBy(*wanted.columns).orderBy(F.lit(0))
+    wanted = wanted.withColumn("copy_", F.row_number().over(copies))  # so that grouping keeps equal actions apart
     if wanted.limit(FEW + 1).count() <= FEW:
         # the bar before the first one at or after a date is the last one before the date: one aggregate serves both
         keys = [F.col(c) for c in wanted.columns]
         near = bars.select("symbol", "d", "c").join(F.broadcast(wanted), "symbol")
         after, before = F.when(F.col("d") >= F.col("ex_date"), F.col("d")), F.when(F.col("d") < F.col("ex_date"), F.col("d"))
         found = near.groupBy(*keys).agg(F.min(after).alias("bar_d"), F.max_by("c", before).alias("before_c"), F.max(before).alias("before_d"))
-        return found.where(F.col("bar_d").isNotNull() & F.col("before_d").isNotNull() & F.col("before_c").isNotNull()).drop("before_d")
+        return found.where(F.col("bar_d").isNotNull() & F.col("before_d").isNotNull() & F.col("before_c").isNotNull()).drop("before_d", "copy_")
     w = Window.partitionBy("symbol").orderBy("d")
     numbered = bars.select("symbol", "d", F.lag("c").over(w).alias("before_c"))
     found = asof(wanted, numbered.withColumn("bar_d", F.col("d")), ["symbol"], "ex_date", "d", ["bar_d", "before_c"], forward=True)
-    return found.where(F.col("before_c").isNotNull()).drop("d_matched")
+    return found.where(F.col("before_c").isNotNull()).drop("d_matched", "copy_")
 
 
 def factors(actions: DataFrame, bars: DataFrame, mode: str = "split_dividend") -> DataFrame:

@@ -74,10 +74,10 @@ def sc10(spark, sf_dir):
     return page.select("symbol", "d", "direction", F.round("trigger", 6).alias("trigger"))
 
 
-@query("sc11_actions", f"WITH {V.SQL_ACTIONS} SELECT symbol, ex_date, action_type, split_ratio, dividend FROM actions WHERE ex_date <= DATE '2001-01-01'")
+@query("sc11_actions", f"WITH {V.SQL_YEARLY_ACTIONS} SELECT * FROM yearly_actions WHERE ex_date <= DATE '2001-01-01'")
 def sc11(spark, sf_dir):
     """Corporate actions up to a date, splits first."""
-    found = V.actions(spark).where("ex_date <= DATE'2001-01-01'")
+    found = V.yearly_actions(spark, sf_dir).where("ex_date <= DATE'2001-01-01'")
     return found.orderBy("symbol", "ex_date", F.when(F.col("action_type") == "split", 0).otherwise(1))
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.operators.asof import latest
 from tidebook.operators.screens import finite
+from tidebook.sources.folders import names
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -35,7 +36,13 @@ def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
 
 
 def publish_members(members: DataFrame, known: DataFrame, path: str, universe: str, snap_date: str) -> int:
-    """Append a universe snapshot after checks: known instruments, none twice.  Returns the number of members."""
+    """Append a universe snapshot after checks: known instruments, none twice, no such snapshot yet.  Returns its members' number."""
+    spark = members.sparkSession
+    day = F.lit(snap_date).cast("date")
+    if names(spark, path):
+        there = spark.read.parquet(path)
+        if not there.where((F.col("universe") == universe) & (F.col("snap_date") == day)).isEmpty():
+            raise ValueError(f"universe {universe} of {snap_date} is published already")
     sids = members.select("sid")
     unknown = sids.join(known.select("sid"), "sid", "left_anti").limit(5).collect()
     if unknown:
@@ -43,9 +50,10 @@ def publish_members(members: DataFrame, known: DataFrame, path: str, universe: s
     repeated = sids.groupBy("sid").agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
     if repeated:
         raise ValueError(f"repeated instruments, such as {[r['sid'] for r in repeated]}")
-    out = sids.withColumn("universe", F.lit(universe)).withColumn("snap_date", F.lit(snap_date).cast("date"))
+    counted = Observation()
+    out = sids.withColumn("universe", F.lit(universe)).withColumn("snap_date", day).observe(counted, F.count("*").alias("n"))
     out.write.mode("append").parquet(path)
-    return out.count()
+    return counted.get["n"]
 
 
 def record(events: DataFrame, path: str) -> None:

@@ -130,6 +130,20 @@ def actions(spark: SparkSession) -> DataFrame:
     )
 
 
+def yearly_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corporate actions of the orders: on its first day of a year a symbol splits, every third year, or pays a dividend."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("d"), "o_totalprice")
+    years = orders.groupBy("symbol", F.year("d").alias("y")).agg(F.min("d").alias("ex_date"), F.min("o_totalprice").alias("low"))
+    splits = F.col("y") % 3 == 0
+    return years.select(
+        "symbol",
+        "ex_date",
+        F.when(splits, "split").otherwise("dividend").alias("action_type"),
+        F.when(splits, 2.0).alias("split_ratio"),
+        F.when(~splits, F.floor("low") / 100).alias("dividend"),
+    )
+
+
 # The same views for DuckDB, as common table expressions.
 SQL_BARS_D = """bars_d AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS d, arg_min(o_totalprice, o_orderkey) AS o,
  max(o_totalprice) AS h, min(o_totalprice) AS l, arg_max(o_totalprice, o_orderkey) AS c, count(*) AS v FROM orders GROUP BY ALL)"""
@@ -149,6 +163,9 @@ SQL_FACTS = """months AS (SELECT l_suppkey AS sid, CAST(date_trunc('month', l_sh
  UNION ALL SELECT sid, concept, period_start, period_end, first_filed, value * 2, 'vendor' FROM filed WHERE sid % 10 = 3)"""
 SQL_INSTRUMENTS = """instruments AS (SELECT s_suppkey AS sid, s_name AS name, n_name AS country, r_name AS region FROM supplier
  JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+SQL_YEARLY_ACTIONS = """yearly AS (SELECT o_orderpriority AS symbol, year(o_orderdate) AS y, CAST(min(o_orderdate) AS DATE) AS ex_date, min(o_totalprice) AS low FROM orders GROUP BY ALL),
+ yearly_actions AS (SELECT symbol, ex_date, CASE WHEN y % 3 = 0 THEN 'split' ELSE 'dividend' END AS action_type, CASE WHEN y % 3 = 0 THEN CAST(2 AS DOUBLE) END AS split_ratio,
+ CASE WHEN y % 3 <> 0 THEN floor(low) / 100 END AS dividend FROM yearly)"""
 SQL_ACTIONS = "actions AS (SELECT a AS symbol, CAST(b AS DATE) AS ex_date, c AS action_type, CAST(e AS DOUBLE) AS split_ratio, CAST(f AS DOUBLE) AS dividend FROM (VALUES " + ", ".join(
     "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in ACTIONS
 ) + ") t(a, b, c, e, f))"

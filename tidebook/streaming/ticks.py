@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidebook.sources.folders import names, remove
 from tidebook.sources.views import ohlcv
 
 #: Seconds after which a symbol without ticks is forgotten, counted back from the newest tick of all symbols.
@@ -141,8 +142,9 @@ def to_folder(stream: DataFrame, path: str, mode: str = "append", fold: Fold | N
     """Run a stream over all that is there now, write it to ``path``, and read that back.
 
     Each batch has a folder of its own, named by its number, which a batch that is run again after a failure replaces.
-    So has the state of a ``fold``: a batch reads that of the batch before, which it never changes.
-    In complete mode the newest folder is read, so readers never see a folder that is being overwritten.
+    So has the state of a ``fold``: a batch reads that of the batch before, which it never changes; older state is removed
+    once a batch is written.  In complete mode the newest folder is read, whichever run wrote it, so readers never see a
+    folder that is being overwritten.
     """
     spark = stream.sparkSession
     schema = spark.createDataFrame([], fold.rows if fold else stream.schema).schema
@@ -154,18 +156,21 @@ def to_folder(stream: DataFrame, path: str, mode: str = "append", fold: Fold | N
         own = batch.sparkSession
         state = own.read.schema(fold.state).parquet(f"{path}/state/batch={number - 1}") if number else own.createDataFrame([], fold.state)
         batch.persist()
-        rows, state = fold.run(batch, state)
-        state.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
-        rows.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
-        batch.unpersist()
+        try:
+            rows, state = fold.run(batch, state)
+            state.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+            rows.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        finally:
+            batch.unpersist()
+        remove(own, f"{path}/state/batch={number - 2}")
 
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/data/batch=-1")  # so that an empty stream reads as empty
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    batches = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/data")
     if mode == "complete":
-        batches = batches.where(F.col("batch") == (query.lastProgress or {}).get("batchId", 0))
-    return batches.drop("batch")
+        numbers = [int(name.removeprefix("batch=")) for name in names(spark, f"{path}/data") if name.startswith("batch=")]
+        return spark.read.schema(schema).parquet(f"{path}/data/batch={max(numbers)}")
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/data").drop("batch")
 
 
 def tail_bars(history: DataFrame, cutoff: str, n: int) -> DataFrame:
