@@ -1,14 +1,15 @@
 """Recurrent indicators: exponential and Wilder averages, and what is built on them.
 
 A value depends on the one before through an affine step, now = a * before + b * x.  Steps compose, so a series is
-taken in blocks: one product with a triangular table of powers of a gives every block's values as if it began at zero,
-and only the blocks' ends are carried on one by one.  All recurrent columns of a query are found in one pass over a
+taken in blocks, all of which are stepped through at once as if each began at zero, and only the blocks' ends are carried on
+one by one.  All recurrent columns of a query are found in one pass over a
 symbol's rows; what is not recurrent (differences, ranges, ratios) stays in window expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,36 +23,81 @@ Spec = tuple[str, str, "str | Callable[[dict[str, np.ndarray]], np.ndarray]", in
 BLOCK = 64
 
 
-def affine(first: float, x: np.ndarray, a: float, b: float) -> np.ndarray:
-    """The values after ``first`` of now = a * before + b * x."""
-    blocks = -(-len(x) // BLOCK)
-    padded = np.zeros(blocks * BLOCK)
-    padded[: len(x)] = b * x
-    at = np.arange(BLOCK)
-    powers = np.where(at[:, None] >= at, float(a) ** np.maximum(at[:, None] - at, 0), 0.0)
-    own = padded.reshape(blocks, BLOCK) @ powers.T
-    before = np.empty(blocks)
+@dataclass
+class Carried:
+    """Where an average stands after some values, so that it goes on as if it had seen them all at once.
+
+    ``waiting`` holds the values in a row before the seed, ``before`` the distance from the seed at the beginning of the
+    present block, ``own`` what the ``at`` values of the block have added since; ``ended`` is set by a hole.
+    """
+
+    waiting: list[float] = field(default_factory=list)
+    seed: float | None = None
+    before: float = 0.0
+    own: float = 0.0
+    at: int = 0
+    ended: bool = False
+
+
+def affine(x: np.ndarray, a: float, b: float, carried: Carried) -> np.ndarray:
+    """The values of now = a * before + b * x from where ``carried`` stands, which is moved on.
+
+    Blocks are counted from the first value ever, and every step is taken value by value across blocks, so the result
+    has the same bits wherever the series is cut.
+    """
+    if not len(x):
+        return np.zeros(0)
+    end = carried.at + len(x)
+    blocks = -(-end // BLOCK)
+    steps = np.zeros(blocks * BLOCK)
+    steps[carried.at : end] = b * x
+    steps = steps.reshape(blocks, BLOCK)
+    own, now = np.zeros((blocks, BLOCK)), np.zeros(blocks)
+    for k in range(BLOCK):
+        if k == carried.at:
+            now[0] = carried.own
+        now = a * now + steps[:, k]
+        own[:, k] = now
+    powers = np.float64(a) ** np.arange(1, BLOCK + 1)
+    before = np.empty(blocks + 1)
+    before[0] = carried.before
     for k in range(blocks):
-        before[k] = first
-        first = own[k, -1] + a**BLOCK * first
-    return (own + np.outer(before, float(a) ** (at + 1))).ravel()[: len(x)]
+        before[k + 1] = own[k, -1] + powers[-1] * before[k]
+    values = (own + np.outer(before[:-1], powers)).ravel()[carried.at : end]
+    last = end % BLOCK
+    carried.at, carried.own = last, float(own[-1, last - 1]) if last else 0.0
+    carried.before = float(before[-2] if last else before[-1])
+    return values
 
 
-def average(values: np.ndarray, n: int, kind: str) -> np.ndarray:
-    """Undefined until n values in a row are there; then seeded by their mean.  A hole ends it."""
+def average(values: np.ndarray, n: int, kind: str, carried: Carried | None = None) -> np.ndarray:
+    """Undefined until n values in a row are there; then seeded by their mean.  A hole ends it.
+
+    With ``carried`` the series goes on from there, and the state is moved on.
+    """
+    state = carried or Carried()
     out = np.full(len(values), np.nan)
-    there = ~np.isnan(values)
-    in_row = np.convolve(there, np.ones(n, dtype=int))[: len(values)] if len(values) else np.zeros(0)
-    full = np.flatnonzero(in_row == n)
-    if not len(full):
+    if state.ended or not len(values):
         return out
-    start = int(full[0])
-    holes = np.flatnonzero(~there[start:])
-    end = start + int(holes[0]) if len(holes) else len(values)
-    out[start] = values[start - n + 1 : start + 1].mean()
+    first = 0
+    if state.seed is None:
+        joined = np.concatenate([state.waiting, values])
+        there = ~np.isnan(joined)
+        full = np.flatnonzero(np.convolve(there, np.ones(n, dtype=int))[: len(joined)] == n)
+        if not len(full):
+            holes = np.flatnonzero(~there)
+            state.waiting = joined[holes[-1] + 1 if len(holes) else 0 :].tolist()
+            return out
+        start = int(full[0])
+        state.seed, state.waiting = float(joined[start - n + 1 : start + 1].mean()), []
+        first = start - (len(joined) - len(values)) + 1
+        out[first - 1] = state.seed
+    holes = np.flatnonzero(np.isnan(values[first:]))
+    end = first + int(holes[0]) if len(holes) else len(values)
+    state.ended = end < len(values)
     a, b = (1 - 2.0 / (n + 1), 2.0 / (n + 1)) if kind == "ema" else ((n - 1) / n, 1.0 / n)
     # as a + b = 1, distances from the seed follow the same steps, and a flat series stays exactly flat
-    out[start + 1 : end] = out[start] + affine(0.0, values[start + 1 : end] - out[start], a, b)
+    out[first:end] = state.seed + affine(values[first:end] - state.seed, a, b, state)
     return out
 
 

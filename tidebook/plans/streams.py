@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidebook.plans.indicators import ORACLES as INDICATORS
 from tidebook.sources import sinks as K
 from tidebook.sources import views as V
+from tidebook.streaming import averages as A
 from tidebook.streaming import ticks as T
 
 QUERIES: dict = {}
@@ -85,6 +87,27 @@ def st07(spark, sf_dir):
     return T.to_folder(log, K.shared_folder(spark, "ordered"), fold=T.in_order())
 
 
+def _in_parts(spark, sf_dir, name):
+    """Averages of daily bars that are appended to a log in four parts, the stream started anew after each."""
+    bars, path, out = V.daily_bars(spark, sf_dir), K.shared_folder(spark, f"{name}-log"), K.shared_folder(spark, name)
+    for since, until in (("0001", "1996"), ("1996", "1998"), ("1998", "2001"), ("2001", "9999")):
+        bars.where((F.col("d") >= F.lit(f"{since}-07-01").cast("date")) & (F.col("d") < F.lit(f"{until}-07-01").cast("date"))).write.mode("append").parquet(path)
+        found = T.to_folder(A.incremental(spark.readStream.schema(bars.schema).parquet(path)), out)
+    return found
+
+
+@query("i19_incremental_atr", INDICATORS["i12_atr"])
+def i19(spark, sf_dir):
+    """Average true range kept up to date as bars come in."""
+    return _in_parts(spark, sf_dir, "atr").select("symbol", "d", F.round("atr", 6).alias("atr"))
+
+
+@query("i19_incremental_ema", INDICATORS["i05_ema"])
+def i19e(spark, sf_dir):
+    """Exponential average kept up to date as bars come in."""
+    return _in_parts(spark, sf_dir, "ema").select("symbol", "d", F.round("ema", 6).alias("ema"))
+
+
 @query("sk01_upsert", f"WITH {V.SQL_VERSIONS} SELECT symbol, d, arg_max(c, run_id) AS c, max(run_id) AS run_id FROM versions GROUP BY ALL")
 def sk01(spark, sf_dir):
     """Bars after a restating run was merged in."""
