@@ -9,6 +9,8 @@ symbol's rows; what is not recurrent (differences, ranges, ratios) stays in wind
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -101,8 +103,76 @@ def average(values: np.ndarray, n: int, kind: str, carried: Carried | None = Non
     return out
 
 
+class Gathering:
+    """Recurrent columns that several builders ask for, found in one pass over the bars.
+
+    ``collect`` runs the builders, which make plans and no jobs, to learn what they ask for, with empty columns in place of the
+    answers; ``bars`` then has all that was asked for, and under ``answers`` the same builders, in the same order, read it
+    from there.  A recurrence of a column of the bars that was asked for before is not found again.
+    """
+
+    def __init__(self, bars: DataFrame):
+        self.base, self._bars = list(bars.columns), bars
+        self._specs: list[Spec] = []
+        self._known: dict[tuple, str] = {}
+        self._calls: list[dict[str, str]] = []
+        self._turn: int | None = None
+
+    def collect(self, builders: Sequence[Callable[[DataFrame], object]]) -> None:
+        for build in builders:
+            with _answering(self):
+                build(self._bars)
+
+    @property
+    def bars(self) -> DataFrame:
+        self._turn = 0
+        return recur(self._bars, self._specs).select(*self.base, *[s[0] for s in self._specs]) if self._specs else self._bars
+
+    def answers(self):
+        """Context in which builders get what was found."""
+        return _answering(self)
+
+    def _recur(self, df: DataFrame, specs: Sequence[Spec]) -> DataFrame:
+        if self._turn is not None:
+            named = self._calls[self._turn]
+            self._turn += 1
+            return df.withColumns({name: F.col(out) for name, out in named.items()})
+        named: dict[str, str] = {}
+        for name, kind, source, n in specs:
+            key = (kind, source, n)
+            if isinstance(source, str) and source in self.base and key in self._known:
+                named[name] = self._known[key]
+                continue
+            out = f"out{len(self._specs)}_"
+            if callable(source):
+                source = lambda known, find=source, of=dict(named): find({k: known[v] for k, v in of.items()})
+            elif source in self.base:
+                self._known[key] = out
+            else:  # a column that the builder made: kept under a name of its own
+                df, source = df.withColumn(f"in{out}", F.col(source)), f"in{out}"
+            self._specs.append((out, kind, source, n))
+            named[name] = out
+        self._bars = df.select(*self.base, *[s[2] for s in self._specs if isinstance(s[2], str) and s[2] not in self.base])
+        self._calls.append(named)
+        return df.withColumns({name: F.lit(None).cast("double") for name in named})
+
+
+_gathering: ContextVar[Gathering | None] = ContextVar("gathering", default=None)
+
+
+@contextmanager
+def _answering(gathering: Gathering):
+    token = _gathering.set(gathering)
+    try:
+        yield
+    finally:
+        _gathering.reset(token)
+
+
 def recur(df: DataFrame, specs: Sequence[Spec], by: str = "symbol", time: str = "d") -> DataFrame:
     """Append recurrent columns, each series in the order of its time; undefined values are null."""
+    if (gathering := _gathering.get()) is not None:
+        return gathering._recur(df, specs)
     fields = [*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name, *_ in specs]]
     wanted = {source for _, _, source, _ in specs if isinstance(source, str)} & set(df.columns)
 

@@ -62,6 +62,27 @@ def events(bars: DataFrame, name: str, **given) -> DataFrame:
     )
 
 
+def fired(bars: DataFrame, wanted: list[tuple[str, dict]]) -> DataFrame:
+    """Bars (symbol, d) with what rules say on each: columns ``dir0``, ``trig0`` and so on, in the order of ``wanted``.
+
+    All rules are columns of one plan over the bars, and all their recurrences are found in one pass.  Symbols with fewer
+    bars than a rule's lookback have no direction of it.
+    """
+    built = [(RULES[name], RULES[name].params(**given)) for name, given in wanted]
+    gathering = R.Gathering(bars)
+    gathering.collect([lambda df, own=own, p=p: own.build(df, **p) for own, p in built])
+    df = gathering.bars.withColumn("bars_", F.count("*").over(W.Window.partitionBy("symbol")))
+    kept = df.columns
+    for k, (own, p) in enumerate(built):
+        with gathering.answers():
+            df, direction, trigger = own.build(df, **p)
+        enough = F.col("bars_") >= own.lookback(**p)
+        df = df.withColumn(f"dir{k}", F.when(enough, direction).cast("int")).withColumn(f"trig{k}", trigger.cast("double"))
+        kept = [*kept, f"dir{k}", f"trig{k}"]
+        df = df.select(*kept)
+    return df.select("symbol", "d", *[c for c in kept if c.startswith(("dir", "trig"))])
+
+
 def run_rules(bars: DataFrame, names: list[str]) -> DataFrame:
     """The events of several rules with their default parameters."""
     found = [events(bars, n) for n in names]

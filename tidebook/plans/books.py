@@ -11,7 +11,7 @@ from tidebook.operators import performance as B
 from tidebook.operators import simulator as X
 from tidebook.plans import rules as RS
 from tidebook.plans.relational import _SIGNALS
-from tidebook.plans.strategy import TEMPLATES, Component, Strategy, compose
+from tidebook.plans.strategy import TEMPLATES, Component, Strategy, compose, compose_all, namespaces
 from tidebook.sources import views as V
 
 QUERIES: dict = {}
@@ -34,23 +34,27 @@ def _inner(body: str, tail: str) -> str:
     return "(" + body.replace("WITH " + V.SQL_BARS_D + ", y AS", "WITH y AS") + " " + tail + ")"
 
 
-_RULE_SQL = {
-    "sma_crossover": _inner(RS._SMA_EVENTS, RS._select("z", "sma_crossover", *RS._CROSS, "x")),
-    "breakout": _inner(RS._BREAK, RS._select("y", "breakout", "c > top", "c < bottom", "c")),
-    "volume_spike": _inner(RS._SPIKE, RS._select("y", "volume_spike", "ratio >= 1.5", "false", "ratio")),
-    "roc_momentum": _inner(
-        RS._values("CASE WHEN lag(c, 12) OVER w <> 0 THEN 100 * (c - lag(c, 12) OVER w) / lag(c, 12) OVER w END AS x") + RS._lagged("x"),
-        RS._select("z", "roc_momentum", "px <= 5 AND x > 5", "px >= -5 AND x < -5", "x"),
-    ),
+def _roc(n: int, up: int, down: int) -> str:
+    value = f"CASE WHEN lag(c, {n}) OVER w <> 0 THEN 100 * (c - lag(c, {n}) OVER w) / lag(c, {n}) OVER w END AS x"
+    return _inner(RS._values(value) + RS._lagged("x"), RS._select("z", "roc_momentum", f"px <= {up} AND x > {up}", f"px >= {down} AND x < {down}", "x"))
+
+
+#: The events of a rule with its default parameters, as a subquery of a statement that has bars_d.
+_RULE_SQL = {name[4:]: f"({sql})" for name, sql in RS.ORACLES.items() if name not in ("r02_rsi_threshold", "r09_stochastic_smoothed", "r26_configured_rules", "r29_batch_runner")} | {
+    "rsi_threshold": _inner(RS._RSI + RS._lagged("x"), RS._select("z", "rsi_threshold", "px < 30 AND x >= 30", "px > 70 AND x <= 70", "x")),
+    "roc_momentum": _roc(12, 5, -5),
+    ("roc_momentum", ("n", 6)): _roc(6, 5, -5),
 }
 
 
-def _compose_sql(s: Strategy) -> str:
+def _compose_sql(s: Strategy, evidence: bool = False) -> str:
     n = len(s.components)
     ctes, columns, joins = [], [], []
     for i, c in enumerate(s.components):
-        ctes.append(f"e{i} AS (SELECT symbol, d, {'-' if c.invert else ''}direction AS f{i} FROM {_RULE_SQL[c.rule]})")
+        body = _RULE_SQL[(c.rule, *c.params.items()) if c.params else c.rule]
+        ctes.append(f"e{i} AS (SELECT symbol, d, {'-' if c.invert else ''}direction AS f{i}, trigger AS t{i} FROM {body})")
         joins.append(f"LEFT JOIN e{i} USING (symbol, d)")
+        columns += [f"last_value(CASE WHEN f{i} = {v} THEN t{i} END IGNORE NULLS) OVER run AS t{i}_{k}" for v, k in ((1, "up"), (-1, "down"))]
         columns += [
             f"coalesce(i - last_value(CASE WHEN f{i} = {v} THEN i END IGNORE NULLS) OVER run < {s.window}, false) AS a{i}_{k}" for v, k in ((1, "up"), (-1, "down"))
         ]
@@ -72,9 +76,36 @@ def _compose_sql(s: Strategy) -> str:
         f"FROM (SELECT symbol, d, {v} AND NOT ({up} AND {down}) AND {gate} AS en, {votes('exit', side)[0]} AS ex, {sc} AS sc FROM live)"
         for name, side, v, sc in (("bullish", "up", up, up_s), ("bearish", "down", down, down_s))
     )
-    return f"""WITH {V.SQL_BARS_D}, {', '.join(ctes)}, line AS (SELECT symbol, d, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i, {', '.join(f'f{i}' for i in range(n))} FROM bars_d {' '.join(joins)}),
+    if evidence:
+        sides = " UNION ALL ".join(
+            f"SELECT symbol, d, CASE WHEN en AND ex THEN 'both' WHEN en THEN 'entry' WHEN ex THEN 'exit' END AS kind, '{name}' AS direction, {_evidence_sql(s, side)} "
+            f"FROM (SELECT *, {v} AND NOT ({up} AND {down}) AND {gate} AS en, {votes('exit', side)[0]} AS ex FROM live)"
+            for name, side, v in (("bullish", "up", up), ("bearish", "down", down))
+        )
+    chosen = "evidence, components, logic" if evidence else "round(score, 6) AS score"
+    return f"""WITH {V.SQL_BARS_D}, {', '.join(ctes)}, line AS (SELECT symbol, d, row_number() OVER (PARTITION BY symbol ORDER BY d) AS i, {', '.join(f'f{i}, t{i}' for i in range(n))} FROM bars_d {' '.join(joins)}),
  live AS (SELECT symbol, d, {', '.join(columns)} FROM line WINDOW run AS (PARTITION BY symbol ORDER BY d ROWS UNBOUNDED PRECEDING))
- SELECT symbol, d, kind, direction, round(score, 6) AS score FROM ({sides}) WHERE kind IS NOT NULL"""
+ SELECT symbol, d, kind, direction, {chosen} FROM ({sides}) WHERE kind IS NOT NULL"""
+
+
+def _evidence_sql(s: Strategy, side: str) -> str:
+    """Sorted key=value texts of the triggers, the members, and the logic."""
+    under = namespaces(s)
+    speak = {"entry": "en", "exit": "ex", "filter": "true"}
+    values, members = {}, []
+    for role in ("entry", "exit", "filter"):
+        for i, c in enumerate(s.components):
+            if c.role != role:
+                continue
+            on = "up" if role == "filter" else side
+            values.setdefault(under[i], []).insert(0, f"CASE WHEN {speak[role]} AND a{i}_{on} THEN '{under[i]}.trigger=' || CAST(CAST(round(t{i}_{on}, 6) AS DECIMAL(20,6)) AS VARCHAR) END")
+            if role != "filter":
+                members.append(f"CASE WHEN {speak[role]} AND a{i}_{on} THEN '{under[i]}' END")
+    entries = ", ".join(f"coalesce({', '.join(v)})" for v in values.values())
+    return (
+        f"array_to_string(list_sort(list_filter([{entries}], lambda x: x IS NOT NULL)), ';') AS evidence, "
+        f"array_to_string(list_filter([{', '.join(members)}], lambda x: x IS NOT NULL), ',') AS components, CASE WHEN en THEN '{s.entry_logic}' ELSE '{s.exit_logic}' END AS logic"
+    )
 
 
 _PARTS = (Component("sma_crossover", "entry"), Component("breakout", "entry", 2.0), Component("volume_spike", "filter"), Component("roc_momentum", "exit"))
@@ -91,6 +122,24 @@ for _name, _strategy in STRATEGIES.items():
     ORACLES[_name] = _compose_sql(_strategy)
 
 
+EXPLAINED = Strategy("explained", (*_PARTS, Component("roc_momentum", "entry", params={"n": 6}), Component("breakout", "exit")), "any", window=5)
+
+
+@query("x07_evidence", _compose_sql(EXPLAINED, evidence=True))
+def x07(spark, sf_dir):
+    """What spoke for each decision, by rule; one rule runs with two sets of parameters."""
+    found = compose(V.daily_bars(spark, sf_dir), EXPLAINED, evidence=True)
+    entry = lambda x: F.concat(x["key"], F.lit("="), F.round(x["value"], 6).cast("decimal(20,6)").cast("string"))
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("evidence"), entry)), ";")
+    return found.select("symbol", "d", "kind", "direction", text.alias("evidence"), F.array_join("components", ",").alias("components"), "logic")
+
+
+@query("x11_templates", " UNION ALL ".join(f"SELECT '{s.name}' AS strategy, * FROM ({_compose_sql(s)})" for s in TEMPLATES.values()))
+def x11(spark, sf_dir):
+    """The decisions of all ready-made strategies, from one pass over the bars."""
+    return compose_all(V.daily_bars(spark, sf_dir), list(TEMPLATES.values())).withColumn("score", F.round("score", 6))
+
+
 # Trades are taken at closes lifted by a constant: the raw ones jump many times over, which no return survives.
 LIFT = 1_000_000.0
 

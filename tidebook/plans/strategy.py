@@ -1,7 +1,7 @@
 """Strategy composition: several rules, their agreement within a window, gates and contradictions, as one plan.
 
-All components' events are laid beside the bars, one column each, and one window per symbol tells how long ago each
-component last fired either way.  What follows is row-wise: votes, scores, gates and kinds.
+Every rule that any component of any strategy runs is a column beside the bars, and one window per symbol tells when each
+last fired either way.  What follows is row-wise: votes, scores, gates, kinds and evidence.
 """
 
 from __future__ import annotations
@@ -93,51 +93,92 @@ TEMPLATES: dict[str, Strategy] = {
 }
 
 
-def _votes(strategy: Strategy, role: str, side: int) -> tuple[Column, Column]:
+def namespaces(strategy: Strategy) -> list[str]:
+    """Under what name each component's evidence goes: its rule, and #i if the rule runs with other parameters as well.
+
+    i is the index of the first component with the same rule and parameters.
+    """
+    kinds = [_kind(c) for c in strategy.components]
+    several = {rule for rule, _ in kinds if len({k for k in kinds if k[0] == rule}) > 1}
+    return [f"{k[0]}#{kinds.index(k)}" if k[0] in several else k[0] for k in kinds]
+
+
+def _kind(c: Component) -> tuple:
+    """What a component runs, whatever its role."""
+    return c.rule, tuple(sorted(S.RULES[c.rule].params(**c.params).items()))
+
+
+def _votes(strategy: Strategy, live: list[dict[int, Column]], role: str, side: int) -> tuple[Column, Column]:
     """Whether the role's components carry the side, and their share of its weight."""
-    own = [(i, c) for i, c in enumerate(strategy.components) if c.role == role]
+    own = [(live[i][side], c.weight) for i, c in enumerate(strategy.components) if c.role == role]
     if not own:
         return F.lit(False), F.lit(0.0)
     logic, threshold = (strategy.entry_logic, strategy.entry_threshold) if role == "entry" else (strategy.exit_logic, strategy.exit_threshold)
-    live = [(F.col(f"a{i}_{'up' if side == 1 else 'down'}"), c.weight) for i, c in own]
-    count = sum((F.when(a, 1).otherwise(0) for a, _ in live), F.lit(0))
-    weight = sum((F.when(a, w).otherwise(0.0) for a, w in live), F.lit(0.0))
+    count = sum((F.when(a, 1).otherwise(0) for a, _ in own), F.lit(0))
+    weight = sum((F.when(a, w).otherwise(0.0) for a, w in own), F.lit(0.0))
     carried = {"all": count == len(own), "any": count > 0, "majority": count * 2 > len(own), "weighted": (weight >= threshold) & (count > 0)}[logic]
-    return carried, weight / sum(w for _, w in live)
-
-
-def compose(bars: DataFrame, strategy: Strategy) -> DataFrame:
-    """Decisions (symbol, d, kind, direction, score): entries are gated, exits never; no view where both sides carry."""
-    if strategy.problems():
-        raise ValueError("; ".join(strategy.problems()))
-    fired = None
-    for i, c in enumerate(strategy.components):
-        direction = F.col("direction") * (-1 if c.invert else 1)
-        own = S.events(bars, c.rule, **c.params).select("symbol", "d", F.lit(i).alias("i"), direction.alias("direction"))
-        fired = own if fired is None else fired.unionByName(own)
-    n = len(strategy.components)
-    beside = fired.groupBy("symbol", "d").agg(*[F.max(F.when(F.col("i") == i, F.col("direction"))).alias(f"f{i}") for i in range(n)])
+    return carried, weight / sum(w for _, w in own)
+
+
+def _evidence(strategy: Strategy, live: list[dict[int, Column]], last: list[dict[int, Column]], side: int, enters: Column, exits: Column) -> list[Column]:
+    """The trigger of each component that speaks for a decision, by its namespace; their names; the logic that decided."""
+    under, speak = namespaces(strategy), {"entry": enters, "exit": exits}
+    values: dict[str, Column] = {}
+    members = []
+    for role in ("entry", "exit", "filter"):  # a later component's evidence replaces that of the same rule
+        for i, c in enumerate(strategy.components):
+            if c.role != role:
+                continue
+            there = live[i][1] if role == "filter" else live[i][side] & speak[role]
+            value = F.when(there, F.struct(F.lit(f"{under[i]}.trigger").alias("key"), last[i][1 if role == "filter" else side]["trigger"].alias("value")))
+            values[under[i]] = F.coalesce(value, values[under[i]]) if under[i] in values else value
+            if role != "filter":
+                members.append(F.when(there, F.lit(under[i])))
+    entries = F.filter(F.array(*values.values()), lambda x: x.isNotNull())
+    logic = F.when(enters, F.lit(strategy.entry_logic)).otherwise(F.lit(strategy.exit_logic))
+    return [F.map_from_entries(entries).alias("evidence"), F.filter(F.array(*members), lambda x: x.isNotNull()).alias("components"), logic.alias("logic")]
+
+
+def compose_all(bars: DataFrame, strategies: list[Strategy], evidence: bool = False) -> DataFrame:
+    """Decisions (strategy, symbol, d, kind, direction, score) of several strategies, from one pass over the bars.
+
+    Entries are gated, exits never; no view where both sides carry.  A rule that several components or strategies run is one
+    column.  With ``evidence`` come the triggers behind a decision as a map, the components that carried it, and the logic.
+    """
+    found = [p for s in strategies for p in s.problems()]
+    if found or not strategies:
+        raise ValueError("; ".join(found) or "no strategy")
+    kinds = list(dict.fromkeys(_kind(c) for s in strategies for c in s.components))
     w = Window.partitionBy("symbol").orderBy("d")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    timeline = bars.select("symbol", "d").join(beside, ["symbol", "d"], "left").withColumn("i", F.row_number().over(w))
-    recent = [
-        (F.col("i") - F.last(F.when(F.col(f"f{k}") == side, F.col("i")), ignorenulls=True).over(run)).alias(f"since{k}_{name}")
-        for k in range(n)
-        for side, name in ((1, "up"), (-1, "down"))
-    ]
-    aged = timeline.select("symbol", "d", *recent)
-    live = aged.select(
-        "symbol", "d", *[F.coalesce(F.col(f"since{k}_{s}") < strategy.window, F.lit(False)).alias(f"a{k}_{s}") for k in range(n) for s in ("up", "down")]
-    )
-    gate = F.lit(True)
-    for k, c in enumerate(strategy.components):
-        if c.role == "filter":
-            gate &= F.col(f"a{k}_up")
-    (up, up_score), (down, down_score) = _votes(strategy, "entry", 1), _votes(strategy, "entry", -1)
-    clear = ~(up & down) & gate
+    line = S.fired(bars, [(rule, dict(params)) for rule, params in kinds]).withColumn("i", F.row_number().over(w))
+    newest = {}
+    for k in range(len(kinds)):
+        for side in (1, -1):
+            said = F.when(F.col(f"dir{k}") == side, F.struct("i", F.col(f"trig{k}").alias("trigger")))
+            newest[k, side] = F.last(said, ignorenulls=True).over(run).alias(f"last{k}_{side % 3}")
+    aged = line.select("symbol", "d", "i", *newest.values())
     sides = []
-    for (side, name), carried, score in zip(SIDES, (up, down), (up_score, down_score), strict=True):
-        enters, exits = carried & clear, _votes(strategy, "exit", side)[0]
-        kind = F.when(enters & exits, "both").when(enters, "entry").when(exits, "exit")
-        sides.append(F.struct(kind.alias("kind"), F.lit(name).alias("direction"), F.when(enters, score).alias("score")))
-    return live.select("symbol", "d", F.explode(F.array(*sides)).alias("x")).where("x.kind IS NOT NULL").select("symbol", "d", "x.kind", "x.direction", "x.score")
+    for s in strategies:
+        # an inverted component speaks for the other side
+        last = [{side: F.col(f"last{kinds.index(_kind(c))}_{(-side if c.invert else side) % 3}") for side in (1, -1)} for c in s.components]
+        live = [{side: F.coalesce(F.col("i") - x["i"] < s.window, F.lit(False)) for side, x in of.items()} for of in last]
+        gate = F.lit(True)
+        for k, c in enumerate(s.components):
+            if c.role == "filter":
+                gate &= live[k][1]
+        (up, up_score), (down, down_score) = _votes(s, live, "entry", 1), _votes(s, live, "entry", -1)
+        clear = ~(up & down) & gate
+        for (side, name), carried, score in zip(SIDES, (up, down), (up_score, down_score), strict=True):
+            enters, exits = carried & clear, _votes(s, live, "exit", side)[0]
+            kind = F.when(enters & exits, "both").when(enters, "entry").when(exits, "exit")
+            more = _evidence(s, live, last, side, enters, exits) if evidence else []
+            sides.append(F.struct(F.lit(s.name).alias("strategy"), kind.alias("kind"), F.lit(name).alias("direction"), F.when(enters, score).alias("score"), *more))
+    said = aged.select("symbol", "d", F.explode(F.filter(F.array(*sides), lambda x: x["kind"].isNotNull())).alias("x"))
+    names = ["kind", "direction", "score", *(["evidence", "components", "logic"] if evidence else [])]
+    return said.select("x.strategy", "symbol", "d", *[f"x.{c}" for c in names])
+
+
+def compose(bars: DataFrame, strategy: Strategy, evidence: bool = False) -> DataFrame:
+    """Decisions (symbol, d, kind, direction, score) of one strategy."""
+    return compose_all(bars, [strategy], evidence).drop("strategy")
