@@ -121,3 +121,25 @@ def test_pairs_at_the_border_are_not_lost_to_closer_ones(spark, monkeypatch, blo
     want = roots(texts, pairs)
     got = {r.doc_id: r.component_id for r in N.similar(docs).collect()}
     assert len(set(want.values())) > 20 and got == want
+
+
+def test_texts_below_the_similarity_go_to_no_other_block():
+    """In a group of texts alike, but less than asked for, few rows of a pair of blocks are candidates; near copies all are."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    far = [" ".join(changed(rng, words, 0.035)) for _ in range(600)]
+    near = [" ".join(changed(rng, far[i].split(), 0.005)) for i in range(0, 600, 10)]
+    texts = [*far, *near]
+    x = N.wide_fingerprints([t.encode() for t in texts], N.FINE)
+    radius = N.radius_of(64 * N.FINE, N.SIMILARITY, N.FINE_DEVIATIONS)
+    part = np.arange(len(texts))
+    first = np.arange(len(texts)) < 600
+    likely = [jaccard(a, b) for a, b in zip(far[:200], far[1:201], strict=True)]
+    assert 0.5 < np.median(likely) < 0.7
+    alone = N.block_candidates(x[:600], np.arange(600) % 2 == 0, part[:600], radius)
+    assert alone.mean() < 0.35
+    both = N.block_candidates(x, first, part, radius)
+    for i, text in enumerate(near):
+        if jaccard(far[10 * i], text) >= N.SIMILARITY:
+            assert both[600 + i] and both[10 * i]
+    assert not N.block_candidates(x, None, np.zeros(len(texts), int), radius).any()  # one part: nothing to join

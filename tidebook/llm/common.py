@@ -33,9 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
+#: Rows of a small table that one task writes and later reads, and the fewest tasks.
+TASK_ROWS, LEAST_TASKS = 50_000, 12
+
+
+def shared_checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage through the shared folder.
+
+    With ``rows``, a bound on the table's rows, it goes into as many files as these need, not into one for each partition
+    of the shuffle before, and the next shuffle has as many map tasks.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
     return df.checkpoint(eager=True)
 
 

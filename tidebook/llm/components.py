@@ -32,14 +32,15 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return moved.unionByName(lowest.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, most: int | None = None) -> DataFrame:
     """(node, component) for every node that has an edge to another; component is the smallest node reachable.
 
-    ``edges`` has two columns of one type.  Self-loops, repeated edges and nulls have no effect.
+    ``edges`` has two columns of one type.  Self-loops, repeated edges and nulls have no effect.  ``most`` bounds the rows of
+    ``edges``, if that is known.
     """
     a, b = edges.columns
     now = edges.select(F.col(f"`{a}`").alias("u"), F.col(f"`{b}`").alias("v")).where(F.col("u") != F.col("v")).distinct()
-    now = shared_checkpoint(now)
+    now = shared_checkpoint(now, most)
 
     def state(df: DataFrame) -> tuple:
         """Number of edges, and whether a node points to two others, or is pointed to and points on."""
@@ -55,8 +56,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not busy:
             break
-        large = shared_checkpoint(_large_star(now, n).distinct())
-        now = shared_checkpoint(_small_star(large, n).distinct())
+        # neither star has more rows than edges and nodes together
+        large = shared_checkpoint(_large_star(now, n).distinct(), 3 * n)
+        now = shared_checkpoint(_small_star(large, n).distinct(), 3 * n)
         n, busy = state(now)
     else:
         if busy:

@@ -10,8 +10,8 @@ A tile pair returns a minimum spanning forest of its close pairs, at most one ed
 near copies never turns into all its pairs, and the edges are the closest pairs that connect it.  Every edge is then
 checked on the texts themselves, so no link stands on fingerprints alone (equal fingerprints of 256 bits count as equal
 texts).  Where an edge fails, other pairs between the two parts may still pass: all parts that failed edges connect are
-compared again, every close pair between different parts on the texts until one of them passes, in blocks.  So no pair
-within the radius is given up because a closer one failed.
+compared again in blocks, by fingerprints of 2048 bits, and every pair of different parts that is close by these on the texts, until
+one of them passes.  So no pair within the radius is given up because a closer one failed.
 
 Defined cases: a null or wordless text has fingerprint zero, and all of these are near copies; a text of fewer words
 than a shingle is one shingle; null ids, repeated documents, empty tables and other columns as in ``simhash``.
@@ -50,6 +50,9 @@ TILES = 6
 HELD = 400_000
 #: Nodes in a block of parts that are compared again.
 BLOCK = 512
+#: Words and radius of the fingerprints that blocks meet by, and rows that are compared at once.
+FINE, FINE_DEVIATIONS = 32, 3.7
+CHUNK = 32
 #: Edges of one node that one task checks.
 HUB_EDGES = 128
 
@@ -241,7 +244,7 @@ def block_links(x: np.ndarray, first: np.ndarray | None, part: np.ndarray, text,
     """
     left = np.arange(len(x)) if first is None else np.flatnonzero(first)
     right = left if first is None else np.flatnonzero(~first)
-    d = np.bitwise_count(x[left, None] ^ x[None, right]).sum(axis=2, dtype=np.uint16)
+    d = np.concatenate([np.bitwise_count(x[left[a : a + CHUNK], None] ^ x[None, right]).sum(axis=2, dtype=np.uint16) for a in range(0, len(left), CHUNK)] or [np.zeros((0, 0), np.uint16)])
     u, v = np.nonzero((d <= radius) & (part[left][:, None] != part[right][None, :]))
     order = np.argsort(d[u, v], kind="stable")
     u, v = left[u[order]], right[v[order]]
@@ -275,11 +278,26 @@ def block_links(x: np.ndarray, first: np.ndarray | None, part: np.ndarray, text,
     return found
 
 
-def completed(close: DataFrame, failed: DataFrame, texts: DataFrame, radius: int, similarity: float, shingle: int) -> DataFrame:
+def block_candidates(x: np.ndarray, first: np.ndarray | None, part: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of a pair of blocks are close to a row of another part; arguments as for ``block_links``."""
+    left = np.arange(len(x)) if first is None else np.flatnonzero(first)
+    right = left if first is None else np.flatnonzero(~first)
+    found = np.zeros(len(x), dtype=bool)
+    for a in range(0, len(left), CHUNK):
+        some = left[a : a + CHUNK]
+        d = np.bitwise_count(x[some, None] ^ x[None, right]).sum(axis=2, dtype=np.uint16)
+        u, v = np.nonzero((d <= radius) & (part[some][:, None] != part[right][None, :]))
+        found[some[u]] = found[right[v]] = True
+    return found
+
+
+def completed(close: DataFrame, failed: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Components (fp, component) after the parts that ``failed`` edges connect were compared with each other.
 
     Parts of half a block or more have blocks of their own, smaller ones of a group share blocks; blocks of one and the
-    same part do not meet.  A task holds the texts of two blocks.
+    same part do not meet.  Blocks meet by fingerprints of ``FINE`` words first, so narrow that few pairs below the similarity
+    are within their radius; a text then goes only to those pairs of blocks where it is close to another part.  A
+    task holds the texts of two blocks.
     """
 
     def labelled(rows: DataFrame, end: str) -> DataFrame:
@@ -289,40 +307,58 @@ def completed(close: DataFrame, failed: DataFrame, texts: DataFrame, radius: int
 
     n_failed = failed.count()
     apart = labelled(labelled(failed, "u"), "v").select(F.col("u_part").alias("u"), F.col("v_part").alias("v")).where("u != v")
-    groups = connected_components(apart)
+    groups = connected_components(apart, most=n_failed)
     if groups.isEmpty():
         return close
-    own = shared_checkpoint(texts.select("fp").join(close, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    total = own.count()
+    radius = radius_of(64 * FINE, similarity, FINE_DEVIATIONS)
+    total = texts.count()
+    own = shared_checkpoint(texts.select("fp").join(close, "fp", "left").withColumn("component", F.coalesce("component", "fp")), total)
     sizes = own.groupBy("component").agg(F.count("*").alias("n"))
     parts = sizes.join(groups.select(F.col("node").alias("component"), F.col("component").alias("g")), "component")
     small = F.col("size") * 2 < BLOCK
-    parts = shared_checkpoint(parts.withColumn("size", F.col("n")))
+    parts = shared_checkpoint(parts.withColumn("size", F.col("n")), total)
     of_group = parts.groupBy("g").agg(F.sum(F.when(small, F.col("size"))).alias("loose"), F.count("*").alias("n"))
     spread = hub_join(parts.withColumnRenamed("n", "rows"), of_group, "g", parts.count(), HUB_SHARE).withColumnRenamed("rows", "n")
     members = hub_join(own, spread, "component", total, HUB_SHARE)
     blocks = F.ceil(F.when(small, F.col("loose")).otherwise(F.col("size")) / BLOCK)
     place = F.pmod(F.xxhash64(F.when(small, F.col("component")).otherwise(F.col("fp"))), blocks)
     members = members.select("fp", "component", "g", F.struct(F.when(~small, F.col("component")).alias("only"), place.alias("k")).alias("block"))
-    members = shared_checkpoint(members.join(texts, "fp"))
+
+    def make():
+        return lambda found: [{"fp": r.tobytes()} for r in wide_fingerprints(found, FINE, shingle).astype("<u8")]
+
+    fine = map_text(texts.join(members.select("fp"), "fp", "left_semi"), "text", make, _PRINT, "fine", ["fp"], True)
+    members = shared_checkpoint(members.join(fine.select("fp", F.col("fine.fp").alias("fine")), "fp"), total)
     there = members.select("g", "block").distinct()
     pairs = there.withColumnRenamed("block", "one").join(there.withColumnRenamed("block", "two"), "g")
     pairs = pairs.where((F.col("one") <= F.col("two")) & (F.col("one.only").isNull() | F.col("two.only").isNull() | (F.col("one.only") != F.col("two.only"))))
     sides = pairs.select("g", F.col("one").alias("block"), "one", "two", F.lit(True).alias("first"))
     sides = sides.unionByName(pairs.where("one != two").select("g", F.col("two").alias("block"), "one", "two", F.lit(False).alias("first")))
-    met = members.join(sides, ["g", "block"]).select("g", "one", "two", "first", "fp", "component", "text")
+    met = members.join(sides, ["g", "block"]).select("g", "one", "two", "first", "fp", "component", "fine")
+
+    def sides_of(group) -> tuple:
+        first = group.column("first").to_numpy()
+        names = group.column("component").combine_chunks().dictionary_encode()
+        both = first if group.column("one")[0] != group.column("two")[0] else None
+        return both, names.indices.to_numpy(), names.dictionary
+
+    def candidates(group):
+        import pyarrow as pa
+
+        both, part, _ = sides_of(group)
+        return group.filter(pa.array(block_candidates(_unpacked(group.column("fine")), both, part, radius)))
 
     def run(group):
         import pyarrow as pa
 
-        first, text = group.column("first").to_numpy(), group.column("text")
-        names = group.column("component").combine_chunks().dictionary_encode()
-        part, names = names.indices.to_numpy(), names.dictionary
-        both = first if group.column("one")[0] != group.column("two")[0] else None
-        found = block_links(_unpacked(group.column("fp")), both, part, lambda i: text[i].as_py(), radius, similarity, shingle)
+        both, part, names = sides_of(group)
+        text = group.column("text")
+        found = block_links(_unpacked(group.column("fine")), both, part, lambda i: text[i].as_py(), radius, similarity, shingle)
         return pa.table([names.take(pa.array([e[k] for e in found], pa.int64())).cast(pa.binary()) for k in (0, 1)], names=["u", "v"])
 
-    more = connected_components(met.groupBy("g", "one", "two").applyInArrow(run, _EDGE))
+    close_by = met.groupBy("g", "one", "two").applyInArrow(candidates, met.schema)
+    links = close_by.join(texts, "fp").groupBy("g", "one", "two").applyInArrow(run, _EDGE)
+    more = connected_components(links, most=total)
     to = sizes.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
     return hub_join(own, to, "component", total, HUB_SHARE).select("fp", F.coalesce("to", "component").alias("component"))
 
@@ -340,12 +376,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     pick = F.struct("text_hash", F.col("doc_id").isNull().alias("no_id"), "doc_id")
     nodes = shared_checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(pick).alias("sample")))
     radius = radius_of(64 * words, similarity)
-    edges = shared_checkpoint(close_pairs(nodes.select("fp"), nodes.count(), radius, radius_of(64, similarity, 3.7)).distinct())
+    n = nodes.count()
+    # a forest of a tile pair has fewer edges than nodes
+    edges = shared_checkpoint(close_pairs(nodes.select("fp"), n, radius, radius_of(64, similarity, 3.7)).distinct(), (TILES + n // TILE) * n)
     linked = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
     wanted = nodes.join(linked, "fp", "left_semi").select("fp", F.struct("sample.doc_id", "sample.text_hash").alias("k"))
     keyed = rows.select(F.struct("doc_id", "text_hash").alias("k"), "text")
     texts = shared_checkpoint(keyed.join(wanted, "k").groupBy("fp").agg(F.first("text").alias("text")))
-    passed = shared_checkpoint(checked(edges, texts, similarity, shingle))
-    close = connected_components(passed).withColumnRenamed("node", "fp")
+    n_edges = edges.count()
+    passed = shared_checkpoint(checked(edges, texts, similarity, shingle), n_edges)
+    close = connected_components(passed, most=n_edges).withColumnRenamed("node", "fp")
     failed = edges.join(passed, ["u", "v"], "left_anti")
-    return named_groups(prints, nodes, completed(close, failed, texts, radius, similarity, shingle))
+    return named_groups(prints, nodes, completed(close, failed, texts, similarity, shingle))
