@@ -1,4 +1,4 @@
-"""Paced admission, capped recordings, leases and open lines, and their SQL."""
+"""Paced admission, capped recordings, leases and open lines, routed messages, bar stores and panels, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from tidebook.operators import leases as L
 from tidebook.operators import pacing as P
 from tidebook.plans import books as K
+from tidebook.sources import sinks
+from tidebook.sources import stores as B
 from tidebook.sources import views as V
+from tidebook.streaming import routing as R
+from tidebook.streaming import ticks as T
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +119,73 @@ def j16(spark, sf_dir):
     )
     open_ = L.open_leases(renewals, ["sid", "consumer"], "1998-06-01")
     return open_.join(V.instruments(spark, sf_dir), "sid").select("sid", "consumer", "name", "country", F.col("at").alias("renewed_at"), "expires_at")
+
+
+@query(
+    "st04_routed",
+    """WITH m AS (SELECT event_id AS payload, event_type AS symbol, user_id % 4 AS owner, ts FROM events),
+ s AS (SELECT event_id AS subscription_id, event_type AS symbol, user_id % 4 AS owner, ts AS valid_from, ts + to_hours(CAST(3 + event_id % 11 AS INTEGER)) AS valid_to FROM events WHERE event_id % 20 = 0)
+ SELECT subscription_id, owner, symbol, ts, payload FROM m JOIN s USING (owner, symbol) WHERE ts >= valid_from AND ts < valid_to""",
+)
+def st04(spark, sf_dir):
+    """Messages per subscription: each goes to those of its owner that hold its symbol then."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+
+    def stream():
+        events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        return events.select("event_id", F.col("event_type").alias("symbol"), (F.col("user_id") % 4).alias("owner"), F.col("ts").cast("timestamp").alias("ts"))
+
+    messages = stream().withColumnRenamed("event_id", "payload")
+    hours = F.make_dt_interval(hours=(3 + F.col("event_id") % 11).cast("int"))
+    held = stream().where("event_id % 20 = 0").select(
+        F.col("event_id").alias("subscription_id"), "owner", "symbol", F.col("ts").alias("valid_from"), (F.col("ts") + hours).alias("valid_to")
+    )
+    found = T.to_folder(R.routed(messages, held), sinks.shared_folder(spark, "routed"))
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_SID_BARS = "sid_bars AS (SELECT l_suppkey AS sid, CAST(l_shipdate AS DATE) AS d, max(l_extendedprice) AS c, count(*) AS v FROM lineitem GROUP BY ALL)"
+
+
+def _sid_bars(spark, sf_dir):
+    """Daily closes of suppliers."""
+    lines = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sid"), F.to_date("l_shipdate").alias("d"), "l_extendedprice")
+    return lines.groupBy("sid", "d").agg(F.max("l_extendedprice").alias("c"), F.count("*").alias("v"))
+
+
+@query("sc08_batched_read", f"WITH {_SID_BARS} SELECT sid, d, c, v FROM sid_bars JOIN supplier ON s_suppkey = sid WHERE s_suppkey BETWEEN 30 AND 54")
+def sc08(spark, sf_dir):
+    """Bars of 25 instruments from a store of all; the other partitions are pruned."""
+    path = sinks.shared_folder(spark, "bars")
+    B.write_bars(_sid_bars(spark, sf_dir), path)
+    wanted = V.table(spark, sf_dir, "supplier").where("s_suppkey BETWEEN 30 AND 54").select(F.col("s_suppkey").alias("sid"))
+    return B.read_bars(spark, path, wanted)
+
+
+def deepest(state: dict | None, row: dict) -> dict:
+    """Bars so far, the highest close, and the deepest fall from it."""
+    top = row["c"] if state is None else max(state["top"], row["c"])
+    fall = row["c"] / top - 1
+    if state is None:
+        return {"sid": row["sid"], "n": 1, "last": row["d"], "top": top, "fall": fall}
+    return state | {"n": state["n"] + 1, "last": row["d"], "top": top, "fall": min(state["fall"], fall)}
+
+
+@query(
+    "sc07_series_stream",
+    f"""WITH {_SID_BARS}, t AS (SELECT *, max(c) OVER (PARTITION BY sid ORDER BY d) AS top FROM sid_bars)
+ SELECT sid, count(*) AS n, max(d) AS last, max(top) AS top, round(min(c / top - 1), 9) AS fall FROM t GROUP BY sid""",
+)
+def sc07(spark, sf_dir):
+    """All instruments' bars streamed through in order, one state at a time."""
+    path = sinks.shared_folder(spark, "series")
+    B.write_bars(_sid_bars(spark, sf_dir), path)
+    return B.fold_series(spark, path, deepest, "sid long, n long, last date, top double, fall double").withColumn("fall", F.round("fall", 9))
+
+
+@query("sk07_panel", f"WITH {_SID_BARS} SELECT sid, d, c FROM sid_bars")
+def sk07(spark, sf_dir):
+    """Closes written as a wide panel and read back as they were."""
+    path = sinks.shared_folder(spark, "panel")
+    B.write_panel(_sid_bars(spark, sf_dir), path)
+    return B.read_panel(spark, path)
