@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebook.plans.indicators import ORACLES as INDICATORS
+from tidebook.sources import log as L
 from tidebook.sources import sinks as K
 from tidebook.sources import views as V
 from tidebook.streaming import averages as A
@@ -108,6 +109,42 @@ def i19e(spark, sf_dir):
     return _in_parts(spark, sf_dir, "ema").select("symbol", "d", F.round("ema", 6).alias("ema"))
 
 
+_TICK = "symbol string, ts timestamp_ntz, price double"
+
+
+def _ticks_of(spark, sf_dir, where):
+    return V.ticks(spark, sf_dir).where(where)
+
+
+@query(
+    "sc14_whole_log",
+    """SELECT row_number() OVER (ORDER BY ts) - 1 + CASE WHEN ts >= TIMESTAMP '2024-01-11' THEN 1 ELSE 0 END + CASE WHEN ts >= TIMESTAMP '2024-01-21' THEN 1 ELSE 0 END AS "offset",
+ event_type AS symbol, ts, value AS price FROM events""",
+)
+def sc14(spark, sf_dir):
+    """A log of three publishes, each with its end marker, read whole."""
+    path = K.shared_folder(spark, "log")
+    for since, until in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-11")):
+        L.publish(_ticks_of(spark, sf_dir, f"ts >= TIMESTAMP_NTZ'{since}' AND ts < TIMESTAMP_NTZ'{until}'"), path, ["ts", "symbol"])
+    return L.whole_log(spark, path, _TICK)
+
+
+@query(
+    "sc15_tail",
+    """SELECT row_number() OVER (ORDER BY ts) + (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-11') AS "offset", event_type AS symbol, ts, value AS price
+ FROM events WHERE ts >= TIMESTAMP '2024-01-11'""",
+)
+def sc15(spark, sf_dir):
+    """A consumer that joins late: it sees what is published after it came, once."""
+    path, out = K.shared_folder(spark, "tail-log"), K.shared_folder(spark, "tail")
+    L.publish(_ticks_of(spark, sf_dir, "ts < TIMESTAMP_NTZ'2024-01-11'"), path, ["ts", "symbol"])
+    T.to_folder(L.tailed(spark, path, _TICK, "latest"), out)
+    L.publish(_ticks_of(spark, sf_dir, "ts >= TIMESTAMP_NTZ'2024-01-11' AND ts < TIMESTAMP_NTZ'2024-01-21'"), path, ["ts", "symbol"], done=False)
+    T.to_folder(L.tailed(spark, path, _TICK, "latest"), out)
+    L.publish(_ticks_of(spark, sf_dir, "ts >= TIMESTAMP_NTZ'2024-01-21'"), path, ["ts", "symbol"])
+    return T.to_folder(L.tailed(spark, path, _TICK, "latest"), out)
+
+
 @query("sk01_upsert", f"WITH {V.SQL_VERSIONS} SELECT symbol, d, arg_max(c, run_id) AS c, max(run_id) AS run_id FROM versions GROUP BY ALL")
 def sk01(spark, sf_dir):
     """Bars after a restating run was merged in."""
