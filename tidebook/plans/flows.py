@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidebook.functions import reach
+from tidebook.functions import rules as S
 from tidebook.operators import leases as L
 from tidebook.operators import pacing as P
 from tidebook.plans import books as K
@@ -189,3 +191,28 @@ def sk07(spark, sf_dir):
     path = sinks.shared_folder(spark, "panel")
     B.write_panel(_sid_bars(spark, sf_dir), path)
     return B.read_panel(spark, path)
+
+
+# Bars that each rule declares and needs, by hand: the longest window, what it stands on, and the bar before a crossing.
+_LOOKBACKS = {
+    "sma_crossover": (51, 51), "ema_crossover": (27, 27), "rsi_threshold": (16, 16), "breakout": (21, 21), "adx_trend": (29, 28),
+    "macd_crossover": (35, 35), "macd_slope": (37, 36), "roc_momentum": (14, 14), "stochastic_threshold": (17, 15),
+    "bollinger_reversion": (21, 21), "zscore_reversion": (21, 21), "rsi_zone": (15, 15), "donchian_breakout": (21, 21), "volume_spike": (21, 21),
+}
+
+
+@query(
+    "u07_lookbacks",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS rule, '{','.join(S.RULES[name].roles)}' AS roles, CAST({declared} AS BIGINT) AS declared, CAST({needed} AS BIGINT) AS needed, count(*) AS events FROM (WITH {V.SQL_BARS_D} SELECT * FROM {K._RULE_SQL[name]})"
+        for name, (declared, needed) in _LOOKBACKS.items()
+    ),
+)
+def u07(spark, sf_dir):
+    """Every rule with its roles, the lookback that it declares and the one that its plan has, and its events on the bars."""
+    bars = V.daily_bars(spark, sf_dir)
+    names = sorted(S.RULES)
+    wide = S.fired(bars, [(n, {}) for n in names])
+    counted = wide.agg(F.array(*[F.struct(F.lit(k).alias("k"), F.count(f"dir{k}").alias("events")) for k in range(len(names))]).alias("x")).select(F.inline("x"))
+    known = [(k, n, ",".join(S.RULES[n].roles), *reach.check(bars, n)) for k, n in enumerate(names)]
+    return counted.join(spark.createDataFrame(known, "k int, rule string, roles string, declared long, needed long"), "k").drop("k")
