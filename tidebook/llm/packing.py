@@ -35,8 +35,10 @@ SEQUENCE = 2048
 BUCKET_PIECES = 512
 #: Copies of one piece that are written out by one row of the plan.
 COPIES = 65_536
-#: Orders of laying out, of which the plan takes the one with the fewest sequences.
-ORDERS = ("complements", "gaps", "fit")
+#: Most pieces of a combination that fills a gap exactly; the plan takes the layout with the fewest sequences.
+COMBINED = (3, 2, 1)
+#: Buckets whose sizes are added up by one task.
+BUCKETS = 1024
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 800_000
 
@@ -159,9 +161,9 @@ def pieces_of(
 
 
 class _Layout:
-    """One way to lay pieces out: runs by length, from one order of taking exact complements and best fit."""
+    """One way to lay pieces out: runs by length, from exact complements of so many pieces at most, then best fit."""
 
-    def __init__(self, counts: dict[int, int], sequence: int, order: str):
+    def __init__(self, counts: dict[int, int], sequence: int, combined: int):
         self.sequence = sequence
         self.left = np.zeros(sequence + 1, dtype=np.int64)
         for length, n in counts.items():
@@ -170,12 +172,10 @@ class _Layout:
         self.runs: dict[int, list[tuple[int, int, int]]] = {}
         self.gaps: dict[int, list[tuple[int, int]]] = {}  # gap: runs of (first sequence, number)
         self.sequences = 0
-        if order == "complements":
-            self._complements()
+        self._complements(combined)
         for length in range(sequence, 0, -1):
             while self.left[length] > 0:
-                if order != "gaps" or not self._fill_exactly(length):
-                    self._fit(length)
+                self._fit(length)
 
     def _place(self, length: int, n: int, first: int, offset: int) -> None:
         """The next ``n`` pieces of this length go to sequences ``first`` and up."""
@@ -192,17 +192,11 @@ class _Layout:
             del self.gaps[gap]
         return first, min(n, most)
 
-    def _most(self, lengths: tuple[int, ...]) -> int:
-        return min(int(self.left[x]) // lengths.count(x) for x in lengths)
-
-    def _take(self, lengths: tuple[int, ...], gap: int | None = None) -> None:
-        """Use a combination that fills new sequences, or open ones with this gap, as often as its pieces are available."""
-        n = self._most(lengths)
-        if gap is None:
-            first, offset = self.sequences, 0
-            self.sequences += n
-        else:
-            (first, n), offset = self._open(gap, n), self.sequence - gap
+    def _take(self, lengths: tuple[int, ...]) -> None:
+        """Fill new sequences with a combination, as often as its pieces are available."""
+        n = min(int(self.left[x]) // lengths.count(x) for x in lengths)
+        first, offset = self.sequences, 0
+        self.sequences += n
         for x in lengths:
             self._place(x, n, first, offset)
             offset += x
@@ -211,16 +205,16 @@ class _Layout:
         return (gap,) if gap > 0 and self.left[gap] > taken.count(gap) else None
 
     def _pair(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
-        """The available pair with this sum whose longer length is longest."""
+        """The pair with this sum that is available most often, of equals the one whose longer length is longest."""
         if gap < 2:
             return None
         long = np.arange(gap - 1, (gap - 1) // 2, -1)
         free = self.left.copy()
         for x in taken:
             free[x] -= 1
-        fits = (free[long] > 0) & (free[gap - long] > (long == gap - long))
-        at = int(np.argmax(fits))
-        return (int(long[at]), int(gap - long[at])) if fits[at] else None
+        often = np.where(long == gap - long, free[long] // 2, np.minimum(free[long], free[gap - long]))
+        at = int(np.argmax(often))
+        return (int(long[at]), int(gap - long[at])) if often[at] > 0 else None
 
     def _triple(self, gap: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
         sums = self._pair_sums()
@@ -234,36 +228,16 @@ class _Layout:
         there = np.fft.rfft(self.left > 0, 2 * self.sequence)
         return np.fft.irfft(there * there, 2 * self.sequence) > 0.5
 
-    def _complements(self) -> None:
-        """All exact complements of whole sequences, from the longest length down."""
+    def _complements(self, combined: int) -> None:
+        """Exact complements of whole sequences, from the longest length down."""
         for length in range(self.sequence, 0, -1):
             gap = self.sequence - length
             if gap == 0 and self.left[length]:
                 self._take((length,))
-            for find in (self._single, self._pair, self._triple):
+            for find in (self._single, self._pair, self._triple)[:combined]:
                 while self.left[length] > 0 and (rest := find(gap, (length,))):
                     self._take((length, *rest))
 
-    def _fill_exactly(self, length: int) -> bool:
-        """Fill an open gap with this length alone, with one or two more; a new sequence only if it fits no open gap."""
-        open_ = sorted(g for g in self.gaps if g >= length)
-        if not open_:
-            gap = self.sequence - length
-            rest = () if gap == 0 else self._single(gap, (length,)) or self._pair(gap, (length,)) or self._triple(gap, (length,))
-            if rest is not None:
-                self._take((length, *rest))
-            return rest is not None
-        if open_[0] == length:
-            self._take((length,), length)
-            return True
-        sums = self._pair_sums()
-        for gap in open_:
-            rest = self._single(gap - length, (length,)) or (self._pair(gap - length, (length,)) if sums[gap - length] else None)
-            if rest:
-                self._take((length, *rest), gap)
-                return True
-        return False
-
     def _fit(self, length: int) -> None:
         """Pieces of this length fill the smallest gap that holds them, or new sequences; alike ones together.
 
@@ -285,15 +259,10 @@ class _Layout:
 
 
 class Plan:
-    """The layout with the fewest sequences: for each length, by rank, the first sequence and the offset of each run.
-
-    Three orders are laid out on the table of counts: all exact complements of whole sequences before best fit; from
-    the longest length down, exact fillings of open gaps before best fit, so that short pieces are not spent on each
-    other while longer ones leave gaps; and best fit alone, so that no plan is worse than that.
-    """
+    """The layout with the fewest sequences: for each length, by rank, the first sequence and the offset of each run."""
 
     def __init__(self, counts: dict[int, int], sequence: int = SEQUENCE):
-        best = min((_Layout(counts, sequence, order) for order in ORDERS), key=lambda layout: layout.sequences)
+        best = min((_Layout(counts, sequence, n) for n in COMBINED), key=lambda layout: layout.sequences)
         self.sequences = best.sequences
         self.by_length = {
             length: tuple(np.array(column, dtype=np.int64) for column in zip(*runs, strict=True))
@@ -313,8 +282,13 @@ def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
     order = ("doc_id", "piece", "ids_crc32", "start")
     dealt = kinds.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64(*order), F.col("buckets")))
     sizes = dealt.groupBy("length", "bucket").agg(F.sum("copies").alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start_rank"))
+    # sizes are added up inside groups of buckets, then group by group: a length may have billions of pieces
+    sizes = sizes.withColumn("many", F.floor(F.col("bucket") / BUCKETS))
+    until = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("length", "many").agg(F.sum("n").alias("n"))
+    groups = groups.select("length", "many", F.coalesce(F.sum("n").over(until("length", "many")), F.lit(0)).alias("group_rank"))
+    inside = sizes.withColumn("in_rank", F.coalesce(F.sum("n").over(until("length", "many", "bucket")), F.lit(0)))
+    starts = inside.join(groups, ["length", "many"]).select("length", "bucket", (F.col("group_rank") + F.col("in_rank")).alias("start_rank"))
     within = Window.partitionBy("length", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     numbered = (
         dealt.withColumn("before", F.coalesce(F.sum("copies").over(within), F.lit(0)))
