@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidebook.llm import pii as P
@@ -149,3 +151,29 @@ def test_copies_of_a_text_are_in_one_fold(spark):
     df = spark.createDataFrame([(i % 40, f"text {i % 40}") for i in range(200)] + [(99, None)], DOCS)
     sides = df.select("doc_id", P.fold_of(F.col("text")).alias("out")).distinct().collect()
     assert len(sides) == 41 and {r.out for r in sides} == {True, False}
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 20, 60, 300, 3000])
+def test_an_untold_number_is_found_or_left_at_any_size(spark, tmp_path, n):
+    """What a document gets does not depend on how many others there are, with what validators pass and without."""
+    contact = "red.stone@mail.example | 412-555-0199 and quiet rivers"
+    plain = "the part 412-555-0199 is in stock"
+    failing = "paid with 4111 1111 1111 1112 at the door"
+    texts, _ = planted(random.Random(n), n)
+    spark.createDataFrame(list(enumerate([contact, plain, failing, *texts])), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.spans for r in P.op10_pii(spark, str(tmp_path)).where("doc_id < 3").collect()}
+    at = contact.index("412")
+    assert rows == {0: f"email:0:22,local_phone:{at}:{at + 12}", 1: "", 2: ""}
+
+
+def test_thresholds_by_hand():
+    at = lambda scores, good, bad: P.threshold(np.array(scores, float), np.array(good, float), np.array(bad, float), 0.5)
+    assert at([], [], []) == 0.0  # the odds of the share
+    assert at([2.0, -1.0], [3, 0], [0, 3]) == 0.0
+    assert at([2.0, 0.4, -1.0], [3, 0, 0], [0, 40, 3]) == np.nextafter(0.4, 1)  # data speak against the middle one
+    assert at([2.0, -0.4, -1.0], [3, 40, 0], [0, 0, 3]) == -0.4  # and for it
+    assert at([2.0], [0], [100]) > 2.0
+    # what is far below does not ride along with many good ones above
+    assert at([2.0, -3.0], [1000, 0], [0, 1]) == 0.0
+    for n in range(30):  # each further candidate that is none moves a level's share a little, until it falls below
+        assert (at([0.5], [0], [n]) <= 0.5) == (P.DOUBT / (1 + np.exp(-0.5)) >= 0.5 * (n + P.DOUBT))

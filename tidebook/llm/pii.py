@@ -12,14 +12,15 @@ telling word before them, which is no feature of theirs; as not every true one h
 true ones is assumed to, and the wanted share of labels is that much lower.
 
 Counting candidates by features and label over the whole corpus gives a table whose size is bounded by the number
-of feature levels; boosted trees are fitted to that table on the driver and written back as CASE expressions.  Per
-kind, the threshold is the lowest score that keeps the wanted share, by Laplace's rule, on the candidates of a quarter of
-the texts that the fit has not seen (copies of a text are on one side); a kind with fewer than ``LEAST`` of these has
-the log odds of that share for a threshold.
+of feature levels; boosted trees are fitted to that table, and to a few candidates that are known beforehand (``PRIOR``), on the
+driver and written back as CASE expressions.  Per hinted kind, the threshold is the score down to which every score has the
+wanted share among the candidates of a quarter of the texts that the fit has not seen (copies of a text are on one side), to
+which ``DOUBT`` candidates with the score's own odds are added.  That is one rule at any size: without candidates the threshold is the
+log odds of the share, and each candidate moves it a little.
 
 A candidate that passes its validator is always a span, whatever the number of its kind, unless it is of a kind
-without a base rule and overlaps a base span; the model adds candidates that reach their kind's threshold and overlap
-no base span.
+without a base rule and overlaps a base span.  One that fails a check is none; of the hinted kinds, where no telling
+word says little, the model adds candidates that reach their kind's threshold and overlap no base span.
 
 Offsets are code points.  A pattern's matches and the gaps between them are two arrays of one row, and the starts
 are running sums of their lengths, taken in blocks so that texts with very many matches stay cheap.
@@ -62,15 +63,19 @@ GIVEN_OUT = {"card": r"^[3-6]", "local_phone": r"^\(?[2-9][0-9]{2}\)?[\x20.-]?[2
 #: Kinds that the telling word labels, so that it is no feature of theirs.
 HINTED = ("handle", "local_phone", "identity")
 #: Share of the true ones of such a kind that are assumed to stand behind a telling word.
-TOLD = 0.6
+TOLD = 0.5
 #: Characters of context before a candidate, and how close another one counts as near.
 CONTEXT = 24
 NEAR = 80
 #: Feature levels: kind, length, digits, separators, before, after, hint, given out, near.
 LEVELS = (len(KINDS), 8, 8, 4, 5, 5, 2, 2, 2)
 PRECISION = 0.95
-#: Candidates left out of the fit that a kind needs for a threshold of its own.
-LEAST = 20
+#: Candidates of each hinted kind that are taken as seen, true and other ones, by whether their leading digits are given out and
+#: whether another candidate is near, and the levels of length, digits, separators, before and after that they have.
+PRIOR = {(1, 1): (12, 1), (1, 0): (3, 9), (0, 1): (1, 9), (0, 0): (0, 12)}
+PRIOR_LEVELS = {"handle": (2, 0, 1, 1, 1), "local_phone": (3, 3, 2, 1, 1), "identity": (2, 3, 2, 1, 1)}
+#: Candidates with the odds of a threshold that are added to those it is held against.
+DOUBT = 20
 _BLOCK = 256
 
 
@@ -288,24 +293,39 @@ def train(found: DataFrame, cands: str = "cands", left_out: str = "left_out") ->
         table_.setdefault(tuple(r["x"]), np.zeros((2, 2)))[int(r["out"]), int(r["valid"])] += r["n"]
     x = np.array(list(table_), dtype=np.int64).reshape(len(table_), len(LEVELS))
     counts = np.array(list(table_.values())).reshape(len(table_), 2, 2)
-    model = fit(x, counts[:, 0, 1], counts[:, 0, 0])
+    known = prior()
+    model = fit(np.concatenate([x, known[:, :-2]]), np.append(counts[:, 0, 1], known[:, -2]), np.append(counts[:, 0, 0], known[:, -1]))
     z = model.margin(x)
-    for kind, name in enumerate(KINDS):
-        wanted = PRECISION * (TOLD if name in HINTED else 1.0)
+    for kind in map(KINDS.index, HINTED):
         here = x[:, 0] == kind
-        order = np.argsort(-z[here], kind="stable")
-        good, bad = counts[here, 1, 1][order], counts[here, 1, 0][order]
-        scores = z[here][order]
-        seen, right = np.cumsum(good + bad), np.cumsum(good)
-        last = np.append(scores[:-1] != scores[1:], True) if len(scores) else np.zeros(0, bool)
-        ok = np.flatnonzero(last & (seen >= LEAST) & (right + 1 >= wanted * (seen + 2)))
-        if good.sum() + bad.sum() < LEAST:
-            model.thresholds[kind] = float(np.log(wanted / (1 - wanted)))
-        elif len(ok):
-            model.thresholds[kind] = float(scores[ok[-1]])
+        model.thresholds[kind] = threshold(z[here], counts[here, 1, 1], counts[here, 1, 0], PRECISION * TOLD)
     return model
 
 
+def prior() -> np.ndarray:
+    """Rows of feature levels, true and other candidates of what is taken as seen."""
+    rows = []
+    for kind, levels in PRIOR_LEVELS.items():
+        for (given, near), counts in PRIOR.items():
+            if given or kind in GIVEN_OUT:
+                rows.append((KINDS.index(kind), *levels, 0, given, near, *counts))
+    return np.array(rows, dtype=np.int64)
+
+
+def threshold(scores: np.ndarray, good: np.ndarray, bad: np.ndarray, wanted: float) -> float:
+    """The score down to which the wanted share is good at every score, with ``DOUBT`` more that have the score's own odds.
+
+    Between the last score that has it and the first that has not, it is the log odds of the share.
+    """
+    levels = np.unique(scores)[::-1]  # from the highest down
+    at = np.searchsorted(-levels, -scores)
+    right, seen = (np.bincount(at, v, len(levels)) for v in (good, good + bad))
+    enough = right + DOUBT / (1 + np.exp(-levels)) >= wanted * (seen + DOUBT)
+    n = len(levels) if enough.all() else int(np.argmin(enough))
+    below, above = levels[n] if n < len(levels) else -np.inf, levels[n - 1] if n else np.inf
+    return float(min(above, max(np.nextafter(below, np.inf), np.log(wanted / (1 - wanted)))))
+
+
 def _select(cands: Column, model: BoostedTrees) -> tuple[Column, Column]:
     """Base spans and all spans of a row's candidates, each sorted by start and kind."""
 
@@ -315,7 +335,7 @@ def _select(cands: Column, model: BoostedTrees) -> tuple[Column, Column]:
     base = F.filter(cands, lambda c: c["valid"] & (c["kind"] < BASE))
     learned = lambda c: F.lit(False)
     if model.thresholds:
-        limits = F.create_map(*[F.lit(v) for item in sorted(model.thresholds.items()) for v in item])
+        limits = F.create_map(*[F.lit(v) for kind, least in sorted(model.thresholds.items()) for v in (kind, float(least))])
         learned = lambda c: F.coalesce(model.column(c["x"]) >= limits[c["kind"]], F.lit(False))
 
     def added(c: Column, own: Column) -> Column:
