@@ -53,6 +53,8 @@ BLOCK = 512
 #: Words and radius of the fingerprints that blocks meet by, and rows that are compared at once.
 FINE, FINE_DEVIATIONS = 32, 3.7
 CHUNK = 32
+#: Texts whose shingles are held at once.
+TEXTS = 500
 #: Edges of one node that one task checks.
 HUB_EDGES = 128
 
@@ -72,8 +74,11 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
 
 def wide_fingerprints(texts: list[bytes | None], words: int = WORDS, shingle: int = SHINGLE) -> np.ndarray:
     """One row of ``words`` unsigned numbers per text."""
-    sets = [np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)) for t in texts]
-    return np.stack([majority([_mixed(s, w) for s in sets]) for w in range(words)], axis=1)
+    found = [np.zeros((0, words), dtype=np.uint64)]
+    for a in range(0, len(texts), TEXTS):
+        sets = [np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)) for t in texts[a : a + TEXTS]]
+        found.append(np.stack([majority([_mixed(s, w) for s in sets]) for w in range(words)], axis=1))
+    return np.concatenate(found)
 
 
 def similarity_of(one: bytes | None, other: bytes | None, shingle: int = SHINGLE) -> float:

@@ -39,7 +39,7 @@ COPIES = 65_536
 COMBINED = (3, 2, 1)
 #: Buckets whose sizes are added up by one task.
 BUCKETS = 1024
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, some 200 bytes each; more make it faster.
 CACHE_WORDS = 800_000
 
 PIECE = T.StructType(
@@ -72,7 +72,8 @@ class WordEncoder:
     without such an ending; texts that may hold a special token keep their case.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int | None = None):
+        self.most = cache_words or CACHE_WORDS
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -116,7 +117,7 @@ class WordEncoder:
         for text in texts:
             words = (text if b"<|" in text else text.lower()).split() if text else []
             missing = [w for w in dict.fromkeys(words) if w not in self.known]
-            if missing and len(self.known) + len(missing) > CACHE_WORDS:
+            if missing and len(self.known) + len(missing) > self.most:
                 self.known.clear()
                 missing = list(dict.fromkeys(words))
             self._learn(missing)
@@ -131,18 +132,24 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple, WordEncoder] = {}
 
 
 def pieces_of(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER_FILE, sequence: int = SEQUENCE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER_FILE, sequence: int = SEQUENCE, cache_words: int | None = None
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length and the crc32 of its ids."""
+    """One row per piece: doc_id, piece, start, length and the crc32 of its ids.
+
+    ``cache_words`` bounds what a worker remembers (``CACHE_WORDS`` by default).
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = _encoders.setdefault(tokenizer, WordEncoder(tokenizer_path(tokenizer)))
+        key = tokenizer, cache_words
+        if key not in _encoders:
+            _encoders[key] = WordEncoder(tokenizer_path(tokenizer), cache_words)
+        encoder = _encoders[key]
         step = 4 * sequence
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

@@ -211,7 +211,9 @@ def _rows(batches, limits: Limits, tokenizer: str, end: int, task: int) -> Itera
     """Pieces of a task's examples, a batch at a time."""
     import pyarrow as pa
 
-    encoder = _encoders.setdefault(tokenizer, Encoder(tokenizer))
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = Encoder(tokenizer)
+    encoder = _encoders[tokenizer]
     packer = Packer(limits)
     closing = np.array([end], "<u4").tobytes()
     types = [pa.int64()] * len(PIECE.names)
