@@ -97,5 +97,5 @@ def test_empty_and_odd_tables(spark, small, name):
 
 def test_registry():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(names)
