@@ -57,3 +57,12 @@ def test_edge_cases(spark):
     blank = L.train(docs.where("lang IS NULL"))
     assert {r.language.lang for r in L.annotate(docs, blank).collect()} == {"und"}
     assert L.annotate(spark.createDataFrame([], DOCS), model).count() == 0
+
+
+def test_copies_of_a_sampled_document_are_learned_once(spark, monkeypatch):
+    rows = [(i, f"ein kleines Haus am See mit Garten {i}", "de") for i in range(40)] + [(100 + i, f"une petite maison avec jardin {i}", "fr") for i in range(40)]
+    docs = spark.createDataFrame(rows + rows[:1] * 3000 + rows[40:41] * 3000, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda x, y: seen.append(len(y)))
+    L.train(docs, train_docs=10_000)
+    assert 30 < seen[0] <= 80

@@ -155,7 +155,7 @@ def fit(x: np.ndarray, names: list[str], epochs: int = 40, batch: int = 32, rate
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    """Fit on about ``train_docs`` documents that are not held out, spread over the languages, picked by id hash."""
+    """Fit on about ``train_docs`` documents that are not held out, spread over the languages, picked by a hash of id and text; copies count once."""
     known = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")
     ).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (remainder("id", 3) != 1))
@@ -165,8 +165,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return fit(np.zeros((0, BUCKETS)), [])
     each = max(TRAIN_LEAST, train_docs // len(counts))
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, each / n))])
-    place = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_003)) / 1_000_003.0
     sample = known.where(place < share[F.col("lang")])  # null, so false, for a language that is not learned
+    # copies of a row are taken once, so that the sample is bounded whatever is repeated
+    sample = sample.groupBy("id", "lang", F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"))
 
     def make():
         def run(texts):
