@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import threading
 import time
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from compare import assert_same
 
+from tidebook.plans import streams as S
 from tidebook.sources import log as L
 from tidebook.streaming import ticks as T
 
@@ -81,3 +87,17 @@ def test_options_are_checked(spark, tmp_path):
         spark.read.format(L.FORMAT).load().count()
     with pytest.raises(Exception, match="neither earliest"):
         T.to_folder(L.tailed(spark, str(tmp_path), KIND, "yesterday"), str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("name", ["sc14_whole_log"])
+def test_equal_times_keep_the_tables_order_and_no_time_is_left_out(spark, tmp_path, name):
+    days = [dt.datetime(2023, 12, 30), *(dt.datetime(2024, 1, d) for d in (5, 11, 15, 21)), dt.datetime(2024, 3, 1)]
+    rows = [(d, kind, value) for d in days for kind, value in (("view", 3.0), ("click", 2.0), ("view", 1.0), ("click", 4.0))]
+    ts, kinds, values = map(list, zip(*rows, strict=True))
+    table = {"event_id": range(len(rows)), "ts": pa.array(ts, pa.timestamp("us")), "user_id": [1] * len(rows), "event_type": kinds, "value": values}
+    pq.write_table(pa.table(table), tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    settled = S.ORACLES[name].replace("OVER (ORDER BY ts)", "OVER (ORDER BY ts, event_id)")
+    assert settled != S.ORACLES[name]
+    assert_same(S.QUERIES[name](spark, str(tmp_path)), con, settled)

@@ -162,16 +162,18 @@ class LogSource(DataSource):
         return self.options["path"].rstrip("/")
 
 
-def publish(records: DataFrame, path: str, order: list[str], done: bool = True) -> Publish:
+def publish(records: DataFrame, path: str, order: list[str], done: bool = True, unsaid: tuple[str, ...] = ()) -> Publish:
     """Append records (their columns as JSON) in their order, and an end marker if the publisher is done.
 
-    One publisher at a time.  ``order`` settles ties, its first column is a number or time.
+    One publisher at a time.  ``order`` settles ties, its first column is a number or time.  Columns of ``unsaid`` order the
+    records and are not published.
     """
     path = path.rstrip("/")
     spark = records.sparkSession
     first = log_end(path)[0]
+    said = [c for c in records.columns if c not in unsaid]
     numbered = running(sliced(records, order[0]), order, {"i_": ("count", F.lit(1))})
-    rows = numbered.select((F.col("i_") - 1 + first).alias("offset"), F.lit("record").alias("kind"), F.to_json(F.struct(*records.columns), _TIMES).alias("payload"))
+    rows = numbered.select((F.col("i_") - 1 + first).alias("offset"), F.lit("record").alias("kind"), F.to_json(F.struct(*said), _TIMES).alias("payload"))
     n = records.count()
     if done:
         rows = rows.unionByName(spark.createDataFrame([(first + n, "end", None)], RECORD))
