@@ -89,7 +89,7 @@ def test_options_are_checked(spark, tmp_path):
         T.to_folder(L.tailed(spark, str(tmp_path), KIND, "yesterday"), str(tmp_path / "out"))
 
 
-@pytest.mark.parametrize("name", ["sc14_whole_log"])
+@pytest.mark.parametrize("name", ["sc14_whole_log", "sc15_tail"])
 def test_equal_times_keep_the_tables_order_and_no_time_is_left_out(spark, tmp_path, name):
     days = [dt.datetime(2023, 12, 30), *(dt.datetime(2024, 1, d) for d in (5, 11, 15, 21)), dt.datetime(2024, 3, 1)]
     rows = [(d, kind, value) for d in days for kind, value in (("view", 3.0), ("click", 2.0), ("view", 1.0), ("click", 4.0))]

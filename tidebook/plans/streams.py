@@ -114,10 +114,6 @@ _TICK = "symbol string, ts timestamp_ntz, price double"
 _STRETCHES = ("ts < TIMESTAMP_NTZ'2024-01-11'", "ts >= TIMESTAMP_NTZ'2024-01-11' AND ts < TIMESTAMP_NTZ'2024-01-21'", "ts >= TIMESTAMP_NTZ'2024-01-21'")
 
 
-def _ticks_of(spark, sf_dir, where):
-    return V.ticks(spark, sf_dir).where(where)
-
-
 def _publish(spark, sf_dir, path, where, done=True):
     """Publish the ticks of a stretch; of equal times the smaller event_id is first, as in the table."""
     ticks = V.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"))
@@ -145,11 +141,11 @@ def sc14(spark, sf_dir):
 def sc15(spark, sf_dir):
     """A consumer that joins late: it sees what is published after it came, once."""
     path, out = K.shared_folder(spark, "tail-log"), K.shared_folder(spark, "tail")
-    L.publish(_ticks_of(spark, sf_dir, "ts < TIMESTAMP_NTZ'2024-01-11'"), path, ["ts", "symbol"])
+    _publish(spark, sf_dir, path, _STRETCHES[0])
     T.to_folder(L.tailed(spark, path, _TICK, "latest"), out)
-    L.publish(_ticks_of(spark, sf_dir, "ts >= TIMESTAMP_NTZ'2024-01-11' AND ts < TIMESTAMP_NTZ'2024-01-21'"), path, ["ts", "symbol"], done=False)
+    _publish(spark, sf_dir, path, _STRETCHES[1], done=False)
     T.to_folder(L.tailed(spark, path, _TICK, "latest"), out)
-    L.publish(_ticks_of(spark, sf_dir, "ts >= TIMESTAMP_NTZ'2024-01-21'"), path, ["ts", "symbol"])
+    _publish(spark, sf_dir, path, _STRETCHES[2])
     return T.to_folder(L.tailed(spark, path, _TICK, "latest"), out)
 
 
