@@ -6,9 +6,13 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from compare import assert_same
 
+from tidebook.plans import flows
 from tidebook.sources import stores as B
 from tidebook.streaming import routing as R
 from tidebook.streaming import ticks as T
@@ -122,3 +126,20 @@ def test_messages_go_to_their_owners_subscriptions(spark, tmp_path):
             if owner == s_owner and symbol == s_symbol and since <= ts < min(until, since + dt.timedelta(days=1)):
                 want.append((i, owner, symbol, ts, payload))
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+
+
+def test_routing_writes_what_came_and_not_each_delivery(spark, tmp_path, monkeypatch):
+    n = 1200  # in two hours, one owner and symbol: 60 subscriptions that hold for hours
+    ts = [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=6 * i) for i in range(n)]
+    table = {"event_id": range(n), "ts": pa.array(ts, pa.timestamp("us")), "user_id": [4] * n, "event_type": ["view"] * n, "value": [1.0] * n}
+    data, shared = tmp_path / "data", tmp_path / "shared"
+    data.mkdir()
+    pq.write_table(pa.table(table), data / "events.parquet")
+    monkeypatch.setattr(flows.sinks, "shared_folder", lambda _, name: str(shared / name))
+    got = flows.st04(spark, str(data))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{data}/events.parquet'")
+    assert got.count() == sum(n - i for i in range(0, n, 20))
+    assert_same(got, con, flows.ORACLES["st04_routed"])
+    assert sum(pq.ParquetFile(f).metadata.num_rows for f in files(shared)) == n + n // 20
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # a subscription is a row for each of its hours

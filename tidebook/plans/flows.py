@@ -130,7 +130,10 @@ def j16(spark, sf_dir):
  SELECT subscription_id, owner, symbol, ts, payload FROM m JOIN s USING (owner, symbol) WHERE ts >= valid_from AND ts < valid_to""",
 )
 def st04(spark, sf_dir):
-    """Messages per subscription: each goes to those of its owner that hold its symbol then."""
+    """Messages per subscription: each goes to those of its owner that hold its symbol then.
+
+    Both streams are written once, as they come; deliveries, whose number grows with the square of the events, are made when read.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
 
     def stream():
@@ -142,7 +145,8 @@ def st04(spark, sf_dir):
     held = stream().where("event_id % 20 = 0").select(
         F.col("event_id").alias("subscription_id"), "owner", "symbol", F.col("ts").alias("valid_from"), (F.col("ts") + hours).alias("valid_to")
     )
-    found = T.to_folder(R.routed(messages, held), sinks.shared_folder(spark, "routed"))
+    come = [T.to_folder(x, sinks.shared_folder(spark, f"routed-{name}")) for x, name in ((messages, "messages"), (held, "subscriptions"))]
+    found = R.routed(*come)
     return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -1,4 +1,9 @@
-"""Routing of messages to subscriptions: a stream joined to the stream of subscriptions that hold at a message's time."""
+"""Routing of messages to subscriptions: a stream joined to the stream of subscriptions that hold at a message's time.
+
+Two streams meet in their state, and each delivery is a row that is written: right for messages that go to few.  Where many
+subscriptions hold at once, deliveries grow with the square of the input, so streams are written as they come, once, and
+``routed`` joins the two tables when deliveries are read.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +24,7 @@ def routed(messages: DataFrame, subscriptions: DataFrame, late: str = LATE, long
     out).  A message goes to every subscription of its own owner with its symbol at its time, never to another owner's;
     one without owner or symbol goes nowhere.  Either side may come first, ``late`` behind its own newest at most; what can
     meet nothing any more leaves the state.  Both meet in slices of time, so a symbol with most messages is spread over tasks.
+    Of two tables nothing is late.
     """
     second = lambda c: F.unix_seconds(c)
     end = F.least(F.col("valid_to"), F.col("valid_from") + F.expr(f"INTERVAL {longest} SECONDS"))
@@ -29,4 +35,5 @@ def routed(messages: DataFrame, subscriptions: DataFrame, late: str = LATE, long
     s = s.select("subscription_id", F.col("owner").alias("s_owner"), F.col("symbol").alias("s_symbol"), "valid_from", "until", F.explode(slices).alias("s_slice"))
     same = (F.col("owner") == F.col("s_owner")) & (F.col("symbol") == F.col("s_symbol")) & (F.col("slice") == F.col("s_slice"))
     then = (F.col("ts") >= F.col("valid_from")) & (F.col("ts") < F.col("until")) & (F.col("ts") <= F.col("valid_from") + F.expr(f"INTERVAL {longest} SECONDS"))
-    return m.join(s, same & then).select("subscription_id", "owner", "symbol", "ts", "payload")
+    # by shuffle: a few MB of subscriptions, told apart by hours, are too many rows to broadcast
+    return m.join(s.hint("merge"), same & then).select("subscription_id", "owner", "symbol", "ts", "payload")
