@@ -106,6 +106,19 @@ def test_panel_round_trip_and_row_groups(spark, tmp_path):
         assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
 
 
+def test_a_panels_task_has_a_bounded_number_of_bars(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "PANEL_ROWS", 100, raising=False)
+    rows = bars_of(4)  # 3600 in 7 groups; 500 more of one instrument
+    B.write_panel(spark.createDataFrame(rows, BARS), str(tmp_path / "panel"), width=20)
+    assert sorted(map(tuple, B.read_panel(spark, str(tmp_path / "panel")).collect())) == sorted(r[:3] for r in rows)
+    made = defaultdict(int)  # a task's files have its number
+    for f in files(tmp_path / "panel"):
+        places = pq.read_table(f, partitioning=None).drop_columns(["d"])
+        made[f.name.split("-")[1]] += sum(len(c) - c.null_count for c in places.columns)
+    assert sum(made.values()) == len(rows) and len(made) > len(rows) / 200 and max(made.values()) < 300
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_messages_go_to_their_owners_subscriptions(spark, tmp_path):
     rng = random.Random(3)
     at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)

@@ -3,13 +3,15 @@
 Instruments are numbered; ``BATCH`` neighbouring numbers share a partition of the store, whose files are sorted by instrument
 and time.  A read joins the wanted instruments on partition and number, so that Spark prunes partitions by what the
 other side turns out to hold.  A panel has one row per time and group of instruments, and a column for each place in
-the group, so its width is bounded whatever the number of instruments, and one job writes it.
+the group, so its width is bounded whatever the number of instruments; a task makes rows of a range of groups and times that
+holds about ``PANEL_ROWS`` bars, so its memory is bounded as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 BATCH = 25
 #: Instruments side by side in a panel.
 WIDTH = 50
+#: Bars that one task makes a panel's rows of.
+PANEL_ROWS = 250_000
 #: Rows of one file of the store.
 FILE_ROWS = 2_000_000
 
@@ -76,10 +80,16 @@ def fold_series(spark: SparkSession, path: str, step: Callable[[dict | None, dic
 
 def write_panel(bars: DataFrame, path: str, value: str = "c", by: str = "sid", time: str = "d", width: int = WIDTH) -> None:
     """Write one value of all bars as a panel: ``time``, p0, p1 and so on, partitioned by group of instruments, sorted by time."""
-    placed = bars.select(F.floor(F.col(by) / width).cast("long").alias("group"), time, F.pmod(F.col(by), F.lit(width)).alias("at"), value)
-    wide = placed.groupBy("group", time).pivot("at", list(range(width))).agg(F.first(value))
-    wide = wide.select("group", time, *[F.col(str(i)).alias(f"p{i}") for i in range(width)])
-    wide.repartitionByRange("group", time).sortWithinPartitions("group", time).write.mode("overwrite").partitionBy("group").parquet(path)
+    at = F.pmod(F.col(by), F.lit(width)).cast("int")
+    placed = bars.select(F.floor(F.col(by) / width).cast("long").alias("group"), time, at.alias("at"), value).persist(StorageLevel.DISK_ONLY)
+    try:
+        parts = -(-placed.count() // PANEL_ROWS) or 1
+        ranged = placed.repartitionByRange(parts, "group", time)  # the pivot stays in these ranges
+        wide = ranged.groupBy("group", time).pivot("at", list(range(width))).agg(F.first(value))
+        wide = wide.select("group", time, *[F.col(str(i)).alias(f"p{i}") for i in range(width)])
+        wide.sortWithinPartitions("group", time).write.mode("overwrite").partitionBy("group").parquet(path)
+    finally:
+        placed.unpersist()
 
 
 def read_panel(spark: SparkSession, path: str, value: str = "c", by: str = "sid", time: str = "d") -> DataFrame:
